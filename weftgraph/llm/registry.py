@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import line_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_mixing": mixing.op8_mixing,
+    "op10_line_dedup": line_dedup.op10_line_dedup,
+}
+ORACLES = {
+    "op10_line_dedup": line_dedup.OP10_SQL,
 }
-ORACLES: dict[str, str] = {}
