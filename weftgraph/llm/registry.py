@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing, quality_rules
+from . import line_dedup, mixing, packing, quality_rules, token_files
 
 QUERIES = {
+    "op4_token_files": token_files.op4_token_files,
+    "op6_packing": packing.op6_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op8_mixing": mixing.op8_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
