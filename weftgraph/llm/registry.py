@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, packing, quality_rules, token_files
+from . import language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, token_files
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
     "op4_token_files": token_files.op4_token_files,
     "op6_packing": packing.op6_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
+    "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_mixing": mixing.op8_mixing,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
