@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, token_files
+from . import language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
+    "op3_simhash": simhash.op3_simhash,
     "op4_token_files": token_files.op4_token_files,
     "op6_packing": packing.op6_packing,
     "op5_quality_rules": quality_rules.op5_quality_rules,
