@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files
+from . import embedding_dedup, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files
 
 QUERIES = {
     "op2_language_id": language_id.op2_language_id,
@@ -12,8 +12,10 @@ QUERIES = {
     "op5_quality_rules": quality_rules.op5_quality_rules,
     "op7_quality_classifier": quality_classifier.op7_quality_classifier,
     "op8_mixing": mixing.op8_mixing,
+    "op9_embedding_dedup": embedding_dedup.op9_embedding_dedup,
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
+    "op9_embedding_dedup": embedding_dedup.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }
