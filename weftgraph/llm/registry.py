@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, token_files
+from . import embedding_dedup, language_id, line_dedup, mixing, packing, quality_classifier, quality_rules, simhash, suffix_dedup, token_files
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_language_id": language_id.op2_language_id,
     "op3_simhash": simhash.op3_simhash,
     "op4_token_files": token_files.op4_token_files,
