@@ -61,3 +61,12 @@ def test_blocks(monkeypatch):
     cover = lambda c: sorted((p, int(a), int(h)) for h, a, f, z in zip(c.hash, c.at, c.first, c.last) for p in range(f, z + 1))
     assert cover(whole) == cover(cut)
     assert [p for p, _, _ in cover(whole)] == [*range(0, 951), *range(1030, 4951)]
+
+
+def test_buckets_are_even():
+    rnd = random.Random(2)
+    data = "".join(rnd.choice("abcdefgh ") for _ in range(200_000)).encode()
+    chunk = s.Chunk(np.array([1]), np.array([len(data)]), data)
+    bucket = chunk.digits_by_bucket(4)[0]
+    n = np.bincount(bucket, minlength=16)
+    assert n.max() < 1.3 * n.mean()

@@ -112,7 +112,8 @@ class Chunk:
             stop[:-1] = new[1:] | ~ok[1:]
             stop &= ok
             j = np.flatnonzero(stop)
-            found.append((h[at[i]], at[i] + s, p[i], p[j], doc[i]))
+            # Anchors are minima, so their hashes crowd at the low end: hashed again, they spread over all buckets.
+            found.append((mix(h[at[i]] ^ _K), at[i] + s, p[i], p[j], doc[i]))
         none = (np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(4)))
         self.hash, self.at, self.first, self.last, self.doc = (np.concatenate(c) for c in zip(none, *found))
 
