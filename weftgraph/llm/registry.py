@@ -17,6 +17,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10_line_dedup,
 }
 ORACLES = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op9_embedding_dedup": embedding_dedup.OP9_SQL,
     "op10_line_dedup": line_dedup.OP10_SQL,
 }

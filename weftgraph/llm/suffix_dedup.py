@@ -387,3 +387,26 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, digit: int = DIGIT, i
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read_table(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
+OP1_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+), b AS (
+  SELECT doc_id, h, n, unnest(range(n)) AS i FROM d WHERE n > 0
+), w AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 2) AS x, CASE WHEN i + 50 <= n THEN substr(h, 2 * i + 1, 100) END AS s FROM b
+), g AS (
+  SELECT doc_id, i, x, coalesce(s IS NOT NULL AND doc_id > min(doc_id) OVER (PARTITION BY s), false) AS again FROM w
+), r AS (
+  SELECT doc_id, i, x, bool_or(again) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM g
+), p AS (
+  SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS starts FROM r
+), a AS (
+  SELECT doc_id, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE starts) AS n_spans,
+         string_agg(x, '' ORDER BY i) FILTER (WHERE NOT gone) AS kept FROM p GROUP BY doc_id
+)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM d LEFT JOIN a USING (doc_id)
+"""
