@@ -71,6 +71,6 @@ def test_command_line(workspace, capsys):
     assert main(["info"]) == 0
     with pytest.raises(SystemExit):
         parser().parse_args(["build", "x", "--min-resolve-rate", "2"])
-    (workspace / ".codegraphrc").write_text('{"naming": "symbol", "exclude": ["a"], "cache": false}')
+    (workspace / ".weftgraphrc").write_text('{"naming": "symbol", "exclude": ["a"], "cache": false}')
     c = Config.merged(str(workspace), exclude=("b",), naming=None)
     assert (c.naming, c.exclude, c.cache) == ("symbol", ("a", "b"), False)

@@ -10,7 +10,7 @@ TEST_ENDINGS = tuple("_test.go _test.js _test.kt _test.py _test.rs _test.swift _
 _BY_LANGUAGE = "c:.h,.c cpp:.hpp,.hxx,.cc,.cpp,.cxx dart:.dart go:.go javascript:.cjs,.js,.mjs kotlin:.kts,.kt ocaml:.mli,.ml python:.py rust:.rs swift:.swift typescript:.tsx,.ts"
 EXTENSIONS = {ext: lang for lang, many in (x.split(":") for x in _BY_LANGUAGE.split()) for ext in many.split(",")}
 EXCLUDED = tuple(
-    ".build .cache .codegraph .dart_tool .git .idea .next .nuxt .pub-cache .pytest_cache .venv .vscode bin build build_ios build_ios_sim build_mac build_output Carthage "
+    ".build .cache .dart_tool .weftgraph .git .idea .next .nuxt .pub-cache .pytest_cache .venv .vscode bin build build_ios build_ios_sim build_mac build_output Carthage "
     "DerivedData dist node_modules obj out Pods __pycache__ target third_party vendor venv".split()
 )
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.paths import EXCLUDED, is_excluded, language_of
 
-CONFIG = ".codegraphrc"
+CONFIG = ".weftgraphrc"
 
 
 def scan_files(spark: SparkSession, workspace: str, *, exclude: tuple[str, ...] = (), include: tuple[str, ...] = (), languages: tuple[str, ...] = ()) -> DataFrame:
