@@ -75,3 +75,19 @@ def test_sets_do_not_depend_on_the_neighbours():
     h, n = s.shingle_sets(t)
     assert n.tolist() == [2, 0, 1, 5, 1]
     assert [x for u in t for x in s.shingle_sets([u])[0].tolist()] == h.tolist()
+
+
+def test_a_crowd_just_below_the_threshold_hides_nothing(spark, make_docs, write_table):
+    # All rows share a long passage, at 0.77; partners share a few words more, at 0.81, and are no nearer in bits than many others.
+    rnd = random.Random(5)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    common, rows, partners = [word() for _ in range(250)], [], 20
+    for i in range(400):
+        own = [word() for _ in range(36)]
+        rows.append((i, " ".join(common + own)))
+        if i < partners:
+            rows.append((1000 + i, " ".join(common + own[:7] + [word() for _ in range(29)])))
+    want = brute(rows)
+    assert len(set(want.values())) == 400 and all(want[1000 + i] == i for i in range(partners))
+    got = {r.doc_id: r.class_id for r in s.op3_simhash(spark, write_table(make_docs(rows))).collect()}
+    assert got == want

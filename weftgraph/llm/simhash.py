@@ -11,8 +11,11 @@ are the connected components of that relation.
    probability ``RECALL``, a prefix deep enough in one of them.
 3. Each row offers its nearest row and the earlier one of lowest rank, among those within ``BITS`` bits.  Offers are verified on the
    texts, the best of each row first, then those that still join two components.
-4. Rows that have neighbours may stand in a crowd that hides more.  For them further tries with a longer reach offer nearest rows of other
-   components only, again and again, until a pass finds links for less than 0.1 % of these rows.
+4. Rows that have neighbours may stand in a crowd that hides more.  For them passes of further tries with a longer reach offer every row of
+   another component within ``BITS`` bits, not only the nearest.  What was tested is left out, and all the rest is tested, nearest first,
+   in batches of bounded size.  Passes end with one in which all that was offered is tested and no link is found.
+
+Rows whose numbers of shingles differ too much to reach ``THRESHOLD`` are no candidates.
 
 Scale: a try is rows of 40 bytes, spread by (try, leading bits), sorted in the JVM and streamed; no group is ever held, whatever its size.
 Links, components and fingerprints stay distributed; only counts reach the driver.  Verification joins pairs with the texts of
@@ -37,7 +40,7 @@ from .common import connected_components, materialize, read_table
 from .textbytes import Words, mix, slices
 
 SHINGLE, THRESHOLD, RECALL, REACH, BITS, SEED = 5, 0.8, 0.97, 128, 34, 11
-DENSE_REACH, DENSE_TRIES = 512, 8
+DENSE_REACH, BATCH, LEAST_BATCH = 512, 8, 1 << 16
 SIGNED = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long"
 U = np.uint64
 
@@ -107,11 +110,12 @@ def _permutations(n: int) -> list[np.ndarray]:
     return [rnd.permutation(128) for _ in range(n)]
 
 
-def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reach: int = REACH, nearest: int = 1, bits: int = BITS) -> DataFrame:
+def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reach: int = REACH, every: bool = False, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, d): candidate pairs, ``b`` of higher rank, and their distance in bits.
 
-    ``reps``: (node, comp, s1, s2).  In every try each row offers its ``nearest`` rows on either side and the earlier one of lowest
-    rank, among those within ``reach`` places and ``bits`` bits and of another component.
+    ``reps``: (node, comp, s1, s2, n).  In every try each row offers its nearest row on either side and the earlier one of lowest
+    rank, among those within ``reach`` places and ``bits`` bits, of another component and of a size that allows ``threshold``; with
+    ``every``, all of these.
     """
 
     def plant(batches):
@@ -124,19 +128,25 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
             for t, perm in enumerate(perms):
                 key = np.ascontiguousarray(np.packbits(plane[:, perm[:64]], axis=1)).view(">u8").ravel().astype(U)
                 cell = (key >> U(64 - lead)).astype(np.int64) if lead else np.zeros(len(s), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(cell), pa.array((key ^ U(1 << 63)).view(np.int64)), *batch.columns], names=["t", "cell", "key", "node", "comp", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(cell), pa.array((key ^ U(1 << 63)).view(np.int64)), *batch.columns], names=["t", "cell", "key", "node", "comp", "s1", "s2", "n"])
+
+    def offered(node, rank, i, j, d):
+        up = rank[i] > rank[j]
+        pair = np.unique(np.stack([np.where(up, node[j], node[i]), np.where(up, node[i], node[j]), d], 1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(pair.T)], names=["a", "b", "d"])
 
     def look(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.asarray(batch.column(i)) for i in (0, 1, 3, 4, 5, 6)]
-            t, cell, node, comp, s1, s2 = both = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            now = [np.asarray(batch.column(i)) for i in (0, 1, 3, 4, 5, 6, 7)]
+            t, cell, node, comp, s1, s2, size = both = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             old, n = 0 if held is None else len(held[0]), len(node)
             rank, s1, s2 = mix(node.view(U)), s1.view(U), s2.view(U)  # bits are counted unsigned
-            near, near_at = np.full((nearest, n), 255, np.int64), np.full((nearest, n), -1)
+            near, near_at = np.full(n, 255, np.int64), np.full(n, -1)
             low, low_at = np.full(n, (1 << 64) - 1, U), np.full(n, -1)
+            full, waiting = [], 0
             for k in range(1, min(reach, n - 1) + 1):
                 i = np.arange(max(old, k), n)
                 j = i - k
@@ -145,27 +155,31 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
                 if not ok.any():
                     continue
                 i, j, d = i[ok], j[ok], d[ok]
+                ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+                i, j, d = i[ok], j[ok], d[ok]
+                if every:
+                    full.append((i, j, d))
+                    waiting += len(i)
+                    if waiting > 1 << 18:
+                        yield offered(node, rank, *map(np.concatenate, zip(*full)))
+                        full, waiting = [], 0
+                    continue
                 for x, y in ((i, j), (j, i)):
-                    dd, yy = d.copy(), y.copy()
-                    for slot in range(nearest):
-                        b = dd < near[slot, x]
-                        xb = x[b]
-                        was, was_at = near[slot, xb], near_at[slot, xb]
-                        near[slot, xb], near_at[slot, xb] = dd[b], yy[b]
-                        dd[b], yy[b] = was, was_at
+                    b = d < near[x]
+                    near[x[b]], near_at[x[b]] = d[b], y[b]
                 lower = rank[j] < low[i]
                 low[i[lower]], low_at[i[lower]] = rank[j][lower], j[lower]
-            at = np.concatenate([near_at, low_at[None]])
-            i = np.tile(np.arange(n), len(at))[at.ravel() >= 0]
-            j = at.ravel()[at.ravel() >= 0]
+            if waiting:
+                yield offered(node, rank, *map(np.concatenate, zip(*full)))
+            at = np.concatenate([near_at, low_at])
+            i = np.tile(np.arange(n), 2)[at >= 0]
+            j = at[at >= 0]
             if len(i):
                 d = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-                up = rank[i] > rank[j]
-                pair = np.unique(np.stack([np.where(up, node[j], node[i]), np.where(up, node[i], node[j]), d], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(pair.T)], names=["a", "b", "d"])
+                yield offered(node, rank, i, j, d)
             held = [x[-reach:] for x in both]
 
-    planted = reps.select("node", "comp", "s1", "s2").mapInArrow(plant, "t int, cell long, key long, node long, comp long, s1 long, s2 long")
+    planted = reps.select("node", "comp", "s1", "s2", "n").mapInArrow(plant, "t int, cell long, key long, node long, comp long, s1 long, s2 long, n long")
     spread = planted.repartition("t", "cell").sortWithinPartitions("t", "cell", "key", "node")
     return spread.mapInArrow(look, "a long, b long, d long").distinct()
 
@@ -179,11 +193,12 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
             one, two = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             ok = np.zeros(len(one), bool)
             for first, last in slices([x if len(x) > len(y) else y for x, y in zip(one, two)], most=1 << 19):
-                s, n = shingle_sets(one[first:last] + two[first:last])
+                at: dict[str, int] = {}  # a text that several pairs share is cut into shingles once
+                pair = [(at.setdefault(x, len(at)), at.setdefault(y, len(at))) for x, y in zip(one[first:last], two[first:last])]
+                s, n = shingle_sets(list(at))
                 sets = np.split(s, np.cumsum(n)[:-1])
-                half = last - first
-                for k in range(half):
-                    x, y = sets[k], sets[half + k]
+                for k, (x, y) in enumerate(pair):
+                    x, y = sets[x], sets[y]
                     if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
                         continue
                     common = len(np.intersect1d(x, y, assume_unique=True))
@@ -203,16 +218,16 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, kept) for every row with an id; ``class_id``: the smallest id of its near copies."""
     signed = materialize(sign(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "signed")
-    same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("s1").alias("s1"), F.first("s2").alias("s2"))
+    same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("n").alias("n"))
     same = materialize(same, "near-sets")
     rows = same.count()
     n = tries(rows, threshold, recall)
     lead = max(0, math.ceil(math.log2(max(1, rows) / (64 * REACH))))
-    pool = materialize(forest(same.withColumn("comp", F.col("node")), n, lead), "near-pool")
+    pool = materialize(forest(same.withColumn("comp", F.col("node")), n, lead, threshold=threshold), "near-pool")
     ids = materialize(pool.select(F.col("a").alias("node")).union(pool.select(F.col("b").alias("node"))).distinct(), "near-ids")
     own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     texts = materialize(own.join(ids, "node"), "near-texts")
-    crowd = same.join(ids, "node").select("node", "s1", "s2")
+    crowd = same.join(ids, "node").select("node", "s1", "s2", "n")
 
     best = F.row_number().over(W.partitionBy("b").orderBy("d", "a"))
     ranked = materialize(pool.withColumn("r", best), "near-ranked")
@@ -220,20 +235,31 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     comps = materialize(connected_components(links), "near-comps")
     links = links.unionByName(materialize(verified(_apart(ranked.where("r > 1"), comps), texts, threshold), "near-links"))
     tested = pool.select("a", "b")
-    # Dense groups: further tries over rows that have neighbours, until a pass joins almost nothing.
+    # Dense groups: further tries over rows that have neighbours, until a pass joins nothing.
     size, done = ids.count(), n
+    each = max(BATCH, LEAST_BATCH // max(1, size))
+    n = tries(size, threshold, recall, DENSE_REACH)
     lead = max(0, math.ceil(math.log2(max(1, size) / (64 * DENSE_REACH))))
+    comps = materialize(connected_components(links), "near-comps")
     while True:
-        comps = materialize(connected_components(links), "near-comps")
         now = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        offers = forest(now, DENSE_TRIES, lead, first_try=done, reach=DENSE_REACH, nearest=3)
+        offers = forest(now, n, lead, first_try=done, reach=DENSE_REACH, every=True, threshold=threshold)
         offers = materialize(offers.join(tested, ["a", "b"], "left_anti"), "near-offers")
-        new = materialize(verified(offers, texts, threshold), "near-links")
-        found = new.count()
-        links, tested, done = links.unionByName(new), tested.unionByName(offers.select("a", "b")), done + DENSE_TRIES
-        if found <= (1 - recall) / 30 * size:
+        tested, done, joined, left = tested.unionByName(offers.select("a", "b")), done + n, 0, offers
+        while waiting := left.count():
+            batch = left
+            if more := waiting > each * size:
+                left = materialize(left.withColumn("r", best), "near-ranked")
+                batch, left = left.where(F.col("r") <= each), left.where(F.col("r") > each).select("a", "b", "d")
+            new = materialize(verified(batch, texts, threshold), "near-links")
+            if found := new.count():
+                joined, links = joined + found, links.unionByName(new)
+                comps = materialize(connected_components(links), "near-comps")
+                left = materialize(_apart(left, comps), "near-left") if more else left
+            if not more:
+                break
+        if not joined:
             break
-    comps = materialize(connected_components(links), "near-comps")
     found = same.join(comps, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("node"))
     found = signed.where("n > 0").join(found, ["f1", "f2"]).select("doc_id", F.col("node").alias("class_id"))
     alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))
