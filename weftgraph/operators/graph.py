@@ -135,11 +135,11 @@ def scc(edges: DataFrame) -> DataFrame:
     return every.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
 
 
-def simple_cycles(edges: DataFrame, max_len: int = 8, min_len: int = 1, sep: str = " > ") -> DataFrame:
-    """(path, length): each simple cycle of at most ``max_len`` nodes once, starting at its smallest node.
+def simple_cycles(edges: DataFrame, max_len: int | None = None, min_len: int = 1, sep: str = " > ") -> DataFrame:
+    """(path, length): each simple cycle (of at most ``max_len`` nodes, if given) once, starting at its smallest node.
 
     Edges between strongly connected components are pruned first; the frontier holds open paths whose first node is the smallest.
-    The bound on length is part of the operator: cycles are exponential in it.
+    Without a bound the loop ends when no open path is left; cycles can be exponential in their length.
     """
     loops = edges.where("src = dst").select(F.col("src").alias("path"), F.lit(1).alias("length")).distinct() if min_len <= 1 else None
     comp = cut(scc(edges))
@@ -147,7 +147,9 @@ def simple_cycles(edges: DataFrame, max_len: int = 8, min_len: int = 1, sep: str
     e = cut(e.join(comp.toDF("src", "cs"), "src").join(comp.toDF("dst", "cd"), "dst").where("cs = cd").select("src", "dst"))
     front = e.where("dst > src").select(F.array("src", "dst").alias("p"))
     out = loops
-    for n in range(2, max_len + 1):
+    n = 1
+    while max_len is None or n < max_len:
+        n += 1
         front = cut(front)
         if front.isEmpty():
             break
