@@ -70,3 +70,14 @@ def test_buckets_are_even():
     bucket = chunk.digits_by_bucket(4)[0]
     n = np.bincount(bucket, minlength=16)
     assert n.max() < 1.3 * n.mean()
+
+
+def test_a_digit_under_ids_a_b_a_is_not_alone():
+    import numpy as np
+
+    from weftgraph.llm.suffix_dedup import Chunk
+
+    text = bytes(np.random.default_rng(3).integers(97, 123, 400, dtype=np.uint8))
+    own = lambda *ids: Chunk(np.array(ids, np.int64), np.full(len(ids), len(text)), text * len(ids)).digits_by_bucket(4)[2]
+    assert own(1, 2, 1).all() and own(1, 2).all() and len(own(1, 2, 1))
+    assert not own(1, 1, 1).any()

@@ -127,8 +127,7 @@ class Chunk:
         new[1:] = v[1:] != v[:-1]
         index = np.cumsum(new) - 1
         start = np.flatnonzero(new)
-        last = np.append(start[1:], len(v)) - 1
-        own = self.ids[d[start]] != self.ids[d[last]] if len(v) else np.zeros(0, bool)
+        own = np.minimum.reduceat(self.ids[d], start) != np.maximum.reduceat(self.ids[d], start) if len(v) else np.zeros(0, bool)
         bucket = (v[start] >> U(8 * SENT)).astype(np.int64)
         sent = v[start] & U((1 << 8 * SENT) - 1)
         return bucket, sent, own, order, index
