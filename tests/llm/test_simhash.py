@@ -1,10 +1,13 @@
+import math
 import random
+import string
 
 from weftgraph.llm import simhash as s
 
 
 def shingles(t):
-    w = (t or "").split()
+    t = (t or "").lower()
+    w = "".join(" " if c in string.punctuation else c for c in t).split() or t.split()
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
@@ -20,7 +23,7 @@ def brute(rows, threshold=0.8):
     for i in range(len(rows)):
         for j in range(i):
             a, b = sets[i], sets[j]
-            if a and b and len(a & b) >= threshold * len(a | b):
+            if a and b and len(a & b) >= threshold * math.sqrt(len(a) * len(b)) - 1e-9:
                 up[root(i)] = root(j)
     low = {}
     for i, (d, _) in enumerate(rows):
@@ -58,7 +61,7 @@ def test_repeats_nulls_and_empty(spark, make_docs, write_table):
     t = "a b c d e f g h"
     rows = [(3, t), (3, t), (1, t), (None, t), (4, "other words than those here")]
     got = s.op3_simhash(spark, write_table(make_docs(rows))).collect()
-    assert sorted((r.doc_id, r.class_id, r.kept) for r in got) == [(1, 1, True), (3, 1, False), (3, 1, False), (4, 4, True)]
+    assert sorted((str(r.doc_id), r.class_id, r.kept) for r in got) == [("1", 1, True), ("3", 1, False), ("3", 1, False), ("4", 4, True), ("None", None, True)]
     docs = make_docs(rows)
     out = s.stage(spark, docs, "")
     assert out.columns == docs.columns
@@ -78,16 +81,42 @@ def test_sets_do_not_depend_on_the_neighbours():
 
 
 def test_a_crowd_just_below_the_threshold_hides_nothing(spark, make_docs, write_table):
-    # All rows share a long passage, at 0.77; partners share a few words more, at 0.81, and are no nearer in bits than many others.
+    # All rows share a long passage, at 0.77; partners share some words more, at 0.81, and are no nearer in bits than many others.
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
     common, rows, partners = [word() for _ in range(250)], [], 20
     for i in range(400):
-        own = [word() for _ in range(36)]
+        own = [word() for _ in range(73)]
         rows.append((i, " ".join(common + own)))
         if i < partners:
-            rows.append((1000 + i, " ".join(common + own[:7] + [word() for _ in range(29)])))
+            rows.append((1000 + i, " ".join(common + own[:14] + [word() for _ in range(59)])))
     want = brute(rows)
     assert len(set(want.values())) == 400 and all(want[1000 + i] == i for i in range(partners))
     got = {r.doc_id: r.class_id for r in s.op3_simhash(spark, write_table(make_docs(rows))).collect()}
     assert got == want
+
+
+def test_case_punctuation_and_long_texts(spark, make_docs, write_table):
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(130_000)]  # 1 MB
+    long = " ".join(words)
+    near = " ".join(w.upper() + "," if i % 900 == 0 else "other" if i % 100 == 7 else w for i, w in enumerate(words))
+    rows = [(7, long), (8, near), (9, "!!! ??"), (10, "!!! ??"), (11, "?? !!!"), (12, long[:400_000])]
+    got = {r.doc_id: r.class_id for r in s.op3_simhash(spark, write_table(make_docs(rows))).collect()}
+    assert got == {7: 7, 8: 7, 9: 9, 10: 9, 11: 11, 12: 12}
+
+
+def test_one_of_two_rows_of_an_id_stays_only_if_texts_are_equal(spark, make_docs):
+    a, b = "a b c d e f g h", "quite other words are found in here"
+    out = s.stage(spark, make_docs([(1, a), (1, a), (1, b), (2, b)]), "")
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == [(1, a), (1, b)]
+
+
+def test_components_by_rounds_equal_those_of_one_task(spark):
+    from weftgraph.llm.common import connected_components
+
+    rnd = random.Random(2)
+    edges = spark.createDataFrame([(rnd.randrange(300), rnd.randrange(300)) for _ in range(220)] + [(5, 5)], "a long, b long")
+    one = sorted(map(tuple, connected_components(edges).collect()))
+    assert one == sorted(map(tuple, connected_components(edges, one_task=0).collect()))
+    assert all(c <= n for n, c in one)

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,17 +70,41 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
+#: So many edges are contracted in one task, whose memory they bound; more are first contracted by rounds over all tasks.
+ONE_TASK = 1 << 20
+
+
+def _roots(batches):
+    """(node, root) by union-find over all edges of this task; root = smallest node reachable."""
+    parts = [np.stack([np.asarray(b.column(0)), np.asarray(b.column(1))], 1) for b in batches if b.num_rows]
+    if not parts:
+        return
+    node, at = np.unique(np.concatenate(parts), return_inverse=True)
+    up = list(range(len(node)))
+    for a, b in at.reshape(-1, 2).tolist():
+        while up[a] != a:
+            up[a] = a = up[up[a]]
+        while up[b] != b:
+            up[b] = b = up[up[b]]
+        if a < b:
+            up[b] = a
+        else:
+            up[a] = b
+    for i, j in enumerate(up):  # parents are smaller, so theirs are settled
+        up[i] = up[j]
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[up])], names=["node", "root"])
+
+
+def connected_components(edges: DataFrame, tag: str = "cc", one_task: int = ONE_TASK) -> DataFrame:
     """(node, component) for all end points of ``edges(a, b)``; component = smallest node reachable.
 
     Contraction by random minima: every round each node maps to the neighbour (or itself) with the smallest hash,
     which removes a constant share of the nodes, so rounds grow with the logarithm of their number.  Minima combine
-    before the shuffle, so a hub costs no more than its edges.
+    before the shuffle, so a hub costs no more than its edges.  Once ``one_task`` edges or fewer are left, one task ends it.
     """
-    spark = edges.sparkSession
-    edges = materialize(edges.select("a", "b").where("a <> b").distinct(), tag)
-    first, maps, r = edges, [], 0
-    while True:
+    edges = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), tag)
+    maps, r = [], 0
+    while edges.count() > one_task:
         rank = lambda c, r=r: F.struct(F.xxhash64(c, F.lit(r)).alias("h"), c.alias("v"))
         both = edges.select(F.col("a").alias("node"), rank(F.col("b")).alias("o")).unionAll(
             edges.select(F.col("b").alias("node"), rank(F.col("a")).alias("o"))
@@ -89,14 +115,13 @@ def connected_components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         left, right = step.toDF("a", "ra"), step.toDF("b", "rb")
         after = edges.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         after = materialize(after, tag)
-        if r:
-            drop_materialized(spark, edges)
+        drop_materialized(edges.sparkSession, edges)
         edges, r = after, r + 1
-        if edges.isEmpty():
-            break
-    drop_materialized(spark, first)
+    maps.append(edges.coalesce(1).mapInArrow(_roots, "node long, root long"))
     found = maps[0]
     for step in maps[1:]:
         found = found.join(step.toDF("root", "next"), "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    if not r:
+        return found.select("node", F.col("root").alias("component"))
     smallest = found.groupBy("root").agg(F.min("node").alias("component"))
     return found.join(smallest, "root").select("node", "component")

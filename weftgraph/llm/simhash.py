@@ -1,7 +1,8 @@
 """Near-duplicate documents by an LSH forest over SimHash (operator 3).
 
-Two documents are near copies if the Jaccard similarity of their sets of five-word shingles is ``THRESHOLD`` or more; classes
-are the connected components of that relation.
+Words are runs of anything but ASCII white space and punctuation, in lower case (a text of punctuation alone is split at white space).  Two
+documents are near copies if the cosine of their sets of five-word shingles is ``THRESHOLD`` or more: the similarity whose angle SimHash
+estimates.  Classes are the connected components of that relation.
 
 1. Every text gets a 128-bit SimHash of its shingle set and a fingerprint of the set.  Texts with equal sets are one class at
    once; only the member with the smallest id goes on, so thousands of copies cost one row.
@@ -11,24 +12,28 @@ are the connected components of that relation.
    probability ``RECALL``, a prefix deep enough in one of them.
 3. Each row offers its nearest row and the earlier one of lowest rank, among those within ``BITS`` bits.  Offers are verified on the
    texts, the best of each row first, then those that still join two components.
-4. Rows that have neighbours may stand in a crowd that hides more.  For them passes of further tries with a longer reach offer every row of
-   another component within ``BITS`` bits, not only the nearest.  What was tested is left out, and all the rest is tested, nearest first,
-   in batches of bounded size.  Passes end with one in which all that was offered is tested and no link is found.
+4. Climb: rows that have neighbours may stand in a crowd that hides more.  For them passes of further tries offer every row of another
+   component within ``BITS`` bits, not only the nearest, and each pass looks back twice as far as the last: up to prefixes a bit
+   shorter.  What was tested is left out, and all the rest is tested, nearest first, in batches of bounded size.  The climb ends with a pass in
+   which all that was offered is tested and no link is found.
 
-Rows whose numbers of shingles differ too much to reach ``THRESHOLD`` are no candidates.
+Rows whose numbers of shingles differ too much to reach ``THRESHOLD`` are no candidates.  ``BITS`` is four standard deviations beyond the
+distance of a pair at the threshold.
 
 Scale: a try is rows of 40 bytes, spread by (try, leading bits), sorted in the JVM and streamed; no group is ever held, whatever its size.
 Links, components and fingerprints stay distributed; only counts reach the driver.  Verification joins pairs with the texts of
 candidates alone.
 
-Cases: null texts and texts without words are alone in their class; texts of one to four words have one shingle, all their words; a
+Cases: null texts and texts without words are alone in their class; texts of one to four words have one shingle, all their words; very long
+texts are cut into words in slices and have one sketch like any other; ties between nearest rows go to the smaller rank, so reruns agree; a
 repeated (doc_id, text) is an ordinary copy; rows with the same id and different texts count as one document (they share a class); rows with a null id
-are never linked and are kept; an empty table gives an empty result; extra columns do not matter.
+are never linked: each is in the result with a null class and kept; an empty table gives an empty result; extra columns do not matter.
 """
 
 from __future__ import annotations
 
 import math
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -39,15 +44,22 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, read_table
 from .textbytes import Words, mix, slices
 
-SHINGLE, THRESHOLD, RECALL, REACH, BITS, SEED = 5, 0.8, 0.97, 128, 34, 11
-DENSE_REACH, BATCH, LEAST_BATCH = 512, 8, 1 << 16
+SHINGLE, THRESHOLD, RECALL, REACH, BITS, SEED = 5, 0.8, 0.97, 128, 44, 11
+DENSE_REACH, BATCH, LEAST_BATCH = 256, 8, 1 << 16
+_MARKS = str.maketrans({c: " " for c in string.punctuation})
 SIGNED = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long"
 U = np.uint64
 
 
+def plain(text: str) -> str:
+    """The text whose words are compared: lower case, without ASCII punctuation unless it has nothing else."""
+    bare = text.lower().translate(_MARKS)
+    return bare if not bare.isspace() else text
+
+
 def shingle_sets(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(sorted distinct shingle hashes of all texts one after the other, number per text)."""
-    w = Words(texts)
+    w = Words([plain(t) for t in texts])
     h = w.hashes()
     n = len(h)
     short = w.per_doc < width
@@ -83,7 +95,8 @@ def signatures(texts: list[str]) -> list[np.ndarray]:
         for k, x in ((3, mix(a)), (4, mix(b))):
             bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            out[k][live] = np.ascontiguousarray(np.packbits(2 * votes > n[live][:, None], axis=1)).view(">u8").ravel().astype(U)
+            even = 2 * votes - n[live][:, None]  # a draw goes by the smallest shingle, which few edits change
+            out[k][live] = np.ascontiguousarray(np.packbits((even > 0) | (even == 0) & (bits[starts] > 0), axis=1)).view(">u8").ravel().astype(U)
     return [out[0], *(x.view(np.int64) for x in out[1:])]
 
 
@@ -100,7 +113,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def tries(rows: int, threshold: float = THRESHOLD, recall: float = RECALL, reach: int = REACH) -> int:
     """How many permutations a pair at the threshold needs to share a deep enough prefix with probability ``recall``."""
     depth = max(0, math.ceil(math.log2(max(1, rows) / reach)) + 1)
-    agree = 1 - math.acos(2 * threshold / (1 + threshold)) / math.pi
+    agree = 1 - math.acos(threshold) / math.pi
     hit = agree**depth
     return 8 if hit > 0.999 else max(8, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
 
@@ -155,7 +168,7 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
                 if not ok.any():
                     continue
                 i, j, d = i[ok], j[ok], d[ok]
-                ok = np.minimum(size[i], size[j]) >= threshold * np.maximum(size[i], size[j]) - 1e-9
+                ok = np.minimum(size[i], size[j]) >= threshold**2 * np.maximum(size[i], size[j]) - 1e-9
                 i, j, d = i[ok], j[ok], d[ok]
                 if every:
                     full.append((i, j, d))
@@ -199,10 +212,8 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
                 sets = np.split(s, np.cumsum(n)[:-1])
                 for k, (x, y) in enumerate(pair):
                     x, y = sets[x], sets[y]
-                    if min(len(x), len(y)) < threshold * max(len(x), len(y)) - 1e-9:
-                        continue
                     common = len(np.intersect1d(x, y, assume_unique=True))
-                    ok[first + k] = common > 0 and common >= threshold * (len(x) + len(y) - common) - 1e-9
+                    ok[first + k] = common > 0 and common >= threshold * math.sqrt(len(x) * len(y)) - 1e-9
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], names=["a", "b"])
 
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
@@ -216,7 +227,7 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, class_id, kept) for every row with an id; ``class_id``: the smallest id of its near copies."""
+    """(doc_id, class_id, kept) for every row; ``class_id``: the smallest id of its near copies, null where the id is."""
     signed = materialize(sign(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "signed")
     same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("n").alias("n"))
     same = materialize(same, "near-sets")
@@ -238,14 +249,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # Dense groups: further tries over rows that have neighbours, until a pass joins nothing.
     size, done = ids.count(), n
     each = max(BATCH, LEAST_BATCH // max(1, size))
-    n = tries(size, threshold, recall, DENSE_REACH)
-    lead = max(0, math.ceil(math.log2(max(1, size) / (64 * DENSE_REACH))))
+    n, reach = tries(size, threshold, recall, DENSE_REACH), DENSE_REACH
     comps = materialize(connected_components(links), "near-comps")
     while True:
         now = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
-        offers = forest(now, n, lead, first_try=done, reach=DENSE_REACH, every=True, threshold=threshold)
+        lead = max(0, math.ceil(math.log2(max(1, size) / (64 * reach))))
+        offers = forest(now, n, lead, first_try=done, reach=reach, every=True, threshold=threshold)
         offers = materialize(offers.join(tested, ["a", "b"], "left_anti"), "near-offers")
-        tested, done, joined, left = tested.unionByName(offers.select("a", "b")), done + n, 0, offers
+        tested, done, reach, joined, left = tested.unionByName(offers.select("a", "b")), done + n, 2 * reach, 0, offers
         while waiting := left.count():
             batch = left
             if more := waiting > each * size:
@@ -263,7 +274,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     found = same.join(comps, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("node"))
     found = signed.where("n > 0").join(found, ["f1", "f2"]).select("doc_id", F.col("node").alias("class_id"))
     alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))
-    return found.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    found = found.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    unnamed = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
+    return found.unionByName(unnamed)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,7 +284,8 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each class stays, the one with the smallest id; of repeated rows, one."""
-    found = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("_s_id")).distinct()
-    named = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return named.join(found, F.col("doc_id") == F.col("_s_id"), "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """Pipeline stage: of each class the document with the smallest id stays; of equal (doc_id, text), one row; all rows without an id."""
+    found = near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_s_id")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(found, F.col("doc_id") == F.col("_s_id"), "left_semi")
+    named = named.withColumns({"_s_a": F.xxhash64("text"), "_s_b": F.xxhash64(F.lit(3), "text")}).dropDuplicates(["doc_id", "_s_a", "_s_b"]).drop("_s_a", "_s_b")
+    return named.unionByName(docs.where("doc_id IS NULL"))
