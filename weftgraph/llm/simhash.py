@@ -17,8 +17,9 @@ estimates.  Classes are the connected components of that relation.
    shorter.  What was tested is left out, and all the rest is tested, nearest first, in batches of bounded size.  The climb ends with a pass in
    which all that was offered is tested and no link is found.
 
-Rows whose numbers of shingles differ too much to reach ``THRESHOLD`` are no candidates.  ``BITS`` is four standard deviations beyond the
-distance of a pair at the threshold.
+Rows whose numbers of shingles differ too much to reach ``THRESHOLD`` are no candidates.  ``BITS`` is three standard deviations beyond the
+distance of a pair at the threshold.  Before texts are fetched, the ``SKETCH`` smallest shingle hashes of both sets bound their similarity: exact
+for sets of that size or less, ``SIGMAS`` standard errors wide for larger ones; only pairs whose upper bound reaches ``THRESHOLD`` go on.
 
 Scale: a try is rows of 40 bytes, spread by (try, leading bits), sorted in the JVM and streamed; no group is ever held, whatever its size.
 Links, components and fingerprints stay distributed; only counts reach the driver.  Verification joins pairs with the texts of
@@ -44,10 +45,11 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, read_table
 from .textbytes import Words, mix, slices
 
-SHINGLE, THRESHOLD, RECALL, REACH, BITS, SEED = 5, 0.8, 0.97, 128, 44, 11
+SHINGLE, THRESHOLD, RECALL, REACH, BITS, SEED = 5, 0.8, 0.97, 128, 40, 11
+SKETCH, SIGMAS = 64, 5.0
 DENSE_REACH, BATCH, LEAST_BATCH = 256, 8, 1 << 16
 _MARKS = str.maketrans({c: " " for c in string.punctuation})
-SIGNED = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long"
+SIGNED = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, sketch binary"
 U = np.uint64
 
 
@@ -84,7 +86,7 @@ def shingle_sets(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np
 
 
 def signatures(texts: list[str]) -> list[np.ndarray]:
-    """n, two words of the set's fingerprint and two of its SimHash, for each text (0 where it has no words)."""
+    """n, two words of the set's fingerprint and two of its SimHash (0 where it has no words), and its smallest hashes, for each text."""
     s, n = shingle_sets(texts)
     out = [n.astype(np.int64), *(np.zeros(len(texts), U) for _ in range(4))]
     live = np.flatnonzero(n)
@@ -97,7 +99,10 @@ def signatures(texts: list[str]) -> list[np.ndarray]:
             votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
             even = 2 * votes - n[live][:, None]  # a draw goes by the smallest shingle, which few edits change
             out[k][live] = np.ascontiguousarray(np.packbits((even > 0) | (even == 0) & (bits[starts] > 0), axis=1)).view(">u8").ravel().astype(U)
-    return [out[0], *(x.view(np.int64) for x in out[1:])]
+    low = (s >> U(32)).astype("<u4").tobytes()
+    ends = np.cumsum(n)
+    sketch = [low[4 * (e - k) : 4 * (e - k + min(k, SKETCH))] for e, k in zip(ends.tolist(), n.tolist())]
+    return [out[0], *(x.view(np.int64) for x in out[1:]), sketch]
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -105,7 +110,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([ids[a:b], *map(pa.array, signatures(texts[a:b]))], names=["doc_id", "n", "f1", "f2", "s1", "s2"])
+                yield pa.RecordBatch.from_arrays([ids[a:b], *map(pa.array, signatures(texts[a:b]))], names=["doc_id", "n", "f1", "f2", "s1", "s2", "sketch"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SIGNED)
 
@@ -197,6 +202,42 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
     return spread.mapInArrow(look, "a long, b long, d long").distinct()
 
 
+def possible(one: list[bytes], two: list[bytes], n1: np.ndarray, n2: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """Whether sets of ``n1`` and ``n2`` shingles with these smallest hashes may be ``threshold`` similar."""
+    flat = np.full((len(one), 2 * SKETCH), (1 << 33) - 1, np.int64)
+    size = np.array([(len(x) // 4, len(y) // 4) for x, y in zip(one, two)]).reshape(-1, 2)
+    col = np.arange(SKETCH)
+    flat[:, :SKETCH][col < size[:, :1]] = np.frombuffer(b"".join(one), "<u4")
+    flat[:, SKETCH:][col < size[:, 1:]] = np.frombuffer(b"".join(two), "<u4")
+    flat.sort(axis=1)
+    real = flat < 1 << 32
+    again = np.zeros_like(real)
+    again[:, 1:] = real[:, 1:] & (flat[:, 1:] == flat[:, :-1])
+    rank = np.cumsum(real & ~again, axis=1)  # among the distinct hashes of both
+    small = np.maximum(n1, n2) <= SKETCH
+    seen = np.where(small, 2 * SKETCH, SKETCH)
+    common = (again & (rank <= seen[:, None])).sum(1)
+    need = threshold * np.sqrt(n1.astype(float) * n2)
+    share = need / np.maximum(n1 + n2 - need, 1e-9)
+    least = share - SIGMAS * np.sqrt(np.maximum(0, share * (1 - share)) / SKETCH)
+    return np.where(small, common >= need - 1e-9, common >= SKETCH * least - 1e-9)
+
+
+def screened(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The pairs (a, b) that their sketches don't rule out; ``sets``: (node, n, sketch)."""
+    for c in ("a", "b"):
+        pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                n1, n2 = (np.asarray(batch.column(i)) for i in (2, 4))
+                ok = pa.array(possible(batch.column(3).to_pylist(), batch.column(5).to_pylist(), n1, n2, threshold))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+
+    return pairs.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The pairs (a, b) whose texts' shingle sets are at least ``threshold`` similar; ``texts``: (node, text)."""
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -229,7 +270,7 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, kept) for every row; ``class_id``: the smallest id of its near copies, null where the id is."""
     signed = materialize(sign(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "signed")
-    same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("n").alias("n"))
+    same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     same = materialize(same, "near-sets")
     rows = same.count()
     n = tries(rows, threshold, recall)
@@ -242,9 +283,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     best = F.row_number().over(W.partitionBy("b").orderBy("d", "a"))
     ranked = materialize(pool.withColumn("r", best), "near-ranked")
-    links = materialize(verified(ranked.where("r = 1"), texts, threshold), "near-links")
+    sets = same.select("node", "n", "sketch")
+    test = lambda pairs: verified(screened(pairs.select("a", "b"), sets, threshold), texts, threshold)
+    links = materialize(test(ranked.where("r = 1")), "near-links")
     comps = materialize(connected_components(links), "near-comps")
-    links = links.unionByName(materialize(verified(_apart(ranked.where("r > 1"), comps), texts, threshold), "near-links"))
+    links = links.unionByName(materialize(test(_apart(ranked.where("r > 1"), comps)), "near-links"))
     tested = pool.select("a", "b")
     # Dense groups: further tries over rows that have neighbours, until a pass joins nothing.
     size, done = ids.count(), n
@@ -262,7 +305,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             if more := waiting > each * size:
                 left = materialize(left.withColumn("r", best), "near-ranked")
                 batch, left = left.where(F.col("r") <= each), left.where(F.col("r") > each).select("a", "b", "d")
-            new = materialize(verified(batch, texts, threshold), "near-links")
+            new = materialize(test(batch), "near-links")
             if found := new.count():
                 joined, links = joined + found, links.unionByName(new)
                 comps = materialize(connected_components(links), "near-comps")
