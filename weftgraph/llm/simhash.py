@@ -4,7 +4,7 @@ Words are runs of anything but ASCII white space and punctuation, in lower case
 documents are near copies if the cosine of their sets of five-word shingles is ``THRESHOLD`` or more: the similarity whose angle SimHash
 estimates.  Classes are the connected components of that relation.
 
-1. Every text gets a 128-bit SimHash of its shingle set and a fingerprint of the set.  Texts with equal sets are one class at
+1. Every text gets a 256-bit SimHash of its shingle set and a fingerprint of the set.  Texts with equal sets are one class at
    once; only the member with the smallest id goes on, so thousands of copies cost one row.
 2. Forest: each try orders the representatives by their bits in another random permutation.  A row looks back at the ``REACH`` rows
    before it, which are those with the longest common prefixes: the depth adapts to the density, and shorter prefixes are reached
@@ -12,7 +12,7 @@ estimates.  Classes are the connected components of that relation.
    probability ``RECALL``, a prefix deep enough in one of them.
 3. Each row offers its nearest row and the earlier one of lowest rank, among those within ``BITS`` bits.  Offers are verified on the
    texts, the best of each row first, then those that still join two components.
-4. Climb: rows that have neighbours may stand in a crowd that hides more.  For them passes of further tries offer every row of another
+4. Climb: rows that met more than they offered in a try stand in a crowd that may hide more.  For them passes of further tries offer every row of another
    component within ``BITS`` bits, not only the nearest, and each pass looks back twice as far as the last: up to prefixes a bit
    shorter.  What was tested is left out, and all the rest is tested, nearest first, in batches of bounded size.  The climb ends with a pass in
    which all that was offered is tested and no link is found.
@@ -45,18 +45,22 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, read_table
 from .textbytes import Words, mix, slices
 
-SHINGLE, THRESHOLD, RECALL, REACH, BITS, SEED = 5, 0.8, 0.97, 128, 40, 11
-SKETCH, SIGMAS = 64, 5.0
+SHINGLE, THRESHOLD, RECALL, REACH, BITS, SEED = 5, 0.8, 0.97, 128, 72, 11
+SKETCH, SIGMAS, WIDE = 64, 5.0, 256
 DENSE_REACH, BATCH, LEAST_BATCH = 256, 8, 1 << 16
-_MARKS = str.maketrans({c: " " for c in string.punctuation})
-SIGNED = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, sketch binary"
+_MARKS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
+#: The bits of a byte as 0 or 1 in the bytes of a word, so that eight counters add up in one.
+_LANES = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).view("<u8").ravel()
+SIGNED = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, s3 long, s4 long, sketch binary"
+BITS_OF = ("s1", "s2", "s3", "s4")
 U = np.uint64
 
 
-def plain(text: str) -> str:
+def plain(text: str) -> bytes:
     """The text whose words are compared: lower case, without ASCII punctuation unless it has nothing else."""
-    bare = text.lower().translate(_MARKS)
-    return bare if not bare.isspace() else text
+    low = text.lower().encode("utf-8", "surrogatepass")
+    bare = low.translate(_MARKS)
+    return low if bare.isspace() else bare
 
 
 def shingle_sets(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -85,20 +89,30 @@ def shingle_sets(texts: list[str], width: int = SHINGLE) -> tuple[np.ndarray, np
     return s[new], np.bincount(doc[new], minlength=len(texts))
 
 
-def signatures(texts: list[str]) -> list[np.ndarray]:
-    """n, two words of the set's fingerprint and two of its SimHash (0 where it has no words), and its smallest hashes, for each text."""
+def votes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(groups, 64): how many of a group's words have each bit, the highest first; groups begin at ``starts``."""
+    n = np.diff(np.append(starts, len(words)))
+    parts = -(-n // 255)  # counters of one byte
+    first = np.cumsum(parts) - parts
+    at = np.repeat(starts - 255 * first, parts) + 255 * np.arange(parts.sum())
+    byte = words.astype(">u8").view(np.uint8).reshape(-1, 8)
+    sums = np.stack([np.add.reduceat(_LANES[byte[:, k]], at) for k in range(8)], 1)
+    return np.add.reduceat(np.ascontiguousarray(sums).view(np.uint8).reshape(-1, 64), first, axis=0, dtype=np.int32)
+
+
+def signatures(texts: list[str]) -> list:
+    """n, two words of the set's fingerprint and four of its SimHash (0 where it has no words), and its smallest hashes, for each text."""
     s, n = shingle_sets(texts)
-    out = [n.astype(np.int64), *(np.zeros(len(texts), U) for _ in range(4))]
+    out = [n.astype(np.int64), *(np.zeros(len(texts), U) for _ in range(6))]
     live = np.flatnonzero(n)
     if len(live):
         starts = (np.cumsum(n) - n)[live]
         a, b = mix(s ^ U(0xA5A5A5A55A5A5A5A)), mix(s + U(0x632BE59BD9B4E019))
         out[1][live], out[2][live] = np.add.reduceat(a, starts), np.add.reduceat(b, starts)
-        for k, x in ((3, mix(a)), (4, mix(b))):
-            bits = np.unpackbits(x.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-            votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-            even = 2 * votes - n[live][:, None]  # a draw goes by the smallest shingle, which few edits change
-            out[k][live] = np.ascontiguousarray(np.packbits((even > 0) | (even == 0) & (bits[starts] > 0), axis=1)).view(">u8").ravel().astype(U)
+        for k, x in enumerate((mix(a), mix(b), mix(a + U(1)), mix(b + U(1))), 3):
+            even = 2 * votes(x, starts) - n[live][:, None]  # a draw goes by the smallest shingle, which few edits change
+            draw = np.unpackbits(x[starts].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            out[k][live] = np.packbits(even + draw > 0, axis=1).view(">u8").ravel().astype(U)
     low = (s >> U(32)).astype("<u4").tobytes()
     ends = np.cumsum(n)
     sketch = [low[4 * (e - k) : 4 * (e - k + min(k, SKETCH))] for e, k in zip(ends.tolist(), n.tolist())]
@@ -110,7 +124,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([ids[a:b], *map(pa.array, signatures(texts[a:b]))], names=["doc_id", "n", "f1", "f2", "s1", "s2", "sketch"])
+                yield pa.RecordBatch.from_arrays([ids[a:b], *map(pa.array, signatures(texts[a:b]))], names=["doc_id", "n", "f1", "f2", *BITS_OF, "sketch"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SIGNED)
 
@@ -125,15 +139,15 @@ def tries(rows: int, threshold: float = THRESHOLD, recall: float = RECALL, reach
 
 def _permutations(n: int) -> list[np.ndarray]:
     rnd = np.random.default_rng(SEED)
-    return [rnd.permutation(128) for _ in range(n)]
+    return [rnd.permutation(WIDE) for _ in range(n)]
 
 
 def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reach: int = REACH, every: bool = False, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, d): candidate pairs, ``b`` of higher rank, and their distance in bits.
 
-    ``reps``: (node, comp, s1, s2, n).  In every try each row offers its nearest row on either side and the earlier one of lowest
+    ``reps``: (node, comp, s1 to s4, n).  In every try each row offers its nearest row on either side and the earlier one of lowest
     rank, among those within ``reach`` places and ``bits`` bits, of another component and of a size that allows ``threshold``; with
-    ``every``, all of these.
+    ``every``, all of these.  Rows (a, a, -1) name those that met more than they offered.
     """
 
     def plant(batches):
@@ -141,40 +155,46 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = np.stack([np.asarray(batch.column(i)).view(U) for i in (2, 3)], 1).astype(">u8")
-            plane = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(len(s), 16), axis=1)
+            s = np.stack([np.asarray(batch.column(i)).view(U) for i in range(2, 6)], 1).astype(">u8")
+            plane = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(len(s), WIDE // 8), axis=1)
             for t, perm in enumerate(perms):
                 key = np.ascontiguousarray(np.packbits(plane[:, perm[:64]], axis=1)).view(">u8").ravel().astype(U)
                 cell = (key >> U(64 - lead)).astype(np.int64) if lead else np.zeros(len(s), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(cell), pa.array((key ^ U(1 << 63)).view(np.int64)), *batch.columns], names=["t", "cell", "key", "node", "comp", "s1", "s2", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(cell), pa.array((key ^ U(1 << 63)).view(np.int64)), *batch.columns], names=["t", "cell", "key", "node", "comp", *BITS_OF, "n"])
 
     def offered(node, rank, i, j, d):
         up = rank[i] > rank[j]
         pair = np.unique(np.stack([np.where(up, node[j], node[i]), np.where(up, node[i], node[j]), d], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(c) for c in np.ascontiguousarray(pair.T)], names=["a", "b", "d"])
 
+    def apart(s, i, j):
+        return sum(np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in s)
+
     def look(batches):
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.asarray(batch.column(i)) for i in (0, 1, 3, 4, 5, 6, 7)]
-            t, cell, node, comp, s1, s2, size = both = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            now = [np.asarray(batch.column(i)) for i in (0, 1, 3, 4, 5, 6, 7, 8, 9)]
+            t, cell, node, comp, *s, size = both = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             old, n = 0 if held is None else len(held[0]), len(node)
-            rank, s1, s2 = mix(node.view(U)), s1.view(U), s2.view(U)  # bits are counted unsigned
-            near, near_at = np.full(n, 255, np.int64), np.full(n, -1)
-            low, low_at = np.full(n, (1 << 64) - 1, U), np.full(n, -1)
+            rank, s = mix(node.view(U)), [x.view(U) for x in s]  # bits are counted unsigned
+            near, near_at = np.full(n, 1 << 10, np.int64), np.full(n, -1)
+            low, low_at, met = np.full(n, (1 << 64) - 1, U), np.full(n, -1), np.zeros(n, np.int64)
             full, waiting = [], 0
             for k in range(1, min(reach, n - 1) + 1):
                 i = np.arange(max(old, k), n)
+                d = np.bitwise_count(s[0][i] ^ s[0][i - k])
+                i = i[d <= bits]  # most pairs are told apart by their first words
+                d = np.bitwise_count(s[0][i] ^ s[0][i - k]) + np.bitwise_count(s[1][i] ^ s[1][i - k])
+                i = i[d <= bits]
                 j = i - k
-                d = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
+                d = apart(s, i, j)
                 ok = (d <= bits) & (t[i] == t[j]) & (cell[i] == cell[j]) & (comp[i] != comp[j])
+                ok &= np.minimum(size[i], size[j]) >= threshold**2 * np.maximum(size[i], size[j]) - 1e-9
                 if not ok.any():
                     continue
                 i, j, d = i[ok], j[ok], d[ok]
-                ok = np.minimum(size[i], size[j]) >= threshold**2 * np.maximum(size[i], size[j]) - 1e-9
-                i, j, d = i[ok], j[ok], d[ok]
                 if every:
                     full.append((i, j, d))
                     waiting += len(i)
@@ -183,6 +203,7 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
                         full, waiting = [], 0
                     continue
                 for x, y in ((i, j), (j, i)):
+                    met[x] += 1
                     b = d < near[x]
                     near[x[b]], near_at[x[b]] = d[b], y[b]
                 lower = rank[j] < low[i]
@@ -193,11 +214,13 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
             i = np.tile(np.arange(n), 2)[at >= 0]
             j = at[at >= 0]
             if len(i):
-                d = np.bitwise_count(s1[i] ^ s1[j]).astype(np.int64) + np.bitwise_count(s2[i] ^ s2[j])
-                yield offered(node, rank, i, j, d)
+                yield offered(node, rank, i, j, apart(s, i, j))
+            more = np.flatnonzero(met > 1)  # not all that these rows met is offered: d = -1
+            if len(more):
+                yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.array(node[more]), pa.array(np.full(len(more), -1))], names=["a", "b", "d"])
             held = [x[-reach:] for x in both]
 
-    planted = reps.select("node", "comp", "s1", "s2", "n").mapInArrow(plant, "t int, cell long, key long, node long, comp long, s1 long, s2 long, n long")
+    planted = reps.select("node", "comp", *BITS_OF, "n").mapInArrow(plant, "t int, cell long, key long, node long, comp long, s1 long, s2 long, s3 long, s4 long, n long")
     spread = planted.repartition("t", "cell").sortWithinPartitions("t", "cell", "key", "node")
     return spread.mapInArrow(look, "a long, b long, d long").distinct()
 
@@ -270,16 +293,17 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, kept) for every row; ``class_id``: the smallest id of its near copies, null where the id is."""
     signed = materialize(sign(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "signed")
-    same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in BITS_OF], F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     same = materialize(same, "near-sets")
     rows = same.count()
     n = tries(rows, threshold, recall)
     lead = max(0, math.ceil(math.log2(max(1, rows) / (64 * REACH))))
-    pool = materialize(forest(same.withColumn("comp", F.col("node")), n, lead, threshold=threshold), "near-pool")
+    found = materialize(forest(same.withColumn("comp", F.col("node")), n, lead, threshold=threshold), "near-pool")
+    pool = found.where("d >= 0")
     ids = materialize(pool.select(F.col("a").alias("node")).union(pool.select(F.col("b").alias("node"))).distinct(), "near-ids")
     own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     texts = materialize(own.join(ids, "node"), "near-texts")
-    crowd = same.join(ids, "node").select("node", "s1", "s2", "n")
+    crowd = materialize(same.join(found.where("d < 0").select(F.col("a").alias("node")), "node", "left_semi").select("node", *BITS_OF, "n"), "near-crowd")
 
     best = F.row_number().over(W.partitionBy("b").orderBy("d", "a"))
     ranked = materialize(pool.withColumn("r", best), "near-ranked")
@@ -290,11 +314,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(materialize(test(_apart(ranked.where("r > 1"), comps)), "near-links"))
     tested = pool.select("a", "b")
     # Dense groups: further tries over rows that have neighbours, until a pass joins nothing.
-    size, done = ids.count(), n
+    size, done = crowd.count(), n
     each = max(BATCH, LEAST_BATCH // max(1, size))
     n, reach = tries(size, threshold, recall, DENSE_REACH), DENSE_REACH
     comps = materialize(connected_components(links), "near-comps")
-    while True:
+    while size:
         now = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
         lead = max(0, math.ceil(math.log2(max(1, size) / (64 * reach))))
         offers = forest(now, n, lead, first_try=done, reach=reach, every=True, threshold=threshold)

@@ -43,8 +43,8 @@ def slices(texts: list[str], most: int = 1 << 20, rows: int = 1 << 30):
 class Words:
     """Words of a list of texts: ``start``, ``end`` (bytes), ``doc`` (index of the text), ``per_doc`` (count)."""
 
-    def __init__(self, texts: list[str]):
-        data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    def __init__(self, texts: list[str] | list[bytes]):
+        data = [t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass") for t in texts]
         self.buf = np.frombuffer(b"\n".join(data) + b"\n", np.uint8)
         sizes = np.array([len(d) + 1 for d in data], np.int64)
         self.doc_end = np.cumsum(sizes)
