@@ -47,3 +47,59 @@ def test_stage_keeps_columns(spark, make_docs):
     docs = make_docs([(i, say(rnd, "en", 50), "s", "en") for i in range(60)] + [(99, "!!!", "s", "en")])
     out = g.stage(spark, docs, "")
     assert out.columns == docs.columns and out.count() == 60
+
+
+def test_letters_are_those_of_unicode():
+    assert all(map(g.has_letter, ["a", "é", "中", "ª", "1 я"]))
+    assert not any(map(g.has_letter, ["", "²½①Ⅷ", "123 _-", "!?", "٣"]))
+
+
+def test_equals_centroids_in_plain_python():
+    import math
+
+    def grams(t):
+        b = [x if 97 <= x <= 122 or x > 127 else 32 for x in (" " + t.lower() + " ").encode()]
+        out = {}
+        for n in (2, 3):
+            for i in range(len(b) - n + 1):
+                w = b[i : i + n]
+                if not w[0] == w[1] == 32:
+                    k = (int.from_bytes(bytes(w), "big") * 2654435761 & 0xFFFFFFFF) >> 20
+                    out[k] = out.get(k, 0) + 1
+        return out
+
+    texts = ["the end of it", "a  b", "éàü oui", "Die 3 Bären", "x"]
+    for t in texts:
+        row = g.gram_counts([t])[0]
+        assert {int(k): int(row[k]) for k in np.flatnonzero(row)} == grams(t)
+    rnd = np.random.default_rng(1)
+    c = rnd.random((6, g.DIMS))
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    model = g.Model(["aa", "bb", "cc"], rnd.random(g.DIMS).astype(np.float32), c, np.array([0, 0, 1, 1, 2, 2]), np.zeros(64))
+    lang, score, _ = g.predict(texts, model)
+    for t, name, value in zip(texts, lang, score):
+        x = {k: math.log1p(n) * float(model.idf[k]) for k, n in grams(t).items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        cosine = [sum(v * float(row[k]) for k, v in x.items()) / size for row in c]
+        assert name == model.languages[model.owner[int(np.argmax(cosine))]] and abs(value - max(cosine)) < 1e-5
+
+
+def test_many_languages_long_texts_and_clashing_columns(spark):
+    rnd = random.Random(4)
+    alphabet = "abcdefghijklmnopqrstuvwxyz"
+    langs = [f"l{i:03}" for i in range(330)]
+    parts = {lang: ["".join(rnd.choices(alphabet, k=4)) for _ in range(6)] for lang in langs}
+    rows = [(k, " ".join(rnd.choices(parts[lang], k=40)), lang, 0.5) for k, lang in enumerate(langs * 3)]
+    docs = spark.createDataFrame([*rows, (None, " ".join(parts["l007"] * 40_000), "l007", 1.0)], "doc_id long, text string, lang string, score double")
+    model = g.fit(docs)
+    assert model.languages == langs
+    out = g.identify(docs, model)
+    assert out.columns == ["doc_id", "text", "lang", "lang_pred", "score", "rejected"]
+    got = out.select("lang", "lang_pred").collect()
+    assert np.mean([r.lang == r.lang_pred for r in got]) > 0.99
+
+
+def test_equal_hashes_do_not_grow_the_sample(spark, make_docs):
+    docs = make_docs([(None, "the same words", "s", "en")] * 5000 + [(i, "la ou eau " * 3, "s", "fr") for i in range(30)])
+    model = g.fit(docs)
+    assert model.languages == ["en", "fr"]

@@ -59,3 +59,24 @@ def test_stage_keeps_columns_and_clean_rows(spark, make_docs):
     assert out.columns == docs.columns
     got = {r.doc_id: (r.text, r.n_chars) for r in out.select(F.col("doc_id"), "text", "n_chars").collect()}
     assert got == {1: (long, len(long)), 3: ("mine", 4), 4: ("only me", 7)}
+
+
+def test_equals_the_sql_on_small_documents(spark, make_docs, write_table, tmp_path):
+    import duckdb
+
+    con = duckdb.connect()
+    for seed in (1, 2):
+        docs = [(i, t) for i, t in cases(seed) if i < 62]
+        path = write_table(make_docs(docs))
+        con.execute(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{path}/documents.parquet/*.parquet'")
+        df = d.op10_line_dedup(spark, path)
+        cols = sorted(df.columns)
+        assert sorted(map(str, map(tuple, df.select(*cols).collect()))) == sorted(map(str, con.execute(f"SELECT {', '.join(cols)} FROM ({d.OP10_SQL})").fetchall()))
+
+
+def test_long_texts_and_clashing_columns(spark):
+    body = "\n".join(f"line {i} of a long text that has quite a number of words" for i in range(15_000))  # 0.8 MB
+    docs = spark.createDataFrame([(1, body, 5, "a"), (2, "own\n" + body, 6, "b")], "doc_id long, text string, n_lines int, kept string")
+    got = {r.doc_id: r for r in d.dedup_lines(docs).collect()}
+    assert got[1]._l_removed == 0 and got[2]._l_removed == 15_000 and got[2]._l_kept == "own" and got[2]._l_runs == 1
+    assert (got[1].n_lines, got[2].kept) == (5, "b")

@@ -62,3 +62,11 @@ def test_clean_prose_stays_and_junk_goes(spark, make_docs):
     junk = [(100 + i, " ".join(w.upper() + "***" for w in rnd.choices(words, k=150))) for i in range(12)]
     got = {r.doc_id: r.kept for r in q.judge(make_docs(clean + junk)).collect()}
     assert all(got[i] for i, _ in clean) and not any(got[i] for i, _ in junk)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    long = " ".join(f"word{i}" for i in range(120_000))  # 1 MB
+    docs = spark.createDataFrame([(1, long, "x", 7, 0.1, "v"), (2, None, "y", 8, 0.2, "v")], "doc_id long, text string, n_words string, kept int, posterior double, vote_length string")
+    got = {r.doc_id: r for r in q.judge(docs).collect()}
+    assert got[1].n_words == 120_000 and got[1].n_repeat_words == 0 and got[1].kept and not got[1].base_failed
+    assert got[2].n_words == 0 and got[2].base_failed and not got[2].kept

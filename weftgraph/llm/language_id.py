@@ -4,13 +4,14 @@ A text is a vector of hashed byte 2- and 3-grams of its letters, weighted by TF-
 several centroids, from spherical k-means over a sample of its texts; the language of the centroid with the largest cosine wins.  A text
 farther from it than texts of its length ever are is rejected (``rejected``); so is one without a letter (``und``).
 
-Fit: document frequencies count all training documents, and combine before the shuffle.  Centroids come from a bounded
-sample, ``SAMPLE`` documents in all, at most ``SAMPLE / languages`` of each language (those with the smallest id hash), over at most
-``LANGUAGES`` languages (the most frequent).  The model has a fixed size and travels with the task.
+Fit: document frequencies count all training documents, and combine before the shuffle.  Centroids come from a bounded sample of labelled
+documents: of each language those with the smallest hashes of (id, text), ``SAMPLE / languages`` or ``LEAST`` of them, whichever is more.  Every
+language is learned.  The model has ``CENTROIDS`` vectors of ``DIMS`` numbers a language and travels with the task.
 
-Cases: null text, or text without a letter: ``und``, score 0, rejected; whole texts are read, in slices of bounded size; ties between
+Cases: null text, or text without a letter (by Unicode category, so that numerals such as a superscript two are none): ``und``, score 0,
+rejected; whole texts are read, however long, in slices of bounded size; ties between
 centroids go to the first language by name; repeated rows get equal results; without any labelled document everything is ``und``; null ids
-are not held out and take part in fitting; other columns are kept by ``identify``.
+are not held out and take part in fitting; other columns are kept by ``identify``, but those named like its own are replaced.
 """
 
 from __future__ import annotations
@@ -22,16 +23,17 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read_table
 from .textbytes import slices
 
-DIMS, SAMPLE, LANGUAGES, CENTROIDS, STEPS = 4096, 3000, 300, 4, 12
+DIMS, SAMPLE, LEAST, CENTROIDS, STEPS = 4096, 3000, 40, 4, 12
 #: A text is rejected below this share of the smallest usual cosine of training texts of its length.
 SLACK, USUAL = 0.5, 0.01
-LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
 _KEEP = np.zeros(256, np.uint8)
 _KEEP[:] = 32
 _KEEP[97:123] = np.arange(97, 123)
@@ -39,6 +41,10 @@ _KEEP[128:] = np.arange(128, 256)
 _TABLE = _KEEP.tobytes()
 
 
+def has_letter(text: str) -> bool:
+    return bool(_ASCII_LETTER.search(text)) or any(map(str.isalpha, text))
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -89,7 +95,7 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model | None:
     """The model of a labelled table, or None if it has no labelled text."""
-    rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.abs(F.xxhash64(F.col(id_col), F.lit(2))).alias("h"))
+    rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("t"), F.col(lang_col).alias("l"), F.abs(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(2))).alias("h"))
 
     def frequencies(batches):
         df, n = np.zeros(DIMS, np.int64), 0
@@ -103,27 +109,31 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
     df = np.zeros(DIMS + 1)
     for r in rows.select("t").mapInArrow(frequencies, "dim int, n long").groupBy("dim").agg(F.sum("n").alias("n")).collect():  # DIMS + 1 rows
         df[r.dim] = r.n
-    by_lang = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(LANGUAGES).collect()
+    by_lang = rows.groupBy("l").count().collect()  # one row per language, as in the model
     if not by_lang:
         return None
     idf = np.log((1 + df[-1]) / (1 + df[:-1])).astype(np.float32) + 0.1
-    each = max(CENTROIDS, sample // len(by_lang))
-    top = 1 << 63
-    limit = F.create_map(*[F.lit(v) for r in by_lang for v in (r.l, min(top - 1, int(top * min(1.0, (1.2 * each + 20) / r["count"]))))])
+    each = max(LEAST, sample // len(by_lang))
+    # The hash of the last document drawn of each language, from rows without texts; a rank limit is applied before rows travel.
+    nearest = F.row_number().over(W.partitionBy("l").orderBy("h"))
+    ends = rows.select("l", "h").withColumn("r", nearest).where(F.col("r") <= each).groupBy("l").agg(F.max("h").alias("h")).collect()
+    limit = F.create_map(*[F.lit(v) for r in ends for v in (r.l, r.h)])
 
     def vectors(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts, rows=256):
-                c = np.minimum(gram_counts(texts[a:b]), 65535).astype("<u2")
+                c = gram_counts(texts[a:b]).astype("<u4")
                 yield pa.RecordBatch.from_pydict({"l": batch.column(1)[a:b], "h": batch.column(2)[a:b], "v": pa.array([zlib.compress(v.tobytes(), 1) for v in c], pa.binary())})
 
-    drawn = rows.where(F.col("h") <= F.try_element_at(limit, F.col("l"))).mapInArrow(vectors, "l string, h long, v binary").collect()  # about 1.2 * sample rows
+    # Where many rows share the last hash, the rank bounds what is collected.
+    drawn = rows.where(F.col("h") <= F.try_element_at(limit, F.col("l"))).withColumn("r", nearest).where(F.col("r") <= each).drop("r")
+    drawn = drawn.mapInArrow(vectors, "l string, h long, v binary").collect()  # at most ``each`` rows of a language
     languages = sorted({r.l for r in drawn})
     centroids, owner, sims, grams = [], [], [], []
     for k, name in enumerate(languages):
         mine = sorted((r.h, r.v) for r in drawn if r.l == name)[:each]
-        counts = np.stack([np.frombuffer(zlib.decompress(v), "<u2") for _, v in mine])
+        counts = np.stack([np.frombuffer(zlib.decompress(v), "<u4") for _, v in mine])
         counts = counts[counts.sum(1) > 0]
         if not len(counts):
             continue
@@ -146,7 +156,7 @@ def fit(train: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lan
 def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], np.ndarray, np.ndarray]:
     """(language, cosine, rejected) of each text."""
     lang, score, out = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-    live = [i for i, t in enumerate(texts) if t and LETTER.search(t)]
+    live = [i for i, t in enumerate(texts) if t and has_letter(t)]
     if model is None:
         return lang, score, out
     own = [texts[i] for i in live]
@@ -163,6 +173,7 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], np
 
 def identify(docs: DataFrame, model: Model | None, *, text_col: str = "text", names=("lang_pred", "score", "rejected")) -> DataFrame:
     """``docs`` with the predicted language, its cosine, and whether it is rejected."""
+    docs = docs.drop(*names)
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
     at = docs.columns.index(text_col)
 

@@ -2,10 +2,11 @@ r"""Repeated runs of lines across all documents, found by distributed prefix dou
 
 The suffixes of all line sequences are grouped by their first ``h`` lines; a round doubles ``h`` by naming each suffix after
 the pair (its group, the group of the suffix ``h`` lines on).  Only suffixes whose group has two members or more stay active.
-Doubling ends at ``min_lines``: a repeated run of that length or more is the union of its windows of ``min_lines`` lines, so
-consecutive flagged suffixes are the intervals of longest common prefixes of at least that length, and merge into the
-maximal runs.  Of each group the smallest (doc_id, position) is the first copy; every later one is deleted.  A single line is
-also deleted as a later copy if it has ``min_words`` words or more.
+The array is depth-limited: doubling ends at ``min_lines``, where a group is an interval of suffixes whose longest common prefix has that many
+lines at least.  More order would not change a run: a maximal repeated run is the union of its windows of ``min_lines`` lines, each of which
+has an earlier copy if the run has, and the other way round; so consecutive flagged suffixes merge into the maximal runs (the oracle
+extends suffixes to their full common prefixes instead, and must agree).  Of each group the smallest (doc_id, position) is the first copy; every later one is
+deleted.  A run of one line counts if it has ``min_words`` words or more.
 
 Only DataFrame functions are used.  Text is split once into 128-bit line names; the groups' first members come from an
 aggregate with map-side combine, so a line that a third of all documents hold is one row per task before the shuffle, and the
@@ -13,7 +14,8 @@ join back is one that adaptive execution can split.  No window covers more than
 
 Cases: lines without a word are kept and stand in no run; null text stays null and has no lines, empty text has one; rows with equal doc_id
 and equal text count as one document and each gets the same result; a null doc_id sorts first; repeats inside one document
-count; an empty table gives an empty result; other columns are kept, working columns are prefixed ``_l_``.
+count; ties are copies, told apart by place; very long texts are split inside their row; an empty table gives an empty result; other columns are
+kept, also such as are named like the query's; working columns are prefixed ``_l_``.
 """
 
 from __future__ import annotations
@@ -87,25 +89,35 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_l_lines").alias("n_lines"), F.col("_l_removed").alias("n_removed"), F.col("_l_runs").alias("n_runs"), F.sha2(F.coalesce("_l_kept", F.lit("")), 256).alias("kept_sha256"))
 
 
+# The oracle does not know of windows: it extends every suffix line by line for as long as its prefix occurs elsewhere, takes the longest
+# prefix of each that has an earlier copy, and deletes that whole run if it has two lines, or one of ten words.
 OP10_SQL = r"""
-WITH l AS (
+WITH RECURSIVE l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents
 ), w AS (
   SELECT doc_id, i, line, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p,
          len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS nw
   FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
-), n AS (
-  SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY p) AS nx FROM w
-), e AS (
-  SELECT *, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) > 1 AS e1,
-         nx IS NOT NULL AND row_number() OVER (PARTITION BY line, nx ORDER BY doc_id, p) > 1 AS e2 FROM n
-), r AS (
-  SELECT *, (e1 AND nw >= 10) OR e2 OR coalesce(lag(e2) OVER (PARTITION BY doc_id ORDER BY p), false) AS gone FROM e
+), x(doc_id, p, n, k, later) AS (
+  SELECT doc_id, p, 1, k, r > 1 FROM (
+    SELECT doc_id, p, md5(line) AS k, count(*) OVER (PARTITION BY line) AS c, row_number() OVER (PARTITION BY line ORDER BY doc_id, p) AS r FROM w
+  ) WHERE c > 1
+  UNION ALL
+  SELECT doc_id, p, n, k, r > 1 FROM (
+    SELECT doc_id, p, n, k, count(*) OVER (PARTITION BY k) AS c, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS r FROM (
+      SELECT x.doc_id, x.p, x.n + 1 AS n, md5(x.k || chr(10) || w.line) AS k FROM x JOIN w ON w.doc_id = x.doc_id AND w.p = x.p + x.n
+    )
+  ) WHERE c > 1
+), m AS (
+  SELECT doc_id, p, max(n) AS n FROM x WHERE later GROUP BY doc_id, p
+), c AS (
+  SELECT DISTINCT m.doc_id, m.p + o.o AS p FROM m JOIN w ON w.doc_id = m.doc_id AND w.p = m.p, unnest(range(m.n)) AS o(o)
+  WHERE m.n >= 2 OR w.nw >= 10
 ), s AS (
-  SELECT doc_id, i, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts, gone FROM r
+  SELECT w.doc_id, w.i, c.p - coalesce(lag(c.p) OVER (PARTITION BY c.doc_id ORDER BY c.p), -1) > 1 AS starts FROM c JOIN w ON w.doc_id = c.doc_id AND w.p = c.p
 ), a AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE s.gone) AS n_removed, count(*) FILTER (WHERE s.starts) AS n_runs,
-         string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE s.gone IS NULL OR NOT s.gone) AS kept
+  SELECT l.doc_id, count(*) AS n_lines, count(s.i) AS n_removed, count(*) FILTER (WHERE s.starts) AS n_runs,
+         string_agg(l.line, chr(10) ORDER BY l.i) FILTER (WHERE s.i IS NULL) AS kept
   FROM l LEFT JOIN s ON l.doc_id = s.doc_id AND l.i = s.i GROUP BY l.doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,

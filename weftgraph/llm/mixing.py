@@ -8,7 +8,7 @@ Scale: the text is reduced to one count per row in the scan.  Prefix sums run ov
 combine before the shuffle, so a source with a third of all rows is spread over ``buckets`` groups.  The sources, one aggregated row each,
 are ranked by a sort of that small table (it spills, and is never collected); their targets come from aggregates (water filling).
 
-Cases: null or empty texts have size 0 and ``taken`` 0 (they add no words); a null source is a source of its own, last in
+Cases: very long texts are one row with a large size (a source is off its target by half of one document at most); null or empty texts have size 0 and ``taken`` 0 (they add no words); a null source is a source of its own, last in
 order; equal ids get equal keys and are told apart by size, then are interchangeable; an empty table gives an empty result; extra columns
 are kept in ``mix`` and never clash, since working columns are prefixed ``_m_``.
 """

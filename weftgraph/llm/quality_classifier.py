@@ -2,15 +2,16 @@
 
 A document is a bag of passages of ``PASSAGE`` words.  Every passage is encoded (shares of byte classes, word shape, repetition,
 hashed words), a hidden layer maps it to a vector, gated attention weighs the vectors, and the weighted sum gives the score.  Weights
-come from document labels alone, by Adam on a bounded sample: ``SAMPLE`` labelled documents (the smallest id hashes), of each
-at most ``TRAIN_PASSAGES`` evenly spaced passages.  Scoring reads all passages of all documents.
+come from document labels alone, by Adam on a bounded sample of labelled rows: the ``SAMPLE`` with the smallest id hashes, or as many of them as have
+``PASSAGES`` passages together (one at least), each with all its passages.  Scoring reads all passages of all documents.
 
 Scale: the label table is joined to ids and texts of the training draw only, after a filter on the id hash; the model has a fixed size and
 travels with the task; a worker holds one slice of texts.
 
-Cases: null, empty and blank texts are a bag of one empty passage and get that bag's score; repeated rows get equal scores; several labels of
+Cases: null, empty and blank texts are a bag of one empty passage and get that bag's score; very long texts are bags of many passages, in
+training too; repeated rows get equal scores and are learned from once; ties in the hash go by the text's hash and the label; several labels of
 one id count once each; without labels, or with labels of one kind only, the score is the share of label 1 (0.5 if there is none); null labels are
-left out; other columns are kept by ``score``.
+left out; other columns are kept by ``score``, but one named like its own is replaced.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import count_words, read_table
 from .textbytes import Words, slices
 
-PASSAGE, SAMPLE, TRAIN_PASSAGES, HASHED = 64, 4000, 64, 32
+PASSAGE, SAMPLE, PASSAGES, HASHED = 64, 4000, 200_000, 32
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY, SEED = 24, 12, 20, 64, 0.01, 1e-4, 7
 THRESHOLD = 0.3
 _KINDS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\x0b\x0c\r", b"\n", b".", b",", b"!", b"?", b"#", b"*", b"$", b"%", b"&", b"|", b"<>", b"@", b":;", b"/\\", b"'\"", b"()[]{}", b"-_+=~^`"]
@@ -91,6 +92,20 @@ def _forward(p: dict, x: np.ndarray, starts: np.ndarray, n: np.ndarray):
     return h, t, g, attention, z, 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"], -30, 30)))
 
 
+def gradients(p: dict, x: np.ndarray, k: np.ndarray, y: np.ndarray) -> dict:
+    """Of the mean cross entropy of bags of ``k`` passages ``x`` with labels ``y``."""
+    starts = np.cumsum(k) - k
+    h, t, g, att, z, out = _forward(p, x, starts, k)
+    dl = (out - y) / len(y)
+    dz = np.repeat(dl[:, None] * p["c"], k, axis=0)
+    da = (h * dz).sum(1)
+    ds = att * (da - np.repeat(np.add.reduceat(att * da, starts), k))
+    dt = ds[:, None] * p["a"] * g * (1 - t**2)
+    dg = ds[:, None] * p["a"] * t * g * (1 - g)
+    dh = (att[:, None] * dz + dt @ p["v"].T + dg @ p["u"].T) * (1 - h**2)
+    return {"w": x.T @ dh, "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ ds, "c": z.T @ dl, "d": np.array([dl.sum()])}
+
+
 def train(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> Model:
     """Gated-attention weights from passages ``x`` of bags of ``n`` passages with labels ``y``."""
     prior = float(y.mean()) if len(y) else 0.5
@@ -111,15 +126,7 @@ def train(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> Model:
             k = n[docs]
             starts = np.cumsum(k) - k
             rows = np.repeat(first[docs] - starts, k) + np.arange(k.sum())
-            h, t, g, att, z, out = _forward(p, x[rows], starts, k)
-            dl = (out - y[docs]) / len(docs)
-            dz = np.repeat(dl[:, None] * p["c"], k, axis=0)
-            da = (h * dz).sum(1)
-            ds = att * (da - np.repeat(np.add.reduceat(att * da, starts), k))
-            dt = ds[:, None] * p["a"] * g * (1 - t**2)
-            dg = ds[:, None] * p["a"] * t * g * (1 - g)
-            dh = (att[:, None] * dz + dt @ p["v"].T + dg @ p["u"].T) * (1 - h**2)
-            grad = {"w": x[rows].T @ dh, "b": dh.sum(0), "v": h.T @ dt, "u": h.T @ dg, "a": (t * g).T @ ds, "c": z.T @ dl, "d": np.array([dl.sum()])}
+            grad = gradients(p, x[rows], k, y[docs])
             step += 1
             for q in p:
                 d = grad[q] + DECAY * p[q] * (q not in "bd")
@@ -145,33 +152,44 @@ def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, passages_in_all: int = PASSAGES) -> Model:
     """Model of the labelled documents; ``labels`` holds the ids that may be learned from, and no others."""
     h = F.abs(F.xxhash64(F.col(id_col), F.lit(7)))
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(label_col).cast("double").alias("_y"))
+    known = known.withColumn("_h", F.abs(F.xxhash64("_i", F.lit(7))))
     n = known.count()
     limit = min((1 << 63) - 1, int((1 << 63) * min(1.0, (1.1 * sample + 50) / max(1, n))))
-    drawn = known.where(F.abs(F.xxhash64("_i", F.lit(7))) <= limit)
-    rows = docs.where(h <= limit).select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(drawn, "_i").select("_t", "_y", F.abs(F.xxhash64("_i", F.lit(7))).alias("_h"))
+    drawn = known.where(F.col("_h") <= limit).orderBy("_h", "_i", "_y").limit(sample)  # a top-k, so the join's small side is bounded
+    rows = docs.where(h <= limit).select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(F.broadcast(drawn), "_i")
+    rows = rows.select("_t", "_y", "_h", F.xxhash64("_t").alias("_g"))
+    key = ["_h", "_g", "_y"]
+    size = F.greatest(F.lit(1), F.ceil(F.coalesce(count_words(F.col("_t")), F.lit(0)) / PASSAGE)).alias("_k")
+    total, last = 0, None
+    for r in rows.select(*key, size).distinct().orderBy(*key).limit(sample).collect():
+        total += r._k
+        if last is not None and total > passages_in_all:
+            break
+        last = (r._h, r._g, r._y)
+    if last is None:
+        return train(np.zeros((0, WIDTH)), np.zeros(0, int), np.zeros(0))
+    rows = rows.where(F.struct(*key) <= F.struct(*map(F.lit, last))).dropDuplicates(key)
 
     def encode(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column(0).to_pylist()]
             for a, b in slices(texts, rows=1024):
                 x, k = passages(texts[a:b])
-                ends = np.cumsum(k)
-                kept = [e - c + np.unique(np.linspace(0, c - 1, min(c, TRAIN_PASSAGES)).astype(int)) for e, c in zip(ends, k)]
-                yield pa.RecordBatch.from_pydict({"x": pa.array([x[i].tobytes() for i in kept], pa.binary()), "y": batch.column(1)[a:b], "h": batch.column(2)[a:b]})
+                parts = np.split(x, np.cumsum(k)[:-1])
+                yield pa.RecordBatch.from_pydict({"x": pa.array([v.tobytes() for v in parts], pa.binary()), "y": batch.column(1)[a:b], "h": batch.column(2)[a:b]})
 
-    got = sorted(rows.mapInArrow(encode, "x binary, y double, h long").collect(), key=lambda r: (r.h, r.y, r.x))[:sample]  # about ``sample`` rows
+    got = sorted(rows.select("_t", "_y", "_h").mapInArrow(encode, "x binary, y double, h long").collect(), key=lambda r: (r.h, r.y, r.x))  # bounded by ``sample`` and ``passages_in_all``
     bags = [np.frombuffer(r.x, np.float32).reshape(-1, WIDTH) for r in got]
-    if not bags:
-        return train(np.zeros((0, WIDTH)), np.zeros(0, int), np.zeros(0))
     return train(np.concatenate(bags), np.array([len(b) for b in bags]), np.array([float(r.y > 0) for r in got]))
 
 
 def score(docs: DataFrame, model: Model, *, text_col: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with a score from 0 to 1, higher where label 1 is likelier."""
+    docs = docs.drop(name)
     at = docs.columns.index(text_col)
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 

@@ -9,7 +9,8 @@ Only DataFrame functions touch the rows.  The one thing that reaches the driver
 row, so nothing but patterns is shuffled.
 
 Cases: null and empty texts have no word and fail the base check; very long texts are sorted by window inside their row;
-repeated rows each get their own result; an empty table gives an empty result; other columns are kept, working columns are prefixed ``_q_``.
+repeated rows each get their own result; a posterior of exactly ``KEEP`` is kept, and texts of equal votes get equal posteriors; an empty table gives
+an empty result; other columns are kept, but those named like the operator's own are replaced; working columns are prefixed ``_q_``.
 """
 
 from __future__ import annotations
@@ -27,12 +28,13 @@ ROUNDS, PRIOR = 30, 0.8
 #: On good documents a rule is trusted no less than a coin toss; on either kind no further than this.
 BOUNDS = (0.5, 0.998)
 KEEP = 0.5
+OWN = {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "posterior", "kept"}
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without its text, with ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` and more."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    other = [c for c in docs.columns if c != text_col]
+    other = [c for c in docs.columns if c not in OWN and c != text_col and not c.startswith(("_q_", "vote_"))]
     d = docs.select(
         *other,
         F.length(F.regexp_replace(text, SPACE, "")).cast("long").alias("word_chars"),
