@@ -45,8 +45,10 @@ from pyspark.sql import functions as F
 from .common import connected_components, materialize, read_table
 from .textbytes import Words, mix, slices
 
-SHINGLE, THRESHOLD, RECALL, REACH, BITS, SEED = 5, 0.8, 0.97, 128, 72, 11
+SHINGLE, THRESHOLD, RECALL, REACH, BITS, SEED = 5, 0.8, 0.95, 128, 72, 11
 SKETCH, SIGMAS, WIDE = 64, 5.0, 256
+#: So many ids are sent to all tasks to pick their texts; of more, texts are joined by a shuffle.
+SENT = 1 << 20
 DENSE_REACH, BATCH, LEAST_BATCH = 256, 8, 1 << 16
 _MARKS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 #: The bits of a byte as 0 or 1 in the bytes of a word, so that eight counters add up in one.
@@ -131,7 +133,7 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def tries(rows: int, threshold: float = THRESHOLD, recall: float = RECALL, reach: int = REACH) -> int:
     """How many permutations a pair at the threshold needs to share a deep enough prefix with probability ``recall``."""
-    depth = max(0, math.ceil(math.log2(max(1, rows) / reach)) + 1)
+    depth = max(0.0, math.log2(max(1, rows) / reach) + 0.5)
     agree = 1 - math.acos(threshold) / math.pi
     hit = agree**depth
     return 8 if hit > 0.999 else max(8, math.ceil(math.log(1 - recall) / math.log(1 - hit)))
@@ -145,22 +147,24 @@ def _permutations(n: int) -> list[np.ndarray]:
 def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reach: int = REACH, every: bool = False, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, d): candidate pairs, ``b`` of higher rank, and their distance in bits.
 
-    ``reps``: (node, comp, s1 to s4, n).  In every try each row offers its nearest row on either side and the earlier one of lowest
+    ``reps``: (node, s1 to s4, n, and maybe comp).  In every try each row offers its nearest row on either side and the earlier one of lowest
     rank, among those within ``reach`` places and ``bits`` bits, of another component and of a size that allows ``threshold``; with
     ``every``, all of these.  Rows (a, a, -1) name those that met more than they offered.
     """
 
+    names = [*BITS_OF, "node", "n", *(["comp"] if "comp" in reps.columns else [])]  # without ``comp`` each row is its own
+
     def plant(batches):
         perms = _permutations(first_try + n_tries)[first_try:]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = np.stack([np.asarray(batch.column(i)).view(U) for i in range(2, 6)], 1).astype(">u8")
+            s = np.stack([np.asarray(batch.column(i)).view(U) for i in range(4)], 1).astype(">u8")
             plane = np.unpackbits(np.ascontiguousarray(s).view(np.uint8).reshape(len(s), WIDE // 8), axis=1)
             for t, perm in enumerate(perms):
                 key = np.ascontiguousarray(np.packbits(plane[:, perm[:64]], axis=1)).view(">u8").ravel().astype(U)
-                cell = (key >> U(64 - lead)).astype(np.int64) if lead else np.zeros(len(s), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), t, np.int32)), pa.array(cell), pa.array((key ^ U(1 << 63)).view(np.int64)), *batch.columns], names=["t", "cell", "key", "node", "comp", *BITS_OF, "n"])
+                cell = np.full(len(s), t << 32) + ((key >> U(64 - lead)).astype(np.int64) if lead else 0)
+                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array((key ^ U(1 << 63)).view(np.int64)), *batch.columns], names=["cell", "key", *names])
 
     def offered(node, rank, i, j, d):
         up = rank[i] > rank[j]
@@ -175,8 +179,8 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
         for batch in batches:
             if not batch.num_rows:
                 continue
-            now = [np.asarray(batch.column(i)) for i in (0, 1, 3, 4, 5, 6, 7, 8, 9)]
-            t, cell, node, comp, *s, size = both = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            now = [np.asarray(c) for c in (batch.column(0), *batch.columns[2:])]
+            cell, *s, node, size, comp = both = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             old, n = 0 if held is None else len(held[0]), len(node)
             rank, s = mix(node.view(U)), [x.view(U) for x in s]  # bits are counted unsigned
             near, near_at = np.full(n, 1 << 10, np.int64), np.full(n, -1)
@@ -190,7 +194,7 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
                 i = i[d <= bits]
                 j = i - k
                 d = apart(s, i, j)
-                ok = (d <= bits) & (t[i] == t[j]) & (cell[i] == cell[j]) & (comp[i] != comp[j])
+                ok = (d <= bits) & (cell[i] == cell[j]) & (comp[i] != comp[j])
                 ok &= np.minimum(size[i], size[j]) >= threshold**2 * np.maximum(size[i], size[j]) - 1e-9
                 if not ok.any():
                     continue
@@ -220,8 +224,9 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
                 yield pa.RecordBatch.from_arrays([pa.array(node[more]), pa.array(node[more]), pa.array(np.full(len(more), -1))], names=["a", "b", "d"])
             held = [x[-reach:] for x in both]
 
-    planted = reps.select("node", "comp", *BITS_OF, "n").mapInArrow(plant, "t int, cell long, key long, node long, comp long, s1 long, s2 long, s3 long, s4 long, n long")
-    spread = planted.repartition("t", "cell").sortWithinPartitions("t", "cell", "key", "node")
+    planted = reps.select(*names).mapInArrow(plant, "cell long, key long, " + ", ".join(f"{c} long" for c in names))
+    spread = planted.repartition("cell").sortWithinPartitions("cell", "key", "node")
+    spread = spread if "comp" in names else spread.withColumn("comp", F.col("node"))
     return spread.mapInArrow(look, "a long, b long, d long").distinct()
 
 
@@ -247,18 +252,18 @@ def possible(one: list[bytes], two: list[bytes], n1: np.ndarray, n2: np.ndarray,
 
 
 def screened(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) that their sketches don't rule out; ``sets``: (node, n, sketch)."""
+    """The pairs (a, b, d) that their sketches don't rule out; ``sets``: (node, n, sketch)."""
     for c in ("a", "b"):
         pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}")), c)
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                n1, n2 = (np.asarray(batch.column(i)) for i in (2, 4))
-                ok = pa.array(possible(batch.column(3).to_pylist(), batch.column(5).to_pylist(), n1, n2, threshold))
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(ok), batch.column(1).filter(ok)], names=["a", "b"])
+                n1, n2 = (np.asarray(batch.column(i)) for i in (3, 5))
+                ok = pa.array(possible(batch.column(4).to_pylist(), batch.column(6).to_pylist(), n1, n2, threshold))
+                yield pa.RecordBatch.from_arrays([batch.column(i).filter(ok) for i in range(3)], names=["a", "b", "d"])
 
-    return pairs.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "d", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long, d long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -298,21 +303,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = same.count()
     n = tries(rows, threshold, recall)
     lead = max(0, math.ceil(math.log2(max(1, rows) / (64 * REACH))))
-    found = materialize(forest(same.withColumn("comp", F.col("node")), n, lead, threshold=threshold), "near-pool")
-    pool = found.where("d >= 0")
-    ids = materialize(pool.select(F.col("a").alias("node")).union(pool.select(F.col("b").alias("node"))).distinct(), "near-ids")
+    found = materialize(forest(same, n, lead, threshold=threshold), "near-found")
+    sets = same.select("node", "n", "sketch")
+    pool = materialize(screened(found.where("d >= 0"), sets, threshold), "near-pool")
+    crowd = same.join(found.where("d < 0").select(F.col("a").alias("node")), "node", "left_semi").select("node", *BITS_OF, "n")
+    crowd = materialize(crowd, "near-crowd")
+    ids = pool.select(F.col("a").alias("node")).union(pool.select(F.col("b").alias("node"))).union(crowd.select("node")).distinct()
+    ids = materialize(ids, "near-ids")
     own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    texts = materialize(own.join(ids, "node"), "near-texts")
-    crowd = materialize(same.join(found.where("d < 0").select(F.col("a").alias("node")), "node", "left_semi").select("node", *BITS_OF, "n"), "near-crowd")
+    texts = materialize(own.join(F.broadcast(ids) if ids.count() <= SENT else ids, "node"), "near-texts")
 
     best = F.row_number().over(W.partitionBy("b").orderBy("d", "a"))
     ranked = materialize(pool.withColumn("r", best), "near-ranked")
-    sets = same.select("node", "n", "sketch")
-    test = lambda pairs: verified(screened(pairs.select("a", "b"), sets, threshold), texts, threshold)
-    links = materialize(test(ranked.where("r = 1")), "near-links")
+    links = materialize(verified(ranked.where("r = 1"), texts, threshold), "near-links")
     comps = materialize(connected_components(links), "near-comps")
-    links = links.unionByName(materialize(test(_apart(ranked.where("r > 1"), comps)), "near-links"))
-    tested = pool.select("a", "b")
+    links = links.unionByName(materialize(verified(_apart(ranked.where("r > 1"), comps), texts, threshold), "near-links"))
+    tested = found.where("d >= 0").select("a", "b")
     # Dense groups: further tries over rows that have neighbours, until a pass joins nothing.
     size, done = crowd.count(), n
     each = max(BATCH, LEAST_BATCH // max(1, size))
@@ -323,13 +329,14 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         lead = max(0, math.ceil(math.log2(max(1, size) / (64 * reach))))
         offers = forest(now, n, lead, first_try=done, reach=reach, every=True, threshold=threshold)
         offers = materialize(offers.join(tested, ["a", "b"], "left_anti"), "near-offers")
-        tested, done, reach, joined, left = tested.unionByName(offers.select("a", "b")), done + n, 2 * reach, 0, offers
+        tested, done, reach, joined = tested.unionByName(offers.select("a", "b")), done + n, 2 * reach, 0
+        left = materialize(screened(offers, sets, threshold), "near-left")
         while waiting := left.count():
             batch = left
             if more := waiting > each * size:
                 left = materialize(left.withColumn("r", best), "near-ranked")
                 batch, left = left.where(F.col("r") <= each), left.where(F.col("r") > each).select("a", "b", "d")
-            new = materialize(test(batch), "near-links")
+            new = materialize(verified(batch, texts, threshold), "near-links")
             if found := new.count():
                 joined, links = joined + found, links.unionByName(new)
                 comps = materialize(connected_components(links), "near-comps")
