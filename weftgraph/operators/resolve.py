@@ -64,6 +64,13 @@ def return_types(nodes: DataFrame) -> DataFrame:
     return nodes.where("type IN ('function', 'method')").select("id", t.alias("type")).where("type IS NOT NULL")
 
 
+def folded(path: Column) -> Column:
+    """A relative path without ``.`` and ``..``; what leads out of the workspace keeps its leading ``..`` and so names no file."""
+    last = lambda a: F.try_element_at(a, F.lit(-1))
+    step = lambda a, x: F.when((x == "") | (x == "."), a).when((x == "..") & (F.size(a) > 0) & (last(a) != ".."), F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.array_append(a, x))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.expr("cast(array() AS array<string>)"), step), "/")
+
+
 def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(ref_id, target_file) for imports (ref_id, source_file, target): the first candidate path that is a file, or ends one.
 
@@ -71,7 +78,7 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """
     lang = F.coalesce(language_of(F.col("source_file")), F.lit("python"))
     path = S.is_path_target(F.col("target"), lang)
-    here = F.regexp_replace(F.concat_ws("/", S.null_if_empty(dir_name(F.col("source_file"))), F.regexp_replace("target", r"^(\./)+", "")), r"[^/]+/\.\./", "")
+    here = folded(F.concat_ws("/", S.null_if_empty(dir_name(F.col("source_file"))), F.col("target")))
     sufs = F.try_element_at(F.create_map(*[x for k, v in S.SUFFIXES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))]), lang)
     whole = F.concat(F.array(here), F.transform(sufs, lambda s: F.concat(here, s)))
     rows = imports.withColumn("_path", path).withColumn("_c", F.when(path, F.concat(whole, F.array(base_name(F.col("target"))))).otherwise(S.import_candidates(F.col("target"), lang)))
@@ -125,7 +132,7 @@ def lookup_class(rows: DataFrame, ix: Index) -> DataFrame:
     s = rows.select("ref_id", "file", "dir", "lang", F.posexplode(spell).alias("k", "sp"))
     ids = s.select("ref_id", F.posexplode(F.array("sp", F.concat("file", F.lit("::"), "sp"))).alias("j", "cand"), "k").select("ref_id", (F.col("k") * 2 + F.col("j")).alias("pos"), "cand")
     imp = s.join(ix.imported.toDF("file", "sp", "tf", "orig"), ["file", "sp"]).select("ref_id", (F.col("k") + 100).alias("pos"), F.concat("tf", F.lit("::"), "orig").alias("cand"))
-    direct = ids.unionByName(imp).join(ix.nodes.select(F.col("id").alias("cand")), "cand").select("ref_id", "pos", "cand", F.lit(0).cast("long").alias("seq"))
+    direct = ids.unionByName(imp).join(ix.nodes.select(F.col("id").alias("cand")), "cand").select("ref_id", "pos", "cand", F.lit(None).alias("seq"))
     classes = ix.nodes.where(F.col("type").isin(*L.CLASS_LIKE)).select(F.col("label").alias("sp"), F.col("id").alias("cand"), "seq", dir_name(F.col("source_file")).alias("cd"))
     near = F.col("lang").isin(*L.SIBLINGS) & (F.col("cd") == F.col("dir"))
     label = s.join(classes, "sp").select("ref_id", F.when(near, F.col("k") * 2 + 200).otherwise(F.col("k") * 2 + 201).alias("pos"), "cand", "seq")
@@ -134,7 +141,7 @@ def lookup_class(rows: DataFrame, ix: Index) -> DataFrame:
 
 def find_method(rows: DataFrame, ix: Index) -> DataFrame:
     """(ref_id, method_id) for rows (ref_id, class_id, method): the class's member, else one of an equally named class."""
-    own = rows.select("ref_id", F.concat("class_id", F.lit("."), "method").alias("id")).join(ix.nodes.select("id"), "id").select("ref_id", F.lit(0).alias("pos"), F.lit(0).cast("long").alias("seq"), "id")
+    own = rows.select("ref_id", F.concat("class_id", F.lit("."), "method").alias("id")).join(ix.nodes.select("id"), "id").select("ref_id", F.lit(0).alias("pos"), F.lit(None).alias("seq"), "id")
     members = ix.nodes.where("type IN ('function', 'method') AND id LIKE '%::%.%'").select(F.col("label").alias("method"), "id", "seq", F.regexp_extract("id", r"(?:::|\.)([^.:]+)\.[^.]*$", 1).alias("cls"))
     name = F.element_at(F.split("class_id", r"::|\."), -1)
     other = rows.withColumn("cls", name).join(members, ["method", "cls"]).select("ref_id", F.lit(1).alias("pos"), "seq", "id")
@@ -194,7 +201,7 @@ def step_package(r: DataFrame, ix: Index) -> DataFrame:
 
 
 def step_import(r: DataFrame, ix: Index) -> DataFrame:
-    """By explicit import.  A symbol import that does not exist stops the chain; a module's missing member does not."""
+    """By explicit import.  An imported symbol stands in for a member that it lacks; if it does not exist itself the chain stops; a module's missing member goes on."""
     i = r.join(ix.imported.toDF("file", "main", "tf", "orig"), ["file", "main"])
     stem = F.regexp_replace(base_name(F.col("tf")), r"\.[^.]*$", "")
     i = cut(i.withColumn("module", (F.col("orig") == "*") | (F.col("orig") == stem)))
@@ -204,9 +211,11 @@ def step_import(r: DataFrame, ix: Index) -> DataFrame:
     mod = mod.join(within, "ref_id", "left")
     cand = F.when(F.col("rest") != "", F.array(F.concat("tf", F.lit("::"), "rest"), F.col("_s"))).otherwise(F.array(F.concat("tf", F.lit("::"), "main"), F.col("tf")))
     hits = _first_existing(mod, cand, ix.nodes)
-    sym = i.where("NOT module").withColumn("_t", F.concat_ws(".", F.concat("tf", F.lit("::"), "orig"), S.null_if_empty(F.col("rest"))))
-    there = sym.join(ix.nodes.select(F.col("id").alias("_t"), F.lit(True).alias("_ok")), "_t", "left")
-    return hits.unionByName(there.select("ref_id", F.when(F.col("_ok"), "hit").otherwise("stop").alias("status"), F.when(F.col("_ok"), F.col("_t")).alias("target")))
+    sym = i.where("NOT module").withColumn("_b", F.concat("tf", F.lit("::"), "orig")).withColumn("_t", F.when(F.col("rest") != "", F.concat("_b", F.lit("."), "rest")))
+    ids = lambda c: ix.nodes.select(F.col("id").alias(c), F.lit(True).alias(c + "_ok"))
+    there = sym.join(ids("_b"), "_b", "left").join(ids("_t"), "_t", "left")
+    target = F.when(F.col("_b_ok"), F.when(F.col("_t_ok"), F.col("_t")).otherwise(F.col("_b")))
+    return hits.unionByName(there.select("ref_id", F.when(F.col("_b_ok"), "hit").otherwise("stop").alias("status"), target.alias("target")))
 
 
 def step_wildcard(r: DataFrame, ix: Index) -> DataFrame:
@@ -230,38 +239,86 @@ def step_global(r: DataFrame, ix: Index) -> DataFrame:
 CHAIN = (step_builtin, step_local_binding, step_self, step_class, step_file, step_package, step_import, step_wildcard, step_global)
 
 
-def resolve(refs: DataFrame, ix: Index, chain=CHAIN) -> DataFrame:
-    """(ref_id, step, status, target) of each reference (ref_id, caller, callee); ``miss`` where no step decides."""
-    r = cut(wide(refs, ix.nodes))
+def resolve(refs: DataFrame, ix: Index, chain=CHAIN, by_language: dict[str, tuple] | None = None) -> DataFrame:
+    """(ref_id, step, status, target) of each reference (ref_id, caller, callee); ``miss`` where no step decides.
+
+    ``by_language`` gives references of a language a chain of their own.
+    """
+    r, own = cut(wide(refs, ix.nodes)), by_language or {}
     out = None
-    for k, step in enumerate(chain, 1):
-        got = step(r, ix).select("ref_id", F.lit(k).alias("step"), "status", "target")
-        out = got if out is None else out.unionByName(got)
+    for lang, steps in [(None, chain), *own.items()]:
+        rows = r.where(F.col("lang") == lang) if lang else r.where(~F.col("lang").isin(*own)) if own else r
+        for k, step in enumerate(steps, 1):
+            got = step(rows, ix).select("ref_id", F.lit(k).alias("step"), "status", "target")
+            out = got if out is None else out.unionByName(got)
     best = out.groupBy("ref_id").agg(F.min_by(F.struct("step", "status", "target"), "step").alias("x"))
     return refs.select("ref_id").join(best, "ref_id", "left").select("ref_id", F.coalesce("x.step", F.lit(0)).alias("step"), F.coalesce("x.status", F.lit("miss")).alias("status"), "x.target")
 
 
-def propagate_types(ix: Index, rounds: int = 10) -> DataFrame:
-    """(node_id, var, bound): variables bound to other variables or to calls take over their types, until nothing changes."""
-    state = cut(ix.bindings)
-    rt = cut(return_types(ix.nodes))
-    files = ix.nodes.select(F.col("id").alias("node_id"), "source_file")
-    functions = ix.nodes.where("type IN ('function', 'method')")
+def evaluate(todo: DataFrame, state: DataFrame, ix: Index, chain=CHAIN, transfer=None) -> DataFrame:
+    """(node_id, var, value): what the variables of ``todo`` (node_id, var, bound) stand for; no row where nothing is found.
+
+    A name bound in the same node passes its value on once that is a node; other names are a class by id or by unique label, or what the
+    chain resolves them to: a class is itself, a function its return type, looked up in its own file, then by the chain from
+    there, then left as a name.  ``transfer(type, id)`` may give another type first, as a column.
+    """
+    ids = ix.nodes.select("id")
+    other = state.select("node_id", F.col("var").alias("bound"), F.col("bound").alias("value"))
+    alias = todo.join(other, ["node_id", "bound"]).select("node_id", "var", "bound", "value")
+    passed = alias.join(ids, alias.value == ids.id, "left_semi").select("node_id", "var", "value")
+    probe = F.trim(F.split_part(F.regexp_replace(F.trim("bound"), r"\(\)$", ""), F.lit("["), F.lit(1)))
+    rest = cut(todo.join(alias.select("node_id", "var"), ["node_id", "var"], "left_anti").withColumn("probe", probe))
+    if rest.isEmpty():
+        return passed
+    direct = rest.join(ids, rest.probe == ids.id, "left_semi").select("node_id", "var", F.col("probe").alias("value"), F.lit(0).alias("rank"))
+    classes = ix.nodes.where(F.col("type").isin(*L.CLASS_LIKE)).groupBy(F.col("label").alias("probe")).agg(F.count("*").alias("n"), F.min("id").alias("value")).where("n = 1")
+    direct = cut(direct.unionByName(rest.join(classes, "probe").select("node_id", "var", "value", F.lit(1).alias("rank"))))
+    asked = rest.join(direct.select("node_id", "var"), ["node_id", "var"], "left_anti")
+    name = F.concat_ws("\u0000", "node_id", "var")
+    asked = cut(asked.select("node_id", "var", F.posexplode(F.array_distinct(F.array("bound", "probe"))).alias("k", "callee")).withColumn("ref_id", F.concat(name, F.lit("\u0000"), F.col("k").cast("string"))))
+    found = direct
+    if not asked.isEmpty():
+        hits = resolve(asked.select("ref_id", F.col("node_id").alias("caller"), "callee"), ix, chain).where("status = 'hit'")
+        kinds = ix.nodes.select(F.col("id").alias("target"), "type", "source_file")
+        hits = asked.join(hits, "ref_id").join(kinds, "target")
+        hits = cut(first_by(hits, ["node_id", "var"], "k").select("node_id", "var", "target", "type", "source_file"))
+        own = hits.where(F.col("type").isin(*L.CLASS_LIKE)).select("node_id", "var", F.col("target").alias("value"), F.lit(2).alias("rank"))
+        made = hits.where("type IN ('function', 'method')").join(return_types(ix.nodes).toDF("target", "made"), "target", "left")
+        if transfer is not None:
+            made = hits.where(~F.col("type").isin(*L.CLASS_LIKE)).join(return_types(ix.nodes).toDF("target", "made"), "target", "left")
+            made = made.withColumn("made", F.coalesce(transfer(F.col("type"), F.col("target")), F.when(F.col("type").isin("function", "method"), F.col("made"))))
+        made = cut(made.where("made IS NOT NULL").withColumn("ref_id", name))
+        short = F.split_part(F.element_at(F.split("made", r"\."), -1), F.lit("["), F.lit(1))
+        spelt = made.select("ref_id", "source_file", F.posexplode(F.array("made", short)).alias("k", "label"))
+        at_home = spelt.join(declared_symbols(ix.nodes).select(F.col("file").alias("source_file"), "label", "id"), ["source_file", "label"])
+        at_home = first_by(at_home, ["ref_id"], "k").select("ref_id", F.col("id").alias("home"))
+        far = resolve(made.select("ref_id", F.col("target").alias("caller"), F.col("made").alias("callee")), ix, chain).where("status = 'hit'").select("ref_id", F.col("target").alias("far"))
+        typed = made.join(at_home, "ref_id", "left").join(far, "ref_id", "left").select("node_id", "var", F.coalesce("home", "far", "made").alias("value"), F.lit(3).alias("rank"))
+        found = found.unionByName(own).unionByName(typed)
+    return passed.unionByName(first_by(found, ["node_id", "var"], "rank").select("node_id", "var", "value"))
+
+
+def propagate_types(ix: Index, rounds: int = 10, chain=CHAIN, transfer=None) -> DataFrame:
+    """(node_id, var, bound): bindings with what they stand for, to a fixpoint or for ``rounds`` evaluations of a variable.
+
+    The first round evaluates every binding that is no node id; later ones those whose first name is a variable that changed.
+    """
+    state = cut(ix.bindings.select("node_id", "var", "bound"))
+    ids = ix.nodes.select("id")
+    main = F.get(S.callee_parts(F.col("bound")), 0)
+    depends = cut(state.select("node_id", F.col("var").alias("user"), main.alias("var")).where("user <> var").join(state.select("node_id", "var"), ["node_id", "var"], "left_semi"))
+    todo = cut(state.join(ids, state.bound == ids.id, "left_anti"))
     for _ in range(rounds):
-        probe = S.strip_call(S.normalize_type(F.col("bound")))
-        other = state.select("node_id", F.col("var").alias("_v"), F.col("bound").alias("_alias"))
-        s = state.withColumn("_v", probe).join(other, ["node_id", "_v"], "left").join(files, "node_id", "left")
-        local = functions.select(F.col("source_file"), F.col("label").alias("_v"), F.col("id").alias("_f"))
-        s = s.join(first_by(local, ["source_file", "_v"], "_f"), ["source_file", "_v"], "left")
-        imp = ix.imported.select(F.col("file").alias("source_file"), F.col("local").alias("_v"), F.concat("target_file", F.lit("::"), "original").alias("_i"))
-        s = s.join(imp, ["source_file", "_v"], "left")
-        s = s.join(rt.toDF("_f", "_tf"), "_f", "left").join(rt.toDF("_i", "_ti"), "_i", "left")
-        alias = F.when(F.col("_alias") != F.col("var"), F.col("_alias"))
-        new = cut(s.select("node_id", "var", F.coalesce(alias, "_tf", "_ti", "bound").alias("bound")))
-        changed = new.join(state, ["node_id", "var", "bound"], "left_anti").limit(1).count()
-        state = new
-        if not changed:
+        if todo.isEmpty():
+            break
+        got = evaluate(todo, state, Index(ix.nodes, state, ix.imported, ix.wildcards), chain, transfer)
+        new = cut(todo.join(got, ["node_id", "var"]).where("value IS NOT NULL AND value <> bound").select("node_id", "var", "value"))
+        if new.isEmpty():
             break
+        state = cut(state.join(new, ["node_id", "var"], "left").select("node_id", "var", F.coalesce("value", "bound").alias("bound")))
+        again = depends.join(new.select("node_id", "var"), ["node_id", "var"], "left_semi").select("node_id", F.col("user").alias("var")).distinct()
+        todo = state.join(again, ["node_id", "var"], "left_semi")
+        todo = cut(todo.join(ids, todo.bound == ids.id, "left_anti"))
     return state
 
 
@@ -281,11 +338,17 @@ def classify(attempts: DataFrame, nodes: DataFrame) -> DataFrame:
     return a.withColumn("category", out).drop("_p", "_m", "_known")
 
 
+CATEGORIES = ("internal", "external", "builtin", "attribute")
+
+
 def resolution_stats(attempts: DataFrame) -> DataFrame:
-    """(dim, value, attempted, resolved, unresolved): overall, by relation and by category, in one pass."""
+    """(dim, value, attempted, resolved, unresolved): overall, by relation and by category, in one pass; every category has a row."""
     g = attempts.groupingSets([[], [F.col("relation")], [F.col("category")]], "relation", "category").agg(F.grouping_id("relation", "category").alias("g"), F.count("*").alias("attempted"), F.count_if("resolved").alias("resolved"))
     dim = F.when(F.col("g") == 3, "all").when(F.col("g") == 1, "relation").otherwise("category")
-    return g.select(dim.alias("dim"), F.coalesce("relation", "category", F.lit("all")).alias("value"), "attempted", "resolved", (F.col("attempted") - F.col("resolved")).alias("unresolved"))
+    rows = g.select(dim.alias("dim"), F.coalesce("relation", "category", F.lit("all")).alias("value"), "attempted", "resolved")
+    none = attempts.sparkSession.range(1).select(F.lit("category").alias("dim"), F.explode(F.array(*map(F.lit, CATEGORIES))).alias("value"), F.lit(0).cast("long").alias("attempted"), F.lit(0).cast("long").alias("resolved"))
+    both = rows.unionByName(none).groupBy("dim", "value").agg(F.sum("attempted").alias("attempted"), F.sum("resolved").alias("resolved"))
+    return both.select("dim", "value", "attempted", "resolved", (F.col("attempted") - F.col("resolved")).alias("unresolved"))
 
 
 def resolve_rates(attempts: DataFrame) -> DataFrame:
@@ -303,14 +366,26 @@ def unresolved_samples(attempts: DataFrame, per_category: int = 12, most: int =
     return r.where(F.col("rn") <= per_category).orderBy("seq").limit(most).select("seq", "relation", "target", "category")
 
 
-def quality_gates(rates: DataFrame, limits: dict[str, float]) -> DataFrame:
-    """(gate, value, required, passed) of the rates that have a limit."""
-    cols = [F.struct(F.lit(k).alias("gate"), F.col(k).alias("value"), F.lit(v).alias("required")) for k, v in sorted(limits.items())]
-    return rates.select(F.explode(F.array(*cols)).alias("x")).select("x.*", (F.col("x.value") >= F.col("x.required")).alias("passed"))
+def resolution_summary(attempts: DataFrame) -> DataFrame:
+    """One row: attempted, resolved and unresolved, the same of internal attempts, and the two rates."""
+    internal = F.col("category") == "internal"
+    sums = attempts.agg(F.count("*").alias("attempted"), F.count_if("resolved").alias("resolved"), F.count_if(internal).alias("internal_attempted"), F.count_if(F.col("resolved") & internal).alias("internal_resolved"))
+    rate = lambda a, b: F.round(F.coalesce(F.try_divide(a, b), F.lit(1.0)), 6)
+    return sums.select("*", (F.col("attempted") - F.col("resolved")).alias("unresolved"), (F.col("internal_attempted") - F.col("internal_resolved")).alias("internal_unresolved"), rate("resolved", "attempted").alias("resolve_rate"), rate("internal_resolved", "internal_attempted").alias("internal_rate"))
+
+
+#: Gates on numbers that must not be exceeded; all others must be reached.
+AT_MOST = ("unresolved", "internal_unresolved")
+
+
+def quality_gates(summary: DataFrame, limits: dict[str, float]) -> DataFrame:
+    """(gate, value, required, passed) of the columns of ``summary`` that have a limit."""
+    cols = [F.struct(F.lit(k).alias("gate"), F.col(k).cast("double").alias("value"), F.lit(float(v)).alias("required"), (F.col(k) <= v if k in AT_MOST else F.col(k) >= v).alias("passed")) for k, v in sorted(limits.items())]
+    return summary.select(F.inline(F.array(*cols)))
 
 
 def enforce(gates: DataFrame) -> None:
     """Raises if a gate fails."""
     bad = gates.where("NOT passed").collect()  # one row per gate
     if bad:
-        raise RuntimeError("; ".join(f"{r.gate} is {r.value:.3f}, {r.required:.3f} is required" for r in bad))
+        raise RuntimeError("; ".join(f"{r.gate} is {r.value:g}, {'at most' if r.gate in AT_MOST else 'at least'} {r.required:g} is asked for" for r in bad))

@@ -44,9 +44,9 @@ REFS = [
     ("app/main.py::App.start", "halt"), ("app/main.py::App.start", "self.gone"), ("app/main.py::run", "helper"), ("app/main.py::run", "App.start"), ("app/main.py::run", "mk"), ("app/main.py::run", "util.slug"),
     ("app/main.py::run", "util"), ("app/main.py::run", "ghost"), ("app/main.py::run", "Model.load"), ("app/models.py::make", "slug"), ("app/models.py::make", "Cache.fetch"), ("app/models.py::make", "boot"),
     ("app/util.py::only", "slug"), ("far/util2.py::slug", "only"), ("far/util2.py::slug", "x.only"), ("far/util2.py::slug", "x.get"), ("far/util2.py::slug", "os.path"), ("pkg/b.go::boot", "Serve"), ("pkg/b.go::boot", "Server.Start"),
-    ("pkg/b.go::boot", "fmt.Println"), ("lib/x.rs::Engine.spin", "g.turn"), ("lib/x.rs::Engine.spin", "self::turn"), ("web/i.ts", "run"), ("web/i.ts", "Model.save"), ("app/main.py::helper", "nobody"),
+    ("pkg/b.go::boot", "fmt.Println"), ("lib/x.rs::Engine.spin", "g.turn"), ("lib/x.rs::Engine.spin", "self::turn"), ("web/i.ts", "run"), ("web/i.ts", "Model.save"), ("app/main.py::helper", "nobody"), ("app/main.py::run", "Model.nothing"), ("app/main.py::helper", "mk.nothing"), ("app/main.py::run", "x.save"), ("app/main.py::App.start", "c.fetch"),
 ]
-IMPORTS = [("app/main.py", "app.models", "Model=Model,mk=make"), ("app/main.py", "util", ""), ("app/models.py", "app.util", "*=*"), ("app/main.py", "./util.py", ""), ("lib/x.rs", "x", ""), ("pkg/a.go", "pkg/b", ""), ("app/main.py", "nowhere.mod", ""), ("app/main.py", "../pkg/a.go", ""), ("web/i.ts", "./i", "d=default")]
+IMPORTS = [("app/main.py", "app.models", "Model=Model,mk=make"), ("app/main.py", "util", ""), ("app/models.py", "app.util", "*=*"), ("app/main.py", "./util.py", ""), ("lib/x.rs", "x", ""), ("pkg/a.go", "pkg/b", ""), ("app/main.py", "nowhere.mod", ""), ("app/main.py", "../pkg/a.go", ""), ("web/i.ts", "./i", "d=default"), ("web/a/b/m.ts", "../../i", "q=default"), ("web/m.ts", "../../gone/x", ""), ("web/a/n.ts", "./.././i.ts", "")]
 EDGES = [("calls", c, f, i) for i, (f, c) in enumerate(REFS)] + [("imports", t, f, 100 + i) for i, (f, t) in enumerate([("app/main.py", "os.path"), ("app/main.py", "./gone"), ("app/main.py", "requests"), ("pkg/a.go", "fmt")])] + [("contains", "app/x", "app/main.py", 200), ("inherits", "Model", "app/util.py::Cache", 201)]
 
 
@@ -111,7 +111,7 @@ add_step("step_package", R.step_package, BASE.format("SELECT ref_id, rest, arg_m
 add_step("step_wildcard", R.step_wildcard, BASE.format("SELECT ref_id, rest, arg_min(tf || '::' || parts[1], ord) AS base FROM refs JOIN wildcards w ON w.file = refs.file WHERE tf || '::' || parts[1] IN (SELECT id FROM nodes) GROUP BY ref_id, rest"))
 add_step("step_import", R.step_import, """, i AS (SELECT ref_id, rest, parts, tf, orig, orig = '*' OR orig = regexp_extract(tf, '([^/]*)\\.[^.]*$', 1) AS module FROM refs JOIN imported m ON m.file = refs.file AND m.local = parts[1]),
 c AS (SELECT ref_id, 0 AS pos, tf || '::' || CASE WHEN rest <> '' THEN rest ELSE parts[1] END AS target FROM i WHERE module UNION ALL SELECT ref_id, 1, CASE WHEN rest <> '' THEN (SELECT arg_min(id, seq) FROM syms WHERE source_file = tf AND id LIKE '%.' || parts[-1]) ELSE tf END FROM i WHERE module)
-""" + FIRST + " UNION ALL SELECT ref_id, CASE WHEN n.id IS NULL THEN 'stop' ELSE 'hit' END, n.id FROM i LEFT JOIN nodes n ON n.id = tf || '::' || orig || CASE WHEN rest <> '' THEN '.' || rest ELSE '' END WHERE NOT module")
+""" + FIRST + " UNION ALL SELECT ref_id, CASE WHEN b.id IS NULL THEN 'stop' ELSE 'hit' END, coalesce(n.id, b.id) FROM i LEFT JOIN nodes b ON b.id = tf || '::' || orig LEFT JOIN nodes n ON b.id IS NOT NULL AND rest <> '' AND n.id = b.id || '.' || rest WHERE NOT module")
 GLOBAL = """, free AS (SELECT *, parts[-1] AS lab FROM refs r WHERE NOT EXISTS (SELECT 1 FROM imported m WHERE m.file = r.file AND m.local = parts[1]) AND NOT EXISTS (SELECT 1 FROM builtins b WHERE b.lang = r.lang AND b.symbol = parts[1])
  AND NOT EXISTS (SELECT 1 FROM stdlib b WHERE b.lang = r.lang AND b.symbol = parts[1]) AND (len(parts) = 1 OR parts[-1] NOT IN (SELECT symbol FROM common)))
 SELECT ref_id, 'hit' AS status, CASE WHEN n = 1 THEN one ELSE mine END AS target FROM (SELECT ref_id, count(*) AS n, min(id) AS one, count(*) FILTER (WHERE s.dir = free.dir) AS m, min(id) FILTER (WHERE s.dir = free.dir) AS mine FROM free JOIN syms s ON label = lab GROUP BY ref_id) WHERE n = 1 OR m = 1"""
@@ -193,10 +193,24 @@ def transfer_type(spark, sf):
     return m.join(R.transfer_type(m, ix), "ref_id").select("method_id", "class_id")
 
 
-@query("""SELECT b.node_id, b.var, CASE b.var WHEN 'x' THEN 'Model' WHEN 'y' THEN 'Model' WHEN 'a' THEN 'a' WHEN 'b' THEN 'b' ELSE b.bound END AS bound FROM bindings b""")
+PROBES = """, b AS (SELECT node_id, var, bound, trim(split_part(regexp_replace(bound, '\\(\\)$', ''), '[', 1)) AS probe, n.source_file AS file FROM bindings JOIN nodes n ON n.id = node_id),
+ret AS (""" + RET + """), named AS (
+  SELECT node_id, var, 0 AS rank, id AS target FROM b JOIN nodes ON id = probe
+  UNION ALL SELECT node_id, var, 1, min(id) FROM b JOIN syms ON label = probe AND syms.type IN ('class', 'struct', 'interface', 'enum') GROUP BY node_id, var HAVING count(*) = 1
+  UNION ALL SELECT node_id, var, 2, n.id FROM b JOIN imported m ON m.file = b.file AND m.local = split_part(probe, '.', 1)
+    JOIN nodes n ON n.id = m.tf || '::' || CASE WHEN m.orig = regexp_extract(m.tf, '([^/]*)\\.[^.]*$', 1) THEN substr(probe, strpos(probe, '.') + 1) ELSE m.orig END
+), base AS (
+  SELECT node_id, var, CASE WHEN n.type IN ('function', 'method') THEN coalesce(d.id, r.type) ELSE n.id END AS id
+  FROM (SELECT *, row_number() OVER (PARTITION BY node_id, var ORDER BY rank) AS rn FROM named) x JOIN nodes n ON n.id = x.target
+  LEFT JOIN ret r ON r.id = n.id LEFT JOIN syms d ON d.source_file = n.source_file AND d.label = r.type WHERE rn = 1
+), closed(node_id, var, id) AS (SELECT node_id, var, id FROM base UNION SELECT b.node_id, b.var, c.id FROM b JOIN closed c ON c.node_id = b.node_id AND c.var = b.bound JOIN nodes n ON n.id = c.id)
+SELECT b.node_id, b.var, coalesce(c.id, b.bound) AS bound FROM b LEFT JOIN closed c USING (node_id, var)"""
+
+
+@query(PROBES)
 def propagate_types(spark, sf):
-    """Chains x -> y -> a factory's type settle; names that only point at each other end at one of themselves."""
-    return R.propagate_types(index(spark)).withColumn("bound", F.when(F.col("var").isin("a", "b") & F.col("bound").isin("a", "b"), F.col("var")).otherwise(F.col("bound")))
+    """Chains such as x -> y -> a factory end at the class that it makes; names that only point at each other stay as they are."""
+    return R.propagate_types(index(spark))
 
 
 def attempts(spark):
@@ -244,9 +258,15 @@ def resolve_rates(spark, sf):
     return R.resolve_rates(attempts(spark))
 
 
-@query(ATTEMPTS + f", r AS ({RATES}) SELECT 'internal_rate' AS gate, internal_rate AS value, 0.5::DOUBLE AS required, internal_rate >= 0.5 AS passed FROM r UNION ALL SELECT 'resolve_rate', resolve_rate, 0.9, resolve_rate >= 0.9 FROM r")
+GATES = """, r AS (SELECT count(*) FILTER (WHERE resolved) / count(*) AS a, count(*) FILTER (WHERE resolved AND category = 'internal') / count(*) FILTER (WHERE category = 'internal') AS i,
+ count(*) FILTER (WHERE NOT resolved) AS u, count(*) FILTER (WHERE NOT resolved AND category = 'internal') AS w FROM att)
+SELECT 'internal_rate' AS gate, round(i, 6) AS value, 0.5::DOUBLE AS required, round(i, 6) >= 0.5 AS passed FROM r UNION ALL SELECT 'resolve_rate', round(a, 6), 0.9, round(a, 6) >= 0.9 FROM r
+UNION ALL SELECT 'unresolved', u::DOUBLE, 100, u <= 100 FROM r UNION ALL SELECT 'internal_unresolved', w::DOUBLE, 1, w <= 1 FROM r"""
+
+
+@query(ATTEMPTS + GATES)
 def quality_gates(spark, sf):
-    return R.quality_gates(R.resolve_rates(attempts(spark)), {"resolve_rate": 0.9, "internal_rate": 0.5})
+    return R.quality_gates(R.resolution_summary(attempts(spark)), {"resolve_rate": 0.9, "internal_rate": 0.5, "unresolved": 100, "internal_unresolved": 1})
 
 
 @query(ATTEMPTS + "SELECT seq, relation, target, category FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY seq) AS rn FROM att WHERE NOT resolved) WHERE rn <= 12 ORDER BY seq LIMIT 40")
@@ -271,7 +291,7 @@ def _files(spark):
 
 IMPORT_SQL = """, fl AS (SELECT id AS file, seq FROM nodes WHERE type = 'file'), im AS (SELECT i.*, e.lang, target LIKE '.%' OR contains(target, '/') AS path, regexp_extract(source_file, '^(.*)/[^/]*$', 1) AS dir FROM imports i JOIN ext e ON e.e = split_part(source_file, '.', -1)),
 suf(lang, pos, s) AS (VALUES ('python', 0, ''), ('python', 1, '.py'), ('python', 2, '/__init__.py'), ('go', 0, ''), ('go', 1, '.go'), ('rust', 0, ''), ('rust', 1, '.rs'), ('rust', 2, '/mod.rs'), ('typescript', 0, ''), ('typescript', 1, '.ts'), ('typescript', 2, '.tsx')),
-cand AS (SELECT ref_id, path, pos, CASE WHEN path THEN regexp_replace(dir || '/' || regexp_replace(target, '^\\./', ''), '[^/]+/\\.\\./', '') ELSE replace(target, '.', '/') END || s AS c FROM im JOIN suf USING (lang) UNION ALL SELECT ref_id, NULL, 99, split_part(target, '/', -1) FROM im WHERE path),
+cand AS (SELECT ref_id, path, pos, CASE WHEN path THEN regexp_replace(regexp_replace(regexp_replace(regexp_replace(dir || '/' || target, '/(\\./)+', '/', 'g'), '[a-z]+/\\.\\./', ''), '[a-z]+/\\.\\./', ''), '^\\./', '') ELSE replace(target, '.', '/') END || s AS c FROM im JOIN suf USING (lang) UNION ALL SELECT ref_id, NULL, 99, split_part(target, '/', -1) FROM im WHERE path),
 res AS (SELECT ref_id, file AS target_file FROM (SELECT ref_id, file, row_number() OVER (PARTITION BY ref_id ORDER BY pos, file <> c, seq) AS rn FROM cand JOIN fl ON file = c OR ((path IS NULL OR NOT path) AND file LIKE '%/' || c)) WHERE rn = 1)
 """
 
