@@ -7,7 +7,7 @@ import pytest
 from weftgraph import catalog
 
 SF = Path("/root/testdata/sf0.001")
-FAST = "relation_counts node_degree component_hub common_dir top_dirs is_test_path dirty_files vault_plan node_filename html_escape global_symbols symbol_index return_types step_self step_file step_import resolve_imports callee_parts ret_go ret_c ret_dart".split()
+FAST = "relation_counts node_degree component_hub common_dir top_dirs is_test_path dirty_files vault_plan node_filename html_escape global_symbols symbol_index return_types step_self step_file step_import resolve_imports callee_parts common_dir_of_many fence_language component_name_modes entry_points node_sections quality_gates node_signature ret_go ret_c ret_dart".split()
 
 
 @pytest.mark.skipif(not SF.exists(), reason="the driver's tables are not here")

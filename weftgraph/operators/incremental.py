@@ -31,17 +31,22 @@ def vault_plan(new: DataFrame, on_disk: DataFrame) -> DataFrame:
     return both.select(F.coalesce("path", "p").alias("path"), action.alias("action"))
 
 
+#: Stands for null, so that (a, null) and (null, a) have different digests.
+NULL = "\u2205"
+
+
 def listed(*parts) -> Column:
     """A list of a group's strings in order, as one string."""
-    return F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *parts))), ";")
+    return F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *[F.coalesce(p, F.lit(NULL)) for p in parts]))), ";")
 
 
 def node_signatures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, signature): a digest of a node's attributes, its edges in order, and its component."""
+    """(id, signature): a digest of all that a node's page shows: its attributes, its edges in order, and its component."""
     out = edges.groupBy(F.col("src").alias("id")).agg(listed("relation", "dst").alias("o"))
     into = edges.groupBy(F.col("dst").alias("id")).agg(listed("relation", "src").alias("i"))
     rows = nodes.join(out, "id", "left").join(into, "id", "left")
-    text = F.concat_ws("#", "id", "label", "type", "source_file", F.col("comp").cast("string"), F.coalesce("o", F.lit("")), F.coalesce("i", F.lit("")))
+    known = [c for c in ("id", "label", "type", "source_file", "line_start", "line_end", "signature", "docstring", "name", "comp") if c in nodes.columns]
+    text = F.concat_ws("#", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL)) for c in known], F.coalesce("o", F.lit("")), F.coalesce("i", F.lit("")))
     return rows.select("id", F.md5(text).alias("signature"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.paths import component_filename, mermaid_id, node_filename
@@ -23,6 +23,78 @@ def node_pages(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.select("id", node_filename(F.col("id")).alias("path"), F.concat(head, section("Uses", "o"), section("Used by", "i")).alias("content"))
 
 
+FENCES = {"py": "python", "js": "javascript", "ts": "typescript", "tsx": "typescript", "go": "go", "rs": "rust", "swift": "swift", "kt": "kotlin", "kts": "kotlin", "dart": "dart"}
+#: (title, direction, relations) of a page's lists, in order.
+SECTIONS = (
+    ("Inherits / Implements", "out", ("inherits", "implements")), ("Inherited / Implemented By", "in", ("inherits", "implements")), ("Contains Symbols", "out", ("contains",)),
+    ("Imports", "out", ("imports",)), ("Imported By", "in", ("imports",)), ("Outgoing Calls", "out", ("calls",)), ("Incoming Calls", "in", ("calls",)),
+)
+
+
+def fence(path: Column) -> Column:
+    """The name that a code block of this file has."""
+    ext = F.regexp_extract(F.lower(path), r"\.([^./]+)$", 1)
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in FENCES.items() for x in kv]), ext), F.lit(""))
+
+
+def edge_ends(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, dir, relation, other, label, type): every edge from both of its ends."""
+    far = nodes.select(F.col("id").alias("other"), "label", "type")
+    both = edges.select(F.col("src").alias("id"), F.lit("out").alias("dir"), "relation", F.col("dst").alias("other"))
+    return both.unionAll(edges.select(F.col("dst").alias("id"), F.lit("in").alias("dir"), "relation", F.col("src").alias("other"))).join(far, "other")
+
+
+def node_sections(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, section, lines, n): the sorted lines of each section of a node's page; the call diagram is one too."""
+    kind = F.when((F.col("dir") == "in") & (F.col("relation") == "contains"), "Parent")
+    for title, side, relations in SECTIONS:
+        kind = kind.when((F.col("dir") == side) & F.col("relation").isin(*relations), title)
+    ends = edge_ends(nodes, edges).withColumn("section", kind).where("section IS NOT NULL")
+    note = F.when(F.col("relation") == "implements", F.lit("implements")).otherwise(F.col("type"))
+    line = F.concat(F.lit("- ["), "label", F.lit("]("), node_filename(F.col("other")), F.lit(") (`"), note, F.lit("`)"))
+    lists = ends.select("id", "section", line.alias("line"))
+    own = nodes.select("id", F.col("label").alias("mine"))
+    box = lambda i, label: F.concat(mermaid_id(i), F.lit('["'), label, F.lit('"]'))
+    me, they = box(F.col("id"), F.col("mine")), box(F.col("other"), F.col("label"))
+    arrow = F.when(F.col("dir") == "out", F.concat(F.lit("  "), me, F.lit(" --> "), they)).otherwise(F.concat(F.lit("  "), they, F.lit(" --> "), me))
+    calls = ends.where("relation = 'calls'").join(own, "id").select("id", F.lit("Diagram").alias("section"), arrow.alias("line")).distinct()
+    return lists.unionByName(calls).groupBy("id", "section").agg(_joined("line").alias("lines"), F.count("*").alias("n"))
+
+
+def node_documents(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, path, content): a page per node; ``nodes`` has also line_start, line_end, signature, docstring and name (of the component)."""
+    titles = ["Parent", "Diagram", *[t for t, _, _ in SECTIONS]]
+    wide = node_sections(nodes, edges).groupBy("id").agg(*[F.max(F.when(F.col("section") == t, F.col("lines"))).alias(f"s{k}") for k, t in enumerate(titles)])
+    r = nodes.join(wide, "id", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    front = [F.concat(F.lit(f'\n{c}: "'), text(c), F.lit('"')) for c in ("id", "label", "type", "source_file")] + [F.concat(F.lit(f"\n{c}: "), text(c)) for c in ("line_start", "line_end")]
+    where = F.when(F.col("type") == "file", F.concat(F.lit("**File:** `"), text("source_file"), F.lit("`")))
+    where = where.otherwise(F.concat(F.lit("**Defined in:** ["), text("source_file"), F.lit("]("), node_filename(text("source_file")), F.lit("), lines "), text("line_start"), F.lit("-"), text("line_end")))
+    part = lambda title, body: F.when(body != "", F.concat(F.lit(f"\n\n## {title}\n"), body)).otherwise("")
+    code = F.when(text("signature") != "", F.concat(F.lit("```"), fence(text("source_file")), F.lit("\n"), text("signature"), F.lit("\n```"))).otherwise("")
+    at = {t: F.coalesce(f"s{k}", F.lit("")) for k, t in enumerate(titles)}
+    graph = F.when(at["Diagram"] != "", F.concat(F.lit("```mermaid\nflowchart TD\n"), at["Diagram"], F.lit("\n```"))).otherwise("")
+    parent = F.when(at["Parent"] != "", F.concat(F.lit("\n**Contained in:** "), F.regexp_replace(at["Parent"], "^- ", ""))).otherwise("")
+    body = [F.lit("---"), *front, F.lit('\ncomponent: "'), text("name"), F.lit('"\n---\n\n# '), text("label"), F.lit("\n\n**Type:** `"), text("type"), F.lit("`\n"), where, F.lit("\n**Component:** "), text("name"), parent]
+    body += [part("Definition", code), part("Description", text("docstring"))] + [part(t, at[t]) for t, _, _ in SECTIONS[:5]] + [part("Call Graph", graph)] + [part(t, at[t]) for t, _, _ in SECTIONS[5:]]
+    return r.select("id", node_filename(F.col("id")).alias("path"), F.concat(*body, F.lit("\n")).alias("content"))
+
+
+def component_documents(nodes: DataFrame, names: DataFrame, cohesion: DataFrame, inter: DataFrame) -> DataFrame:
+    """(comp, path, content): cohesion, members by label with links, and dependencies by weight, of each component."""
+    line = F.concat(F.lit("- ["), "label", F.lit("](../nodes/"), node_filename(F.col("id")), F.lit(") (`"), "type", F.lit("` in `"), "source_file", F.lit("`)"))
+    m = nodes.groupBy("comp").agg(F.array_sort(F.collect_list(F.struct("label", "id", line.alias("line")))).alias("m"))
+    other = names.select(F.col("comp").alias("dst_comp"), F.col("name").alias("other"))
+    dep = F.struct((-F.col("n")).alias("k"), "dst_comp", F.concat(F.lit("- ["), "other", F.lit("]("), component_filename(F.col("other")), F.lit("): "), F.col("n").cast("string")).alias("line"))
+    d = inter.join(other, "dst_comp").groupBy(F.col("src_comp").alias("comp")).agg(F.array_sort(F.collect_list(dep)).alias("d"))
+    lines = lambda c: F.array_join(F.transform(c, lambda x: x["line"]), "\n")
+    rows = m.join(names, "comp").join(cohesion.select("comp", "cohesion"), "comp", "left").join(d, "comp", "left")
+    score, size = F.coalesce(F.col("cohesion").cast("string"), F.lit("")), F.size("m").cast("string")
+    head = F.concat(F.lit('---\ntype: "component"\ncohesion: '), score, F.lit("\nmembers_count: "), size, F.lit("\n---\n\n# "), "name", F.lit("\n\n## Members\n"), lines(F.col("m")))
+    deps = F.when(F.col("d").isNotNull(), F.concat(F.lit("\n\n## Component Dependencies\n"), lines(F.col("d")))).otherwise("")
+    return rows.select("comp", component_filename(F.col("name")).alias("path"), F.concat(head, deps, F.lit("\n")).alias("content"))
+
+
 def component_pages(nodes: DataFrame, names: DataFrame, inter: DataFrame) -> DataFrame:
     """(comp, path, content): members by label and dependencies by weight."""
     m = nodes.groupBy("comp").agg(_joined(F.concat(F.lit("- "), "label", F.lit(" ("), "type", F.lit(")"))).alias("m"))
@@ -61,8 +133,8 @@ def viz_nodes(nodes: DataFrame, degree: DataFrame) -> DataFrame:
     return nodes.join(degree, "id").select("id", "type", (F.lit(10.0) + F.least(F.col("degree") * 1.5, F.lit(30.0))).alias("size"))
 
 
-def spring_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 60, seed: int = 42) -> DataFrame:
-    """(id, x, y): a picture's coordinates.  It serves one page for a reader, so the graph it is given must fit one task."""
+def spring_layout(nodes: DataFrame, edges: DataFrame, iterations: int = 120, seed: int = 42) -> DataFrame:
+    """(id, x, y): a picture's coordinates.  One task lays the picture out, so the caller checks the number of nodes first."""
     import numpy as np
     import pandas as pd
 

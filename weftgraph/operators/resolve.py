@@ -291,9 +291,13 @@ def evaluate(todo: DataFrame, state: DataFrame, ix: Index, chain=CHAIN, transfer
         short = F.split_part(F.element_at(F.split("made", r"\."), -1), F.lit("["), F.lit(1))
         spelt = made.select("ref_id", "source_file", F.posexplode(F.array("made", short)).alias("k", "label"))
         at_home = spelt.join(declared_symbols(ix.nodes).select(F.col("file").alias("source_file"), "label", "id"), ["source_file", "label"])
-        at_home = first_by(at_home, ["ref_id"], "k").select("ref_id", F.col("id").alias("home"))
-        far = resolve(made.select("ref_id", F.col("target").alias("caller"), F.col("made").alias("callee")), ix, chain).where("status = 'hit'").select("ref_id", F.col("target").alias("far"))
-        typed = made.join(at_home, "ref_id", "left").join(far, "ref_id", "left").select("node_id", "var", F.coalesce("home", "far", "made").alias("value"), F.lit(3).alias("rank"))
+        at_home = cut(first_by(at_home, ["ref_id"], "k").select("ref_id", F.col("id").alias("home")))
+        typed = made.join(at_home, "ref_id", "left").withColumn("found", F.col("home"))
+        away = cut(made.join(at_home, "ref_id", "left_anti"))
+        if not away.isEmpty():
+            far = resolve(away.select("ref_id", F.col("target").alias("caller"), F.col("made").alias("callee")), ix, chain).where("status = 'hit'")
+            typed = typed.join(far.select("ref_id", F.col("target").alias("far")), "ref_id", "left").withColumn("found", F.coalesce("home", "far"))
+        typed = typed.select("node_id", "var", F.coalesce("found", "made").alias("value"), F.lit(3).alias("rank"))
         found = found.unionByName(own).unionByName(typed)
     return passed.unionByName(first_by(found, ["node_id", "var"], "rank").select("node_id", "var", "value"))
 
@@ -363,7 +367,7 @@ def unresolved_samples(attempts: DataFrame, per_category: int = 12, most: int =
     from pyspark.sql import Window as W
 
     r = attempts.where(~F.col("resolved")).withColumn("rn", F.row_number().over(W.partitionBy("category").orderBy("seq")))
-    return r.where(F.col("rn") <= per_category).orderBy("seq").limit(most).select("seq", "relation", "target", "category")
+    return r.where(F.col("rn") <= per_category).orderBy("seq").limit(most).select("seq", "relation", *(c for c in ("source",) if c in attempts.columns), "target", "category")
 
 
 def resolution_summary(attempts: DataFrame) -> DataFrame:

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-import json
+import warnings
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.functions.paths import is_test_path, language_of
+from weftgraph.functions import languages as L
+from weftgraph.functions.paths import component_filename, is_test_path, language_of, node_filename
 from weftgraph.operators import components as C
 from weftgraph.operators import graph as G
 from weftgraph.operators import incremental as I
 from weftgraph.operators import render as V
 from weftgraph.operators import resolve as R
-from weftgraph.sources.extract import extract, tables
+from weftgraph.plans import report
+from weftgraph.plans.store import delete, load_table, parse, read_file, save_table, uri_of, write_file, write_pages, written_pages
+from weftgraph.sources.extract import REGISTERED, Extractors, tables
 from weftgraph.sources.scan import load_config, scan_files
 
 STAGES = ("discovering", "parsing", "resolving", "clustering", "analyzing", "rendering", "exporting", "completed")
@@ -34,9 +37,10 @@ class Config:
     exclude_tests: bool = True
     naming: str = "hybrid"
     min_resolve_rate: float | None = None
-    min_internal_rate: float | None = None
-    max_import_cycles: int | None = None
-    max_call_cycles: int | None = None
+    min_internal_resolve_rate: float | None = None
+    max_unresolved_edges: int | None = None
+    max_internal_unresolved_edges: int | None = None
+    report_language: str = "en"
     strict: bool = False
     cache: bool = True
     export_json: bool = True
@@ -51,6 +55,16 @@ class Config:
         return cls(workspace=workspace, **{**known, **extra})
 
 
+@dataclass(frozen=True)
+class Hooks:
+    """Extensions of a build: parsers by language, the resolution chain, chains of single languages, and types that a symbol hands over."""
+
+    extractors: Extractors | None = None
+    chain: tuple = R.CHAIN
+    by_language: dict[str, tuple] | None = None
+    transfer: Callable[[Column, Column], Column] | None = None
+
+
 @dataclass
 class Build:
     """What a build found, as DataFrames."""
@@ -63,9 +77,11 @@ class Build:
     names: DataFrame
     errors: DataFrame
     analysis: dict[str, DataFrame] = field(default_factory=dict)
+    #: parsed, reused (files); snapshot (1 if the graph came from one); rendered, skipped (pages); write, keep, delete (files of the vault).
+    counts: dict[str, int] = field(default_factory=dict)
 
 
-def resolve_edges(nodes: DataFrame, bindings: DataFrame, raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+def resolve_edges(nodes: DataFrame, bindings: DataFrame, raw: DataFrame, hooks: Hooks | None = None) -> tuple[DataFrame, DataFrame]:
     """(edges, attempts): every raw edge resolved by the rules of its relation."""
     at = nodes.select(F.col("id").alias("source"), "source_file")
     raw = G.cut(raw.where("source <> target").join(at, "source").withColumn("ref_id", F.col("seq")))
@@ -74,9 +90,10 @@ def resolve_edges(nodes: DataFrame, bindings: DataFrame, raw: DataFrame) -> tupl
     found = G.cut(R.resolve_imports(imports, files))
     imported, wild = R.import_scope(imports, found)
     ix = R.Index(nodes, bindings, G.cut(imported), G.cut(wild.select("file", F.col("ord").alias("ord"), "target_file")))
-    ix = R.Index(nodes, R.propagate_types(ix), ix.imported, ix.wildcards)
+    hooks = hooks or Hooks()
+    ix = R.Index(nodes, R.propagate_types(ix, chain=hooks.chain, transfer=hooks.transfer), ix.imported, ix.wildcards)
     refs = raw.where("relation IN ('calls', 'inherits', 'implements')").select("ref_id", F.col("source").alias("caller"), F.col("target").alias("callee"))
-    hits = R.resolve(refs, ix).where("status = 'hit'").select("ref_id", F.col("target").alias("dst"))
+    hits = R.resolve(refs, ix, hooks.chain, hooks.by_language).where("status = 'hit'").select("ref_id", F.col("target").alias("dst"))
     ids = nodes.select(F.col("id").alias("dst"))
     own = raw.where("relation = 'contains'").join(ids, F.col("target") == F.col("dst")).select("ref_id", "dst")
     done = G.cut(hits.join(ids, "dst", "left_semi").select("ref_id", "dst").unionByName(found.select("ref_id", F.col("target_file").alias("dst"))).unionByName(own))
@@ -87,18 +104,58 @@ def resolve_edges(nodes: DataFrame, bindings: DataFrame, raw: DataFrame) -> tupl
     return G.cut(G.dedup_edges(good)), attempts
 
 
-def build(spark: SparkSession, config: Config, progress: Callable[[str], None] = lambda stage: None) -> Build:
+TABLES = ("nodes", "edges", "attempts", "member", "names")
+
+
+def build(spark: SparkSession, config: Config, progress: Callable[[str], None] = lambda stage: None, hooks: Hooks | None = None) -> Build:
+    """Builds the graph; with an output and a cache, only what changed is parsed, resolved and rendered again."""
+    hooks = hooks or Hooks()
+    if unknown := [x for x in config.languages if x not in L.BUILTINS and x not in (hooks.extractors or REGISTERED)]:
+        warnings.warn(f"unknown languages: {', '.join(unknown)}", stacklevel=2)
+    vault = uri_of(config.output) if config.output else None
+    root = f"{vault}/.cache" if vault else None
     progress("discovering")
-    files = scan_files(spark, config.workspace, exclude=config.exclude, include=config.include, languages=config.languages)
+    extractors = REGISTERED if hooks.extractors is None else hooks.extractors
+    endings = {e: x.language for x in extractors.values() for e in x.endings}
+    files = scan_files(spark, config.workspace, exclude=config.exclude, include=config.include, languages=config.languages, endings=endings)
     progress("parsing")
-    nodes, bindings, raw, errors = tables(G.cut(extract(files)))
-    nodes, bindings = G.cut(G.first_by(nodes, ["id"], F.desc("seq"))), G.cut(bindings)
+    parsed, dirty, counts = parse(spark, files, root, config.cache, extractors)
+    nodes, bindings, raw, errors = tables(parsed)
     errors = G.cut(errors)
     if config.strict and not errors.isEmpty():
         raise RuntimeError("files that could not be parsed: " + ", ".join(r.path for r in errors.limit(5).collect()))
+    knobs = {"naming": config.naming, "exclude_tests": config.exclude_tests, "hooks": hooks != Hooks()}
+    mark = I.fingerprint(parsed.select("path", "md5"), **knobs).first().fingerprint or "empty"
+    known = {t: load_table(spark, root, t, mark) for t in TABLES} if root and config.cache and hooks == Hooks() else {}
+    counts["snapshot"] = int(bool(known) and all(df is not None for df in known.values()))
     progress("resolving")
-    edges, attempts = resolve_edges(nodes, bindings, raw)
+    if not counts["snapshot"]:
+        nodes, bindings = G.cut(G.first_by(nodes, ["id"], F.desc("seq"))), G.cut(bindings)
+        edges, attempts = resolve_edges(nodes, bindings, raw, hooks)
     progress("clustering")
+    if counts["snapshot"]:
+        out = Build(files, *[known[t] for t in TABLES], errors, counts=counts)
+    else:
+        member, names = cluster(nodes, edges, config)
+        found = dict(zip(TABLES, (nodes, edges, attempts, member, names)))
+        if root:
+            found = {t: save_table(df, root, t, mark) for t, df in found.items()}
+        out = Build(files, *found.values(), errors, counts=counts)
+    progress("analyzing")
+    analyse(out)
+    enforce(out, config)
+    if vault:
+        progress("rendering")
+        write_vault(out, config.output, config.cache, dirty, config.report_language)
+        progress("exporting")
+        if config.export_json:
+            export(out, config.output)
+    progress("completed")
+    return out
+
+
+def cluster(nodes: DataFrame, edges: DataFrame, config: Config) -> tuple[DataFrame, DataFrame]:
+    """(member, names) of the components."""
     test = is_test_path(F.col("source_file"))
     grouped = nodes.where(~test) if config.exclude_tests else nodes
     if grouped.isEmpty():
@@ -111,107 +168,108 @@ def build(spark: SparkSession, config: Config, progress: Callable[[str], None] =
     last = (order.agg(F.max("rank")).first()[0] or 0) + 1
     naming = C.names(C.hub(nodes, edges, member), C.common_dir(member, nodes), config.naming)
     member = G.cut(member.unionByName(tests.select("id", F.coalesce("comp", F.lit(last)).alias("comp"))))
-    naming = G.cut(naming.unionByName(member.where(F.col("comp") == last).limit(1).select("comp", F.lit("tests").alias("name"))))
-    progress("analyzing")
-    out = Build(files, nodes, edges, attempts, member, naming, errors)
-    imports, calls = G.between(edges, nodes, "imports", True), G.between(edges, nodes, "calls", False)
-    out.analysis = {
-        "god_nodes": G.god_nodes(nodes, edges),
-        "import_cycles": G.simple_cycles(imports.where("src <> dst")),
-        "call_cycles": G.call_cycles(calls),
-        "inter_component": G.inter_component(edges, member),
-        "cohesion": C.cohesion(member, edges),
-        "metrics": G.graph_metrics(nodes, edges),
-        "relations": G.relation_counts(edges),
-        "resolution": R.resolution_stats(attempts),
-        "rates": R.resolve_rates(attempts),
-        "samples": R.unresolved_samples(attempts),
+    return member, G.cut(naming.unionByName(member.where(F.col("comp") == last).limit(1).select("comp", F.lit("tests").alias("name"))))
+
+
+def analyse(b: Build) -> None:
+    imports, calls = G.between(b.edges, b.nodes, "imports", True), G.between(b.edges, b.nodes, "calls", False)
+    b.analysis = {
+        "god_nodes": G.god_nodes(b.nodes, b.edges),
+        "import_cycles": G.cut(G.simple_cycles(imports)),
+        "call_cycles": G.cut(G.call_cycles(calls)),
+        "inter_component": G.cut(G.inter_component(b.edges, b.member)),
+        "cohesion": G.cut(C.cohesion(b.member, b.edges)),
+        "metrics": G.graph_metrics(b.nodes, b.edges),
+        "relations": G.relation_counts(b.edges),
+        "resolution": R.resolution_stats(b.attempts),
+        "summary": G.cut(R.resolution_summary(b.attempts)),
+        "samples": R.unresolved_samples(b.attempts),
     }
-    enforce(out, config)
-    if config.output:
-        progress("rendering")
-        write_vault(out, config.output, config.cache)
-        progress("exporting")
-        if config.export_json:
-            export(out, config.output)
-    progress("completed")
-    return out
 
 
 def enforce(b: Build, config: Config) -> None:
     """Raises if a gate that is set fails."""
-    limits = {"resolve_rate": config.min_resolve_rate, "internal_rate": config.min_internal_rate}
+    limits = {"resolve_rate": config.min_resolve_rate, "internal_rate": config.min_internal_resolve_rate, "unresolved": config.max_unresolved_edges, "internal_unresolved": config.max_internal_unresolved_edges}
     limits = {k: v for k, v in limits.items() if v is not None}
     if limits:
-        R.enforce(R.quality_gates(b.analysis["rates"], limits))
-    for key, most in (("import_cycles", config.max_import_cycles), ("call_cycles", config.max_call_cycles)):
-        if most is not None and (n := b.analysis[key].count()) > most:
-            raise RuntimeError(f"{n} {key.replace('_', ' ')}, {most} are allowed")
-
+        R.enforce(R.quality_gates(b.analysis["summary"], limits))
 
-def pages(b: Build) -> DataFrame:
-    """(path, content) of all pages."""
-    nodes = b.nodes.join(b.member, "id")
-    n = V.node_pages(nodes, b.edges).select(F.concat(F.lit("nodes/"), "path").alias("path"), "content")
-    c = V.component_pages(nodes, b.names, b.analysis["inter_component"]).select(F.concat(F.lit("components/"), "path").alias("path"), "content")
-    return n.unionByName(c).groupBy("path").agg(F.max("content").alias("content"))
 
+def write_vault(b: Build, output: str, cache: bool = True, dirty: DataFrame | None = None, language: str = "en") -> dict[str, int]:
+    """Render and write the pages whose signature changed, that are missing, or whose file is dirty or next to one that is; delete pages no longer
+    wanted; write the overview and the prompt.  Returns how many pages were written, kept and deleted.
 
-def write_vault(b: Build, output: str, cache: bool = True) -> dict[str, int]:
-    """Write new and changed pages, delete those no longer wanted; returns how many of each.
-
-    Pages are written by the tasks that rendered them; ``output`` is a folder that all of them reach.
+    Pages are compared and written by the tasks that rendered them; ``output`` is a folder that all of them reach.
     """
-    spark = b.nodes.sparkSession
-    root = Path(output)
-    for d in ("nodes", "components"):
-        (root / d).mkdir(parents=True, exist_ok=True)
-    new = G.cut(pages(b).withColumn("md5", F.md5("content")))
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load([f"file://{root.resolve()}/{d}" for d in ("nodes", "components")])
-    disk = G.cut(read.select(F.regexp_extract("path", "((?:nodes|components)/[^/]*)$", 1).alias("path"), F.md5("content").alias("md5")))
-    plan = I.vault_plan(new, disk)
-    if not cache:
-        plan = plan.withColumn("action", F.when(F.col("action") == "keep", "write").otherwise(F.col("action")))
-    plan = G.cut(plan)
-    todo = plan.where("action <> 'keep'").join(new.select("path", "content"), "path", "left")
-    folder = str(root)
-
-    def act(rows):
-        for r in rows:
-            target = Path(folder) / r.path
-            if r.action == "delete":
-                target.unlink(missing_ok=True)
-            else:
-                target.write_text(r.content, "utf-8")
-
-    todo.foreachPartition(act)
-    mix = V.readme_stats(b.edges).first()
-    metrics = b.analysis["metrics"].first()
-    readme = [f"# {Path(output).name}", "", f"{metrics.nodes} nodes, {metrics.edges} edges, {metrics.files} files", "", f"Relations: {mix.relation_mix if mix else ''}", "", "## Hubs"]
-    readme += [f"- {r.id} ({r.degree})" for r in b.analysis["god_nodes"].collect()]
-    kept = root / "README.md"
-    marker = "## Notes"
-    notes = kept.read_text("utf-8").split(marker, 1)[1] if kept.exists() and marker in kept.read_text("utf-8") else "\n"
-    kept.write_text("\n".join(readme) + f"\n\n{marker}{notes}", "utf-8")
-    (root / "AGENT_PROMPT.md").write_text(agent_prompt(b), "utf-8")
-    return {r.action: r["count"] for r in plan.groupBy("action").count().collect()}
-
-
-def agent_prompt(b: Build, language: str = "en") -> str:
-    """A short guide to the vault for a reader that starts from it."""
-    rates = b.analysis["rates"].first()
-    names = [r.name for r in b.names.orderBy("comp").limit(20).collect()]
-    head, parts = {"en": ("Start at README.md; follow links to nodes/ and components/.", "Components"), "zh": ("从 README.md 开始, 沿链接阅读 nodes/ 与 components/。", "组件")}[language]
-    return f"{head}\n\nResolve rate {rates.resolve_rate:.1%}, internal {rates.internal_rate:.1%}.\n\n{parts}: {', '.join(names)}\n"
+    spark, vault = b.nodes.sparkSession, uri_of(output)
+    folders = ("nodes", "components")
+    for d in folders:
+        write_file(f"{vault}/{d}/.keep", iter([""]))
+    named = b.nodes.join(b.member, "id").join(b.names, "comp")
+    page = lambda folder, name: F.concat(F.lit(folder + "/"), name)
+    signed = I.node_signatures(named, b.edges).select(F.col("id").alias("key"), page("nodes", node_filename(F.col("id"))).alias("path"), "signature")
+    comps = I.component_signatures(named, b.analysis["inter_component"]).join(b.analysis["cohesion"].select("comp", "cohesion"), "comp", "left").join(b.names, "comp")
+    mark = F.md5(F.concat_ws("#", "signature", "name", F.coalesce(F.col("cohesion").cast("string"), F.lit("")), F.lit(V.__name__)))
+    comps = comps.select(F.concat(F.lit("component "), F.col("comp").cast("string")).alias("key"), page("components", component_filename(F.col("name"))).alias("path"), mark.alias("signature"))
+    new = G.cut(signed.unionByName(comps))
+    old = load_table(spark, f"{vault}/.cache", "signatures") if cache else None
+    disk = G.cut(written_pages(spark, vault, folders))
+    forced = b.nodes.select(F.col("id").alias("key")).limit(0)
+    if dirty is not None:
+        imports = G.between(b.edges, b.nodes, "imports", True)
+        near = G.dependents(imports, dirty.select(F.col("path").alias("file")))
+        forced = b.nodes.join(near, b.nodes.source_file == near.file, "left_semi").select(F.col("id").alias("key"))
+    old = new.limit(0).select("key", "signature") if old is None else old
+    there = new.join(disk, "path", "left_semi").select(F.col("key").alias("id"))
+    plan = I.render_plan(new.select(F.col("key").alias("id"), "signature"), old.select(F.col("key").alias("id"), "signature"), there, forced.select(F.col("key").alias("id")), cache)
+    todo = G.cut(plan.where("action = 'render'").select(F.col("id").alias("key")))
+    n = _node_pages(named, b.edges, todo)
+    c = V.component_documents(named, b.names, b.analysis["cohesion"], b.analysis["inter_component"])
+    c = c.withColumn("key", F.concat(F.lit("component "), F.col("comp").cast("string"))).join(todo, "key", "left_semi")
+    pages = n.select(page("nodes", F.col("path")).alias("path"), "content").unionByName(c.select(page("components", F.col("path")).alias("path"), "content"))
+    pages = pages.groupBy("path").agg(F.max("content").alias("content"))
+    done = write_pages(pages, vault, I.obsolete(disk, new.select("path"), new.select("path").limit(0)))
+    b.counts |= {"rendered": todo.count(), "skipped": new.count() - todo.count(), **done}
+    save_table(new.select("key", "signature"), f"{vault}/.cache", "signatures")
+    readme = f"{vault}/README.md"
+    write_file(readme, report.overview(b, Path(output).resolve().parent.name, report.kept_insights(read_file(readme))))
+    write_file(f"{vault}/AGENT_PROMPT.md", iter([report.agent_prompt(b, language)]))
+    above, own = vault.rsplit("/", 1)
+    rules = f"{above}/AGENTS.md"
+    if text := report.rules_file(read_file(rules), own):
+        write_file(rules, iter([text]))
+    return done
+
+
+def _node_pages(named: DataFrame, edges: DataFrame, todo: DataFrame) -> DataFrame:
+    """Pages of the nodes of ``todo`` (key); only edges that touch one of them are read."""
+    ids = todo.select("key")
+    near = edges.join(ids, edges.src == ids.key, "left_semi").unionByName(edges.join(ids, edges.dst == ids.key, "left_semi")).distinct()
+    pages = V.node_documents(named, near)
+    return pages.join(ids, pages.id == ids.key, "left_semi")
+
+
+def clear_vault(output: str) -> None:
+    """Remove all that builds wrote to ``output``, with their cache; what a reader put there stays."""
+    vault = uri_of(output)
+    for name in ("nodes", "components", "graph", ".cache", "README.md", "AGENT_PROMPT.md", "graph.json", "graph.html"):
+        delete(f"{vault}/{name}")
 
 
 def export(b: Build, output: str) -> None:
-    """The graph as Parquet tables, and one JSON file with its statistics."""
-    base = f"{output}/graph"
+    """The graph as Parquet tables, and as one JSON file that is streamed from them."""
+    base = f"{uri_of(output)}/graph"
     b.nodes.join(b.member, "id", "left").write.mode("overwrite").parquet(f"{base}/nodes")
     b.edges.write.mode("overwrite").parquet(f"{base}/edges")
-    stats = {k: [r.asDict() for r in b.analysis[k].collect()] for k in ("metrics", "relations", "resolution", "rates", "god_nodes", "import_cycles", "call_cycles")}
-    Path(output, "graph.json").write_text(json.dumps(stats, ensure_ascii=False, indent=1, sort_keys=True), "utf-8")
+    b.analysis["import_cycles"].write.mode("overwrite").parquet(f"{base}/import_cycles")
+    write_file(f"{uri_of(output)}/graph.json", report.json_export(b))
+
+
+def visualize(b: Build, output: str, most: int = report.DRAWN) -> str:
+    """Write graph.html; returns its address."""
+    target = f"{uri_of(output)}/graph.html"
+    write_file(target, iter([report.picture(b, Path(output).resolve().parent.name, most)]))
+    return target
 
 
 def snapshot_write(df: DataFrame, path: str, fingerprint: str) -> None:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import languages as L
 from weftgraph.functions import signatures as S
+from weftgraph.operators import components as C
 from weftgraph.operators import graph as G
 from weftgraph.operators import resolve as R
 from weftgraph.plans.query import registry
@@ -315,6 +316,33 @@ def wildcard_scope(spark, sf):
     return R.import_scope(rows, R.resolve_imports(rows, _files(spark)))[1]
 
 
+@query("SELECT id, label FROM syms WHERE type IN ('function', 'method') AND regexp_matches(lower(label), 'main|app|run|cli|serve') ORDER BY seq LIMIT 5")
+def entry_points(spark, sf):
+    return C.entry_points(index(spark).nodes)
+
+
+HUBS = [(1, "a::App", "App"), (2, "b::util()", "util()"), (3, "c::Run.x", "Run.x"), (4, "d::App", "App"), (5, "e::core", "core"), (6, "f::", ""), (7, "g::App", "App"), (8, "h::Solo", "Solo")]
+DIRS = [(1, "src/app"), (2, ""), (3, "very/deep/pkg/here"), (4, "src/app"), (5, "core"), (6, "lone/dir"), (7, ""), (8, "")]
+NAMES = """, h(comp, id, label) AS (VALUES {}), d(comp, dir) AS (VALUES {}), r AS (
+  SELECT comp, dir, split_part(replace(label, '()', ''), '.', 1) AS c, CASE WHEN len(string_split(dir, '/')) > 2 THEN split_part(dir, '/', -2) || '/' || split_part(dir, '/', -1) ELSE dir END AS k FROM h JOIN d USING (comp)
+), m(mode) AS (VALUES ('hybrid'), ('package'), ('symbol')), n AS (
+  SELECT *, CASE mode WHEN 'symbol' THEN c WHEN 'package' THEN CASE WHEN dir <> '' THEN k ELSE c END
+    ELSE CASE WHEN dir = '' THEN c WHEN c = '' OR k = c OR starts_with(c, k) THEN k ELSE k || ' (' || c || ')' END END AS cand FROM r, m
+), t AS (SELECT *, count(*) OVER (PARTITION BY mode, cand) AS twins FROM n)
+SELECT mode, comp, CASE WHEN twins = 1 THEN cand WHEN dir = '' THEN c || ' (Component ' || comp::VARCHAR || ')' WHEN mode = 'symbol' THEN c || ' (' || k || ')' ELSE cand || ' (' || c || ')' END AS name FROM t"""
+
+
+@query(NAMES.format(values(HUBS), values(DIRS)))
+def component_name_modes(spark, sf):
+    """All three modes, with equal names, names without a folder and folders that the name repeats."""
+    hubs, dirs = spark.createDataFrame(HUBS, "comp int, id string, label string"), spark.createDataFrame(DIRS, "comp int, dir string")
+    out = None
+    for mode in ("hybrid", "package", "symbol"):
+        one = C.names(hubs, dirs, mode).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # Scalars over literal inputs.
 CALLEES = ["a::b.c", " x . y ", "..", "f", "o.inner().value", "Vec<T>[0]", "Model()", "List[int]", "g(1).h"]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.functions import paths as P
+from weftgraph.operators import components as C
 from weftgraph.operators import graph as G
 from weftgraph.operators import incremental as I
 from weftgraph.operators import render as V
@@ -162,6 +163,21 @@ def dir_symbols(spark, sf):
     return R.dir_symbols(parts(spark, sf))
 
 
+@query(DOC + """, m AS (SELECT CASE WHEN doc_id % 7 = 1 THEN 0 WHEN doc_id % 5 = 0 THEN 2 * (ascii(split_part(path, '/', 1)[-1])) ELSE 1 + 2 * ascii(split_part(path, '/', 1)[-1]) END AS comp, regexp_extract(path, '^(.*)/[^/]*$', 1) AS d FROM d)
+SELECT comp, CASE WHEN min(d) = max(d) THEN min(d) WHEN min(split_part(d, '/', 1)) = max(split_part(d, '/', 1)) THEN min(split_part(d, '/', 1)) ELSE '' END AS dir FROM m GROUP BY comp""")
+def common_dir_of_many(spark, sf):
+    """Components with one folder, with a folder and its subfolders, and with nothing in common."""
+    d = docs(spark, sf)
+    last = F.ascii(F.substring(F.split_part("path", F.lit("/"), F.lit(1)), -1, 1))
+    comp = F.when(F.col("doc_id") % 7 == 1, 0).when(F.col("doc_id") % 5 == 0, 2 * last).otherwise(1 + 2 * last)
+    return C.common_dir(d.select(F.col("doc_id").alias("id"), comp.alias("comp")), d.select(F.col("doc_id").alias("id"), F.col("path").alias("source_file")))
+
+
+@query(DOC + "SELECT doc_id, CASE regexp_extract(lower(path), '\\.([^./]+)$', 1) WHEN 'py' THEN 'python' WHEN 'go' THEN 'go' WHEN 'rs' THEN 'rust' ELSE '' END AS fence FROM d")
+def fence_language(spark, sf):
+    return docs(spark, sf).select("doc_id", V.fence(F.col("path")).alias("fence"))
+
+
 # Pages and exports of the trade graph.
 INTER = ", inter AS (SELECT a.comp AS src_comp, b.comp AS dst_comp, count(*) AS n FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE a.comp <> b.comp GROUP BY ALL)\n"
 NODE_SIG = """, o AS (SELECT src AS id, string_agg(relation || '|' || dst, ';' ORDER BY relation || '|' || dst) AS o FROM edges GROUP BY src), i AS (SELECT dst AS id, string_agg(relation || '|' || src, ';' ORDER BY relation || '|' || src) AS i FROM edges GROUP BY dst),
@@ -193,6 +209,23 @@ def render_plan(spark, sf):
     return I.render_plan(new, old, seq.where("seq % 5 <> 0").select("id"), forced)
 
 
+SECTIONS = """, ends AS (SELECT src AS id, 'out' AS dir, relation, dst AS other FROM edges UNION ALL SELECT dst, 'in', relation, src FROM edges),
+e AS (SELECT x.*, n.label, n.type, m.label AS mine FROM ends x JOIN nodes n ON n.id = other JOIN nodes m ON m.id = x.id),
+l AS (SELECT id, CASE WHEN dir = 'in' AND relation = 'contains' THEN 'Parent' WHEN relation = 'contains' THEN 'Contains Symbols' WHEN relation = 'imports' THEN CASE dir WHEN 'out' THEN 'Imports' ELSE 'Imported By' END
+  WHEN relation = 'calls' THEN CASE dir WHEN 'out' THEN 'Outgoing Calls' ELSE 'Incoming Calls' END ELSE CASE dir WHEN 'out' THEN 'Inherits / Implements' ELSE 'Inherited / Implemented By' END END AS section,
+  '- [' || label || '](' || regexp_replace(other, '[\\\\/.: *?#^\\[\\]"<>|]+', '_', 'g') || '.md) (`' || type || '`)' AS line FROM e
+  UNION ALL SELECT DISTINCT id, 'Diagram', CASE dir WHEN 'out' THEN '  ' || a || ' --> ' || z ELSE '  ' || z || ' --> ' || a END FROM (
+    SELECT id, dir, regexp_replace(id, '[^a-zA-Z0-9_]', '_', 'g') || '["' || mine || '"]' AS a, regexp_replace(other, '[^a-zA-Z0-9_]', '_', 'g') || '["' || label || '"]' AS z FROM e WHERE relation = 'calls'))
+SELECT id, section, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line)) AS lines_md5 FROM l GROUP BY id, section"""
+
+
+@query(SECTIONS, TRADE)
+def node_sections(spark, sf):
+    """The lists and the call diagram of every node's page."""
+    g = trade(spark, sf)
+    return V.node_sections(g.nodes, edges_of(g)).select("id", "section", "n", F.md5("lines").alias("lines_md5"))
+
+
 CLEAN = "regexp_replace({}, '[\\\\/.: *?#^\\[\\]\"<>|{}]+', '_', 'g') || '.md'"
 LINES = "SELECT {0} AS id, string_agg('- ' || relation || ' [[' || {1} || ']]', chr(10) ORDER BY '- ' || relation || ' [[' || {1} || ']]') AS x FROM edges GROUP BY 1"
 

@@ -201,10 +201,6 @@ def top_dirs(spark, sf):
     return C.top_dirs(trade(spark, sf).nodes)
 
 
-@query("SELECT id, label FROM nodes WHERE type IN ('function', 'method') AND regexp_matches(lower(label), 'main|app|run|cli|serve') ORDER BY seq LIMIT 5")
-def entry_points(spark, sf):
-    return C.entry_points(trade(spark, sf).nodes)
-
 
 PATHS = """, e AS (SELECT DISTINCT src, dst FROM edges WHERE relation = 'imports'), walk AS (
   SELECT src AS first, dst AS last, [src, dst] AS p FROM e WHERE dst > src

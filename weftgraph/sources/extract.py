@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import ast
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -19,6 +20,27 @@ EDGE = "struct<source:string,target:string,relation:string,import_map:map<string
 ROWS = f"path string, lang string, error string, nodes array<{NODE}>, edges array<{EDGE}>"
 
 
+Extractors = dict[str, "Extractor"]
+
+
+@dataclass(frozen=True)
+class Extractor:
+    """A language's parser: ``parse(path, text)`` returns a :class:`Found`; files are known by their endings."""
+
+    language: str
+    endings: tuple[str, ...]
+    parse: Callable[[str, str], Found]
+
+
+REGISTERED: Extractors = {}
+
+
+def register(extractor: Extractor) -> Extractor:
+    """Adds a language, or replaces a built-in one, for all builds of this session that name no other."""
+    REGISTERED[extractor.language] = extractor
+    return extractor
+
+
 @dataclass
 class Found:
     """Collects one file's rows."""
@@ -26,6 +48,7 @@ class Found:
     path: str
     nodes: list[dict] = field(default_factory=list)
     edges: list[dict] = field(default_factory=list)
+    error: str | None = None  # what was skipped
 
     def node(self, id, label, type, start, end, signature="", docstring="", bindings=None, parent=None):
         self.nodes.append({"id": id, "label": label, "type": type, "source_file": self.path, "line_start": start, "line_end": end, "signature": signature, "docstring": docstring, "local_bindings": dict(bindings or {})})
@@ -62,9 +85,28 @@ def type_name(node) -> str | None:
     return None
 
 
+def _mended(text: str, most: int = 50) -> tuple[ast.Module, str | None]:
+    """The tree of a text without the lines that break it, and the first error; a text that stays broken after ``most`` lines raises."""
+    lines, first = text.split("\n"), None
+    for _ in range(most):
+        try:
+            return ast.parse("\n".join(lines)), first
+        except SyntaxError as e:
+            first = first or f"SyntaxError: {e}"
+            at = min(max(1, e.lineno or 1), len(lines)) - 1
+            while at and (not lines[at].strip() or lines[at].strip() == "pass"):
+                at -= 1
+            kept = lines[at]
+            lines[at] = kept[: len(kept) - len(kept.lstrip())] + "pass"
+            if lines[at] == kept:
+                break
+    return ast.parse("\n".join(lines)), first
+
+
 def _python(path: str, text: str) -> Found:
-    out, lines = Found(path), text.splitlines() or [""]
-    tree = ast.parse(text)
+    lines = text.splitlines() or [""]
+    tree, bad = _mended(text)
+    out = Found(path, error=bad)
     out.node(path, path.rsplit("/", 1)[-1], "file", 1, len(lines), "", ast.get_docstring(tree) or "")
 
     def own(body):
@@ -322,27 +364,31 @@ def _other(path: str, lang: str, text: str) -> Found:
     return out
 
 
-def extract_file(path: str, lang: str, content: bytes) -> tuple[list[dict], list[dict], str | None]:
-    """(nodes, edges, error) of one file; a file that cannot be read gives its error and no rows."""
+def extract_file(path: str, lang: str, content: bytes, extractors: Extractors | None = None) -> tuple[list[dict], list[dict], str | None]:
+    """(nodes, edges, error) of one file; a file that cannot be read gives its error and no rows, one with broken lines both."""
     try:
         text = content.decode("utf-8", "replace")
-        out = _python(path, text) if lang == "python" else _other(path, lang, text)
-        return out.nodes, out.edges, None
+        if extractors and lang in extractors:
+            out = extractors[lang].parse(path, text)
+        else:
+            out = _python(path, text) if lang == "python" else _other(path, lang, text)
+        return out.nodes, out.edges, out.error
     except KeyError:
         return [], [], f"no extractor for {lang}"
     except (SyntaxError, ValueError, RecursionError) as e:
         return [], [], f"{type(e).__name__}: {e}"
 
 
-def extract(files: DataFrame) -> DataFrame:
+def extract(files: DataFrame, extractors: Extractors | None = None) -> DataFrame:
     """(path, lang, error, nodes, edges) of files (path, lang, content)."""
+    own = dict(REGISTERED if extractors is None else extractors)  # travels with the task
 
     def run(batches):
         for batch in batches:
             rows = [dict(zip(("path", "lang", "content"), r)) for r in zip(*(c.to_pylist() for c in batch.columns))]
             out = []
             for r in rows:
-                nodes, edges, error = extract_file(r["path"], r["lang"], r["content"] or b"")
+                nodes, edges, error = extract_file(r["path"], r["lang"], r["content"] or b"", own)
                 pairs = lambda d, k: {**d, k: list(d[k].items())}
                 out.append({"path": r["path"], "lang": r["lang"], "error": error, "nodes": [pairs(n, "local_bindings") for n in nodes], "edges": [pairs(e, "import_map") for e in edges]})
             yield pa.RecordBatch.from_pylist(out, schema=_arrow())
@@ -359,8 +405,8 @@ def _arrow() -> pa.Schema:
 
 
 def tables(extracted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(nodes, bindings, raw edges, errors); ``seq`` orders by file and place, so equal input gives equal ranks."""
-    key = lambda pos: F.xxhash64("path").bitwiseAND(F.lit(0xFFFFFFFFFF)) * F.lit(1 << 20) + F.col(pos)
+    """(nodes, bindings, raw edges, errors); ``seq``, a string that is unique, orders by path and place in the file."""
+    key = lambda pos: F.concat("path", F.lit("\u0000"), F.lpad(F.col(pos).cast("string"), 10, "0"))
     n = extracted.select("path", F.posexplode("nodes").alias("pos", "n")).select("n.*", key("pos").alias("seq"))
     e = extracted.select("path", F.posexplode("edges").alias("pos", "e")).select("e.*", key("pos").alias("seq"))
     b = n.select(F.col("id").alias("node_id"), F.explode("local_bindings").alias("var", "bound"))
