@@ -2,20 +2,24 @@
 
 Vectors of equal label are linked if their cosine, in double precision, is ``THRESHOLD`` or more.
 
-1. Every vector is normalised, rotated by a random orthogonal matrix (the same for all) and kept as one sign bit per dimension, with
-   its correction factor, the inner product of the unit vector and its code.  Equal vectors of a label are one row with a count.
+1. Every vector is rotated by a random orthogonal matrix (the same for all) and encoded once, as one sign bit per dimension and a
+   correction factor, the inner product of the unit vector and its code.  Equal vectors of a label are one row with a count.
 2. Buckets: tables take other random rotations' sign bits as keys.  Their number of bits grows with the label's size, so that a
    bucket holds about ``BUCKET`` rows, and the number of tables is such that a pair at the threshold shares a bucket with probability
-   ``RECALL``; small labels are one bucket and exact.  Buckets beyond ``BLOCK`` rows are compared block against block.
+   ``RECALL``; labels of up to ``BUCKET`` rows are one bucket and exact.  Buckets beyond ``BLOCK`` rows are compared block against block.
 3. In a bucket, the codes and factors estimate each inner product without bias; where the upper confidence bound is below the
    threshold the pair is dropped, all others are computed exactly.  A pair counts in the first table that it shares, so no pair is counted
    twice and none has to be emitted: a bucket returns link counts per row and a spanning forest of its links.
 
-Scale: rows carry code, keys and vector; a task holds one block pair.  Counts add up before the shuffle; components come from the forests' edges.
+Scale: a row travels to a bucket with its code, factor and keys, and with its components as they came (four bytes each for floats), since links
+are counted where they are found: surviving pairs of a dense group are too many to leave it.  The sizes of labels and of dense buckets are
+tables, joined (small ones by broadcast, after a count); a task holds one block pair.  Counts add up before the shuffle; components come from the
+forests' edges.
 
 Cases: null, empty, zero vectors, and those with null or non-finite components, link with nothing, and so do vectors with a null label;
 vectors of other lengths are compared with their like only; equal rows link with each other; rows with equal vec_id are one vector (the first by
-content) and each row gets its result; a null vec_id links with nothing and is kept; an empty table gives an empty result.
+content) and each row gets its result; ties cannot arise, since a pair is linked or not; a null vec_id links with nothing and is kept; very long vectors
+make rows of their size; extra columns do not matter; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -29,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import connected_components, materialize, read_table
 
-THRESHOLD, RECALL, BUCKET, BLOCK, SEED = 0.93, 1 - 1e-6, 512, 4096, 5
+THRESHOLD, RECALL, BUCKET, BLOCK, SEED = 0.93, 1 - 1e-6, 4096, 8192, 5
+#: Side tables of so many rows are broadcast; larger ones are joined by a shuffle.
+SENT = 1 << 18
 #: Width of the confidence bound, in standard errors of the estimate.
 SIGMAS = 6.0
 U = np.uint64
@@ -76,9 +82,8 @@ def screen(code: np.ndarray, factor: np.ndarray, rotated: np.ndarray, threshold:
     return estimate >= threshold - SIGMAS * error[:, None] * math.sqrt(1 - threshold**2) - 1e-4
 
 
-def _links(unit: np.ndarray, key: np.ndarray, table: int, rows: np.ndarray, cols: np.ndarray, threshold: float):
+def _links(unit: np.ndarray, code: np.ndarray, factor: np.ndarray, key: np.ndarray, table: int, rows: np.ndarray, cols: np.ndarray, threshold: float):
     """Pairs of rows x cols (row index below column index, or another block) linked and first met in this table."""
-    code, factor = encode(unit)
     rotated = (unit @ rotation(unit.shape[1], 0)).astype(np.float32)
     for a in range(0, len(rows), 1024):
         mine = rows[a : a + 1024]
@@ -95,42 +100,63 @@ def _links(unit: np.ndarray, key: np.ndarray, table: int, rows: np.ndarray, cols
             yield x[ok], y[ok]
 
 
+def _vectors(data: list[bytes], dim: int) -> np.ndarray:
+    """Rows of ``dim`` numbers, of four or eight bytes each."""
+    wide = bool(data) and len(data[0]) == 8 * dim
+    v = np.frombuffer(b"".join(data), "<f8" if wide else "<f4").reshape(-1, dim).astype(np.float64)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _small(side: DataFrame) -> DataFrame:
+    return F.broadcast(side) if side.count() <= SENT else side
+
+
 def links(vectors: DataFrame, *, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """From distinct vectors (node, label, dim, count, v): (node, n) partial link counts, and (a, b) edges that span the components."""
-    by = {(r.label, r.dim): plan(r.n, r.dim, threshold) for r in vectors.groupBy("label", "dim").agg(F.count("*").alias("n")).collect()}  # one row per label
+    sizes = materialize(vectors.groupBy("label", "dim").agg(F.count("*").alias("size")), "label-sizes")
+    sized = vectors.join(_small(sizes), ["label", "dim"]).select("node", "label", "dim", "count", "v", "size")
+
+    def spread(whole: bool):
+        def run(batches):
+            for batch in batches:
+                groups: dict[tuple, list[int]] = {}
+                for i, g in enumerate(zip(batch.column(2).to_pylist(), batch.column(5).to_pylist(), map(len, batch.column(4).to_pylist()))):
+                    groups.setdefault(g, []).append(i)
+                for (d, size, _), at in groups.items():
+                    part = batch.take(pa.array(at))
+                    unit = _vectors(part.column(4).to_pylist(), d)
+                    bits, tables = plan(size, d, threshold)
+                    k = keys(unit, bits, tables)
+                    if not whole:
+                        for t in range(tables):
+                            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array(np.full(len(at), t, np.int32)), pa.array(k[:, t])], names=["label", "dim", "t", "key"])
+                        continue
+                    code, factor = encode(unit)
+                    code = pa.array([r.tobytes() for r in np.packbits(code > 0, axis=1)], pa.binary())
+                    for t in range(tables):
+                        seen = pa.array([r.tobytes() for r in np.ascontiguousarray(k[:, :t].astype("<i4" if bits < 31 else "<i8"))], pa.binary())  # keys of earlier tables
+                        yield pa.RecordBatch.from_arrays([*part.columns[:5], code, pa.array(factor), pa.array(np.full(len(at), t, np.int32)), pa.array(k[:, t]), seen], names=["node", "label", "dim", "count", "v", "code", "factor", "t", "key", "seen"])
+
+        return run
 
-    def spread(batches):
-        for batch in batches:
-            label, dim = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            groups: dict[tuple, list[int]] = {}
-            for i, g in enumerate(zip(label, dim)):
-                groups.setdefault(g, []).append(i)
-            for (lab, d), at in groups.items():
-                part = batch.take(pa.array(at))
-                v = np.frombuffer(b"".join(part.column(4).to_pylist()), "<f8").reshape(-1, d)
-                bits, tables = by[lab, d]
-                k = keys(v / np.linalg.norm(v, axis=1, keepdims=True), bits, tables)
-                packed = pa.array([r.astype("<i8").tobytes() for r in k], pa.binary())
-                for t in range(tables):
-                    n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, t, np.int32)), pa.array(k[:, t]), *part.columns, packed], names=["t", "key", "node", "label", "dim", "count", "v", "keys"])
-
-    rows = vectors.select("node", "label", "dim", "count", "v").mapInArrow(spread, "t int, key long, node long, label long, dim int, count long, v binary, keys binary")
-    rows = materialize(rows, "codes")
     cell = ["label", "dim", "t", "key"]
-    large = rows.groupBy(*cell).count().where(F.col("count") > BLOCK).select(*cell, F.ceil(F.col("count") / (BLOCK // 2)).cast("int").alias("blocks"))
-    rows = rows.join(large, cell, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    found = sized.mapInArrow(spread(False), "label long, dim int, t int, key long").groupBy(*cell).count()
+    large = found.where(F.col("count") > BLOCK).select(*cell, F.ceil(F.col("count") / (BLOCK // 2)).cast("int").alias("blocks"))
+    large = materialize(large, "dense-buckets")
+    rows = sized.mapInArrow(spread(True), "node long, label long, dim int, count long, v binary, code binary, factor double, t int, key long, seen binary")
+    rows = rows.join(_small(large), cell, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(*cell, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "count", "v", "keys")
+    rows = rows.select(*cell, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "count", "v", "code", "factor", "seen")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.sort_by("node")
         t, d, p, q = (table.column(c)[0].as_py() for c in ("t", "dim", "p", "q"))
         node, count, own = (np.asarray(table.column(c)) for c in ("node", "count", "own"))
-        v = np.frombuffer(b"".join(table.column("v").to_pylist()), "<f8").reshape(-1, d)
-        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
-        key = np.frombuffer(b"".join(table.column("keys").to_pylist()), "<i8").reshape(len(node), -1)
+        unit = _vectors(table.column("v").to_pylist(), d)
+        code = np.unpackbits(np.frombuffer(b"".join(table.column("code").to_pylist()), np.uint8).reshape(len(node), -1), axis=1, count=d).astype(np.int8) * 2 - 1
+        factor, seen = np.asarray(table.column("factor")), table.column("seen").to_pylist()
+        key = np.frombuffer(b"".join(seen), "<i4" if t and len(seen[0]) == 4 * t else "<i8").reshape(len(node), t)
         rows, cols = np.flatnonzero(own == p), np.flatnonzero(own == q)
         pairs = [(rows, cols)] if p == q else [(rows, cols), (cols, rows)]
         n, up = np.zeros(len(node), np.int64), np.arange(len(node))
@@ -142,7 +168,7 @@ def links(vectors: DataFrame, *, threshold: float = THRESHOLD) -> tuple[DataFram
 
         edges = []
         for r, c in pairs:
-            for x, y in _links(unit, key, t, r, c, threshold):
+            for x, y in _links(unit, code, factor, key, t, r, c, threshold):
                 np.add.at(n, x, count[y])
                 np.add.at(n, y, count[x])
                 for i, j in zip(x.tolist(), y.tolist()):
@@ -166,12 +192,14 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: s
     good = vectors.where(fine).select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), v.alias("v"))
     good = good.groupBy("vec_id").agg(F.min_by(F.struct("label", "v"), F.struct("label", "v")).alias("x")).select("vec_id", "x.label", "x.v")
 
+    kind = "<f4" if vectors.schema[vector_col].dataType.elementType.typeName() == "float" else "<f8"
+
     def pack(batches):
         for batch in batches:
-            # Scaled by the largest component first, so that no square leaves the range of doubles.
+            # Scaled by a power of two, which is exact, so that no square leaves the range of doubles.
             rows = [np.asarray(x, "<f8") for x in batch.column(2).to_pylist()]
-            rows = [x / np.abs(x).max() for x in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in rows], pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], names=["vec_id", "label", "dim", "v"])
+            rows = [np.ldexp(x, -int(np.frexp(np.abs(x).max())[1])) for x in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(x) for x in rows], pa.int32()), pa.array([x.astype(kind).tobytes() for x in rows], pa.binary())], names=["vec_id", "label", "dim", "v"])
 
     good = materialize(good.mapInArrow(pack, "vec_id long, label long, dim int, v binary"), "vectors")
     same = materialize(good.groupBy("label", "dim", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("count")), "vector-sets")
