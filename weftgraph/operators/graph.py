@@ -18,6 +18,8 @@ def cut(df: DataFrame) -> DataFrame:
     spark: SparkSession = df.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="weft-"))
         shared = spark.sparkContext.getCheckpointDir()
     path = f"{shared.rstrip('/')}/weft-graph/{uuid.uuid4().hex}"

@@ -201,10 +201,9 @@ def top_dirs(spark, sf):
     return C.top_dirs(trade(spark, sf).nodes)
 
 
-
 PATHS = """, e AS (SELECT DISTINCT src, dst FROM edges WHERE relation = 'imports'), walk AS (
   SELECT src AS first, dst AS last, [src, dst] AS p FROM e WHERE dst > src
-  UNION ALL SELECT first, dst, list_append(p, dst) FROM walk JOIN e ON last = src WHERE dst > first AND NOT list_contains(p, dst) AND len(p) < 8)
+  UNION ALL SELECT first, dst, list_append(p, dst) FROM walk JOIN e ON last = src WHERE dst > first AND NOT list_contains(p, dst))
 SELECT array_to_string(p, ' > ') AS path, len(p)::INT AS length FROM walk JOIN e ON last = src AND dst = first UNION ALL SELECT src, 1 FROM e WHERE src = dst"""
 
 
