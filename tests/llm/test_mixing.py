@@ -51,3 +51,12 @@ def test_stage_repeats_rows(spark, make_docs):
     out = m.stage(spark, docs, "")
     assert out.columns == docs.columns
     assert abs(out.count() - 300) <= 4 and out.where("text IS NULL").count() == 0
+
+
+def test_a_long_text_and_clashing_columns(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i, "w " * (600_000 if i == 7 else 30), "ab"[i % 2], 1, "t") for i in range(100)], "doc_id long, text string, source string, size int, target string")
+    got = m.mix(docs, m.count_words(F.col("text")), F.lit(1.0)).select("doc_id", "size", "target", "_m_size", "_m_copies").collect()
+    assert {r.doc_id: r._m_size for r in got}[7] == 600_000 and {(r["size"], r.target) for r in got} == {(1, "t")}
+    assert all(r._m_copies <= 2 for r in got)

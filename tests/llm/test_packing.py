@@ -102,3 +102,10 @@ def test_every_piece_is_placed_once(spark, make_docs, write_table):
 
 def test_empty_table(spark, make_docs, write_table):
     assert p.op6_packing(spark, write_table(make_docs([]))).count() == 0
+
+
+def test_a_long_text_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "b " * 500_000, 3, "x"), (2, "a", 4, "y")], "doc_id long, text string, length int, sequence_id string")
+    got = sorted((r.doc_id, r.piece, r.length) for r in p.pack(p.pieces(docs, tokenizer=tokens.default_path())).collect())
+    first = [n for d, _, n in got if d == 1]
+    assert first[:-1] == [2048] * (len(first) - 1) and sum(first) > 500_000 and [k for d, k, _ in got if d == 1] == list(range(len(first)))

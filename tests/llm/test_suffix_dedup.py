@@ -81,3 +81,20 @@ def test_a_digit_under_ids_a_b_a_is_not_alone():
     own = lambda *ids: Chunk(np.array(ids, np.int64), np.full(len(ids), len(text)), text * len(ids)).digits_by_bucket(4)[2]
     assert own(1, 2, 1).all() and own(1, 2).all() and len(own(1, 2, 1))
     assert not own(1, 1, 1).any()
+
+
+def test_a_long_text_and_its_copy(spark, make_docs):
+    rnd = random.Random(4)
+    long = "".join(rnd.choices("abcdefgh \n", k=1_200_000))
+    got = {r.doc_id: r for r in s.remove_repeats(make_docs([(1, long), (2, "own start " + long + " own end"), (3, "clean")])).collect()}
+    assert (got[1].n_removed, got[3].n_removed) == (0, 0)
+    assert got[2].n_spans == 1 and got[2].n_removed >= 1_200_000 and len(got[2].kept) <= 18
+
+
+def test_one_string_in_many_surroundings(spark, make_docs):
+    rnd = random.Random(6)
+    rule = "-" * 24
+    rows = [(i, "".join(rnd.choices("abcdefgh", k=40)) + rule + "".join(rnd.choices("abcdefgh", k=40))) for i in range(20_000)] + [(30_000, "x" + rule + "y")]
+    rows.append((40_000, rows[17][1]))
+    got = {r.doc_id: r.n_removed for r in s.remove_repeats(make_docs(rows), keep_bytes=False).collect()}
+    assert got[40_000] == 104 and sum(got.values()) == 104

@@ -56,3 +56,12 @@ def test_round_trip(spark, make_docs, tmp_path):
 
 def test_empty_table(spark, make_docs, write_table):
     assert f.op4_token_files(spark, write_table(make_docs([]))).count() == 0
+
+
+def test_a_long_text_and_clashing_columns(spark, tmp_path):
+    rnd = random.Random(8)
+    long = " ".join("".join(rnd.choice("abcdeéñ'") for _ in range(6)) for _ in range(150_000))  # 1 MB
+    docs = spark.createDataFrame([(1, "a b", 3, "x"), (2, long, 4, "y")], "doc_id long, text string, start int, path string")
+    got = sorted(map(tuple, f.read_tokens(f.write_tokens(docs, f"file://{tmp_path}/tok", tokenizer=tokens.default_path())).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
+    ids = [np.array(w + [2], "<u4") for w in whole(["a b", long])]
+    assert got == [(1, 0, len(ids[0]), zlib.crc32(ids[0].tobytes())), (2, len(ids[0]), len(ids[1]), zlib.crc32(ids[1].tobytes()))]

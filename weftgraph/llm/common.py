@@ -19,13 +19,15 @@ SPACES = " \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in local tests, a temporary folder of this machine is set.
+    Only where a local session names none, as in tests, a temporary folder of this machine is set; a cluster has to name one.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
         given = spark.sparkContext.getCheckpointDir()
         if given:
             return given
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="weft-")
         spark.sparkContext.setCheckpointDir(known)
         return spark.sparkContext.getCheckpointDir()
