@@ -91,10 +91,25 @@ def test_a_long_text_and_its_copy(spark, make_docs):
     assert got[2].n_spans == 1 and got[2].n_removed >= 1_200_000 and len(got[2].kept) <= 18
 
 
+def test_hot_digits_equal_brute_force(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(s, "HOT", 0)
+    rows = corpus(8)
+    got = s.remove_repeats(make_docs(rows)).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute(rows, 50)
+    rnd = np.random.default_rng(1)
+    n, side = 500, 26
+    left, right = (rnd.integers(97, 99, (n, side), dtype=np.uint8) for _ in range(2))
+    left[rnd.random(n) < 0.5, 3:] = 97
+    args = (np.full(n, 7, np.uint64), left, right, rnd.integers(0, 27, n), rnd.integers(0, 27, n), rnd.integers(0, 50, n), side)
+    hot = s.smallest(*args)
+    monkeypatch.setattr(s, "HOT", 1 << 15)
+    assert (hot == s.smallest(*args)).all() and (hot < s.HIGHEST).any()
+
+
 def test_one_string_in_many_surroundings(spark, make_docs):
     rnd = random.Random(6)
     rule = "-" * 24
-    rows = [(i, "".join(rnd.choices("abcdefgh", k=40)) + rule + "".join(rnd.choices("abcdefgh", k=40))) for i in range(20_000)] + [(30_000, "x" + rule + "y")]
-    rows.append((40_000, rows[17][1]))
+    rows = [(i, "".join(rnd.choices("abcdefgh", k=40)) + rule + "".join(rnd.choices("abcdefgh", k=40))) for i in range(40_000)] + [(50_000, "x" + rule + "y")]
+    rows.append((60_000, rows[17][1]))
     got = {r.doc_id: r.n_removed for r in s.remove_repeats(make_docs(rows), keep_bytes=False).collect()}
-    assert got[40_000] == 104 and sum(got.values()) == 104
+    assert got[60_000] == 104 and sum(got.values()) == 104

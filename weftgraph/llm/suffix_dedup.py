@@ -14,7 +14,8 @@ Last: a chunk marks the windows whose smallest doc_id is smaller than their own.
 
 Scale: chunks are compressed files in the shared folder, named by content and renamed into place, so any task can run again; answers are
 joined to chunks by name and texts are never shuffled.  A string that every document holds is one record per chunk.  Buckets follow
-the total size, and so does the width of the hashes.  64-bit hashes stand for digits and two for windows.
+the total size, and so does the width of the hashes.  The distinct surroundings of one digit meet in one task, which needs some 400 bytes for
+each of them, however many there are; equal ones are one record a chunk.  64-bit hashes stand for digits and two for windows.
 
 Cases: null text has no bytes; texts shorter than ``WIDTH`` stay; a null doc_id counts as smaller than all others; rows of equal doc_id are no
 copies of each other; very long texts are scanned in blocks; an empty table gives an empty result; other columns do not matter.
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialize, new_path, read_table
 from .textbytes import mix
 
-WIDTH, DIGIT, SENT, BUCKET_BYTES = 50, 24, 5, 8 << 20
+WIDTH, DIGIT, SENT, BUCKET_BYTES, HOT = 50, 24, 5, 8 << 20, 1 << 15
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 BLOCK = 1 << 19
 U = np.uint64
@@ -199,21 +200,39 @@ def smallest(h, left, right, n_left, n_right, doc, side: int) -> np.ndarray:
     more = order[~alone]
     for at in _cuts(h[more], 1 << 15):
         i = more[at]
+        if len(i) > HOT:  # one digit with many surroundings: an offset at a time, so that memory is that of the records alone
+            for o in range(side + 1):
+                r = np.flatnonzero(valid[i, o])
+                (la, lb), (ra, rb) = _prefix(left[i[r]], o, 3), _prefix(right[i[r]], side - o, 5)
+                _least(out, i[r], np.full(len(r), o), h[i[r]], la, lb, ra, rb, doc[i[r]])
+            continue
         la, lb = _runs(left[i], 3)
         ra, rb = _runs(right[i], 5)
         r, o = np.nonzero(valid[i])
-        x = mix(h[i][r] + mix(la[r, o] * _K + ra[r, side - o]) + o.astype(U))
-        y = mix(lb[r, o] * U(0xD6E8FEB86659FD93) + rb[r, side - o] + h[i][r])
-        d = doc[i][r]
-        sort = np.lexsort((d, y, x))
-        x, y = x[sort], y[sort]
-        new = np.ones(len(sort), bool)
-        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-        least = d[sort][new][np.cumsum(new) - 1]
-        out[i[r[sort]], o[sort]] = least
+        _least(out, i[r], o, h[i][r], la[r, o], lb[r, o], ra[r, side - o], rb[r, side - o], doc[i][r])
     return out
 
 
+def _least(out, record, o, h, la, lb, ra, rb, doc) -> None:
+    """Sets ``out[record, o]`` to the smallest doc of equal windows, each given by its digit and the bytes left and right of it."""
+    x = mix(h + mix(la * _K + ra) + o.astype(U))
+    y = mix(lb * U(0xD6E8FEB86659FD93) + rb + h)
+    sort = np.lexsort((doc, y, x))
+    x, y = x[sort], y[sort]
+    new = np.ones(len(sort), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    out[record[sort], o[sort]] = doc[sort][new][np.cumsum(new) - 1]
+
+
+def _prefix(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the first ``k`` bytes of each row, as in :func:`_runs`."""
+    a, b = np.full(len(x), U(seed)), np.full(len(x), U(seed + 100))
+    for c in range(k):
+        a = mix(a * _K + x[:, c])
+        b = mix(b + (x[:, c].astype(U) + U(77)) * U(0xD6E8FEB86659FD93))
+    return a, b
+
+
 def _cuts(sorted_keys: np.ndarray, size: int):
     """Slices of about ``size`` rows that never part equal keys."""
     at = 0
