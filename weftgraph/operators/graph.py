@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -91,14 +92,63 @@ def inter_component(edges: DataFrame, member: DataFrame) -> DataFrame:
     return edges.join(a, "src").join(b, "dst").where("src_comp <> dst_comp").groupBy("src_comp", "dst_comp").agg(F.count("*").alias("n"))
 
 
-def scc(edges: DataFrame) -> DataFrame:
+#: Graphs of so many edges are solved in one task, whose memory they bound; larger ones by rounds over all tasks.
+ONE_TASK = 1 << 20
+
+
+def _components(batches):
+    """(id, scc) of the nodes on cycles, by depth-first search without recursion over all edges of this task."""
+    out: dict = {}
+    for b in batches:
+        for a, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            out.setdefault(a, []).append(z)
+    index, low, stack, on, found = {}, {}, [], set(), []
+    for start in out:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        on.add(start)
+        work = [(start, iter(out[start]))]
+        while work:
+            v, rest = work[-1]
+            for w in rest:
+                if w not in index:
+                    index[w] = low[w] = len(index)
+                    stack.append(w)
+                    on.add(w)
+                    work.append((w, iter(out.get(w, ()))))
+                    break
+                if w in on:
+                    low[v] = min(low[v], index[w])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[v])
+                if low[v] == index[v]:
+                    group = [stack.pop()]
+                    while group[-1] != v:
+                        group.append(stack.pop())
+                    on.difference_update(group)
+                    if len(group) > 1:
+                        name = min(group)
+                        found += [(x, name) for x in group]
+    if found:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found]), pa.array([y for _, y in found])], names=["id", "scc"])
+
+
+def scc(edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(id, scc): strongly connected components, named by their smallest member.
 
-    Trims nodes that cannot lie on a cycle, then colours: the smallest node that reaches each node by forward propagation; the nodes of
+    Small graphs are solved by one depth-first search.  Larger ones: trims nodes that cannot lie on a cycle, then colours: the smallest node that reaches each node by forward propagation; the nodes of
     a colour that reach its root backwards form a component.  Every loop runs on distributed frontiers.
     """
     left = cut(edges.where("src <> dst").select("src", "dst").distinct())
     every = edges.select(F.col("src").alias("id")).union(edges.select(F.col("dst").alias("id"))).distinct()
+    if left.count() <= one_task:
+        kind = left.schema["src"].dataType.simpleString()
+        found = left.coalesce(1).mapInArrow(_components, f"id {kind}, scc {kind}")
+        return every.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
     found = None
     while True:
         while True:  # trim
@@ -137,7 +187,40 @@ def scc(edges: DataFrame) -> DataFrame:
     return every.join(found, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
 
 
-def simple_cycles(edges: DataFrame, max_len: int | None = None, min_len: int = 1, sep: str = " > ") -> DataFrame:
+#: Between so many edges on cycles the walks run in the tasks, each from its own start nodes; among more they are rows of a frontier.
+WALKED = 1 << 14
+
+
+def _walks(out: dict[str, list[str]], max_len: int | None, min_len: int, sep: str):
+    """A task that yields the cycles whose smallest node is one of its rows."""
+
+    def run(batches):
+        for batch in batches:
+            found: list[tuple[str, int]] = []
+            for first in batch.column(0).to_pylist():
+                path, on, work = [first], {first}, [iter(out.get(first, ()))]
+                while work:
+                    for v in work[-1]:
+                        if v == first and len(path) >= max(2, min_len):
+                            found.append((sep.join(path), len(path)))
+                        elif v > first and v not in on and (max_len is None or len(path) < max_len):
+                            path.append(v)
+                            on.add(v)
+                            work.append(iter(out.get(v, ())))
+                            break
+                    else:
+                        work.pop()
+                        on.discard(path.pop())
+                    if len(found) >= 1 << 14:
+                        yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in found]), "length": pa.array([n for _, n in found], pa.int32())})
+                        found = []
+            if found:
+                yield pa.RecordBatch.from_pydict({"path": pa.array([p for p, _ in found]), "length": pa.array([n for _, n in found], pa.int32())})
+
+    return run
+
+
+def simple_cycles(edges: DataFrame, max_len: int | None = None, min_len: int = 1, sep: str = " > ", walked: int = WALKED) -> DataFrame:
     """(path, length): each simple cycle (of at most ``max_len`` nodes, if given) once, starting at its smallest node.
 
     Edges between strongly connected components are pruned first; the frontier holds open paths whose first node is the smallest.
@@ -147,6 +230,14 @@ def simple_cycles(edges: DataFrame, max_len: int | None = None, min_len: int = 1
     comp = cut(scc(edges))
     e = edges.where("src <> dst").select("src", "dst").distinct()
     e = cut(e.join(comp.toDF("src", "cs"), "src").join(comp.toDF("dst", "cd"), "dst").where("cs = cd").select("src", "dst"))
+    if e.count() <= walked:
+        near: dict[str, list[str]] = {}
+        for r in e.collect():  # at most ``walked`` rows
+            near.setdefault(r.src, []).append(r.dst)
+        starts = e.select(F.col("src").cast("string").alias("id")).distinct()
+        text = {str(k): sorted(map(str, v)) for k, v in near.items()}
+        found = starts.mapInArrow(_walks(text, max_len, min_len, sep), "path string, length int")
+        return found if loops is None else loops.unionByName(found)
     front = e.where("dst > src").select(F.array("src", "dst").alias("p"))
     out = loops
     n = 1
