@@ -286,7 +286,7 @@ def solve(lengths: np.ndarray, counts: np.ndarray, capacity: int = CAPACITY, rou
             if number(plan) < number(best) or best is plain and number(plan) == number(plain) and part:
                 best = plan
         left, kept = rest, kept + good
-        if not good or not left.any() or best is not plain and number(best) <= math.ceil(bound * (1 + CLOSE) - 1e-6):
+        if not good or not left.any() or number(best) <= math.ceil(bound * (1 + CLOSE) - 1e-6):
             break
     return Solution(best, bound, made, best is not plain)
 
