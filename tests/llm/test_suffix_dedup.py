@@ -102,7 +102,7 @@ def test_hot_digits_equal_brute_force(spark, make_docs, monkeypatch):
     left[rnd.random(n) < 0.5, 3:] = 97
     args = (np.full(n, 7, np.uint64), left, right, rnd.integers(0, 27, n), rnd.integers(0, 27, n), rnd.integers(0, 50, n), side)
     hot = s.smallest(*args)
-    monkeypatch.setattr(s, "HOT", 1 << 15)
+    monkeypatch.setattr(s, "HOT", 1 << 17)
     assert (hot == s.smallest(*args)).all() and (hot < s.HIGHEST).any()
 
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialize, new_path, read_table
 from .textbytes import mix
 
-WIDTH, DIGIT, SENT, BUCKET_BYTES, HOT = 50, 24, 5, 8 << 20, 1 << 15
+WIDTH, DIGIT, SENT, BUCKET_BYTES, HOT = 50, 24, 5, 8 << 20, 1 << 17
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
 BLOCK = 1 << 19
 U = np.uint64
