@@ -2,6 +2,8 @@ import math
 import random
 import string
 
+import numpy as np
+
 from weftgraph.llm import simhash as s
 
 
@@ -120,3 +122,29 @@ def test_components_by_rounds_equal_those_of_one_task(spark):
     one = sorted(map(tuple, connected_components(edges).collect()))
     assert one == sorted(map(tuple, connected_components(edges, one_task=0).collect()))
     assert all(c <= n for n, c in one)
+
+
+def test_rows_without_a_partner_stay_out_of_the_forest(spark, make_docs, write_table, monkeypatch):
+    rows, seen = corpus(9), []
+    want = brute(rows)
+    forest = s.forest
+    monkeypatch.setattr(s, "forest", lambda reps, *a, **k: seen.append({r.node for r in reps.collect()}) or forest(reps, *a, **k))
+    got = {r.doc_id: r.class_id for r in s.op3_simhash(spark, write_table(make_docs(rows))).collect()}
+    size = {c: list(want.values()).count(c) for c in want.values()}
+    alone = {d for d, c in want.items() if size[c] == 1}
+    assert len(alone) >= 100 and not alone & seen[0]
+    assert sum(got[d] != want[d] for d in want) <= 0.01 * len(want)
+
+
+def test_rows_that_a_possible_pair_needs_are_partnered(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(s, "CHUNK_ROWS", 37)
+    docs = make_docs([*corpus(4), *((900 + i, " ".join(str((7 * i + k) % 50) for k in range(20))) for i in range(30))])
+    sets = s.sign(docs).where("n > 0").selectExpr("doc_id AS node", "n", "sketch", "tails").repartition(3).cache()
+    all_ = sets.collect()
+    one, two = zip(*[(a, b) for a in all_ for b in all_ if a.node < b.node and min(a.n, b.n) >= 0.64 * max(a.n, b.n)])
+    ok = s.possible([bytes(r.sketch) for r in one], [bytes(r.sketch) for r in two], *(np.array([r.n for r in x]) for x in (one, two)))
+    linked = {r.node for a, b, k in zip(one, two, ok) if k for r in (a, b)}
+    for probes in (1 << 21, 500):
+        found = {r.node for r in s.partnered(sets, len(all_), probes=probes).collect()}
+        assert linked <= found and len(found) < len(all_)
+    assert s.partnered(sets, len(all_), 0.4).count() == len(all_)  # so low a threshold rules nothing out

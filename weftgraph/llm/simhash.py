@@ -6,7 +6,8 @@ estimates.  Classes are the connected components of that relation.
 
 1. Every text gets a 256-bit SimHash of its shingle set and a fingerprint of the set.  Texts with equal sets are one class at
    once; only the member with the smallest id goes on, so thousands of copies cost one row.
-2. Forest: each try orders the representatives by their bits in another random permutation.  A row looks back at the ``REACH`` rows
+2. Forest: only representatives enough of whose smallest shingle hashes are among those of others take part (:func:`partnered`); a pair of any other would
+   not pass the bound on similarity below.  Each try orders them by their bits in another random permutation.  A row looks back at the ``REACH`` rows
    before it, which are those with the longest common prefixes: the depth adapts to the density, and shorter prefixes are reached
    where the tree is thin.  The number of tries follows from the number of rows: enough that a pair at the threshold shares, with
    probability ``RECALL``, a prefix deep enough in one of them.
@@ -35,9 +36,11 @@ from __future__ import annotations
 
 import math
 import string
+import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -50,10 +53,12 @@ SKETCH, SIGMAS, WIDE = 64, 5.0, 256
 #: So many ids are sent to all tasks to pick their texts; of more, texts are joined by a shuffle.
 SENT = 1 << 20
 DENSE_REACH, BATCH, LEAST_BATCH = 256, 8, 1 << 16
+#: Hashes that one bucket compares, and rows of a chunk, which are named by 16 bits.
+PROBES, CHUNK_ROWS = 1 << 21, 1 << 15
 _MARKS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 #: The bits of a byte as 0 or 1 in the bytes of a word, so that eight counters add up in one.
 _LANES = np.ascontiguousarray(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1)).view("<u8").ravel()
-SIGNED = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, s3 long, s4 long, sketch binary"
+SIGNED = "doc_id long, n long, f1 long, f2 long, s1 long, s2 long, s3 long, s4 long, sketch binary, tails binary"
 BITS_OF = ("s1", "s2", "s3", "s4")
 U = np.uint64
 
@@ -103,7 +108,7 @@ def votes(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 def signatures(texts: list[str]) -> list:
-    """n, two words of the set's fingerprint and four of its SimHash (0 where it has no words), and its smallest hashes, for each text."""
+    """n, two words of the set's fingerprint and four of its SimHash (0 where it has no words), its smallest hashes and their next 16 bits, for each text."""
     s, n = shingle_sets(texts)
     out = [n.astype(np.int64), *(np.zeros(len(texts), U) for _ in range(6))]
     live = np.flatnonzero(n)
@@ -116,9 +121,11 @@ def signatures(texts: list[str]) -> list:
             draw = np.unpackbits(x[starts].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             out[k][live] = np.packbits(even + draw > 0, axis=1).view(">u8").ravel().astype(U)
     low = (s >> U(32)).astype("<u4").tobytes()
+    tail = (s >> U(16)).astype("<u2").tobytes()
     ends = np.cumsum(n)
     sketch = [low[4 * (e - k) : 4 * (e - k + min(k, SKETCH))] for e, k in zip(ends.tolist(), n.tolist())]
-    return [out[0], *(x.view(np.int64) for x in out[1:]), sketch]
+    tails = [tail[2 * (e - k) : 2 * (e - k + min(k, SKETCH))] for e, k in zip(ends.tolist(), n.tolist())]
+    return [out[0], *(x.view(np.int64) for x in out[1:]), sketch, tails]
 
 
 def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,11 +133,79 @@ def sign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         for batch in batches:
             ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts):
-                yield pa.RecordBatch.from_arrays([ids[a:b], *map(pa.array, signatures(texts[a:b]))], names=["doc_id", "n", "f1", "f2", *BITS_OF, "sketch"])
+                yield pa.RecordBatch.from_arrays([ids[a:b], *map(pa.array, signatures(texts[a:b]))], names=["doc_id", "n", "f1", "f2", *BITS_OF, "sketch", "tails"])
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, SIGNED)
 
 
+def least_common(n: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """How many of the smallest hashes of a set of ``n`` another set has to hold at least, whatever its size, for :func:`possible` to be true."""
+    share = threshold**2  # the least for large sets, where one is so much smaller than the other that it lies in it
+    large = SKETCH * (share - SIGMAS * math.sqrt(share * (1 - share) / SKETCH))
+    return np.minimum(share * n, large) - 1e-6
+
+
+def _first_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each of these ascending values is the first of its kind, and whether it has an equal."""
+    new = np.ones(len(h), bool)
+    new[1:] = h[1:] != h[:-1]
+    equal = ~new
+    equal[:-1] |= ~new[1:]
+    return new, equal
+
+
+def partnered(sets: DataFrame, rows: int, threshold: float = THRESHOLD, probes: int = PROBES) -> DataFrame:
+    """(node) of the rows whose smallest hashes are, as many as :func:`least_common` asks for, also among those of other rows.
+
+    No pair of any other row passes :func:`possible`.  ``sets``: (node, n, sketch, tails), ``rows`` of them.  A chunk of rows sends each distinct
+    hash (48 bits) once to its bucket, with the row that holds it unless several do; the bucket answers with the rows whose hash came from another chunk too.
+    """
+    if least_common(np.array([1 << 40]), threshold)[0] <= 0:
+        return sets.select("node").distinct()
+    bits = max(0, math.ceil(math.log2(max(1, rows * SKETCH / probes))))
+
+    def send(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, CHUNK_ROWS):
+                node, n, sketch, tails = batch.slice(at, CHUNK_ROWS).columns
+                high, low = b"".join(sketch.to_pylist()), b"".join(tails.to_pylist())
+                per_row = pa.compute.binary_length(sketch).to_numpy() // 4
+                h = mix(np.frombuffer(high, "<u4").astype(U) << U(32) | np.frombuffer(low, "<u2").astype(U) << U(16)) & ~U(0xFFFF)
+                h = np.sort(h | np.repeat(np.arange(len(per_row), dtype=U), per_row))
+                new, equal = _first_of(h >> U(16))
+                met = np.bincount((h[equal] & U(0xFFFF)).astype(np.int64), minlength=len(per_row))
+                sent = np.where(equal, h | U(0xFFFF), h)[new]
+                cut = np.searchsorted(sent >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U)) if bits else np.array([0, len(sent)])
+                own = np.concatenate([np.asarray(node), np.asarray(n), met]).astype("<i8").tobytes()
+                parts = [(b, sent[i:j].astype("<u8").tobytes()) for b, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i]
+                name = uuid.uuid4().hex
+                yield pa.RecordBatch.from_arrays([pa.array([name] * (len(parts) + 1)), pa.array([None, *(b for b, _ in parts)], pa.int64()), pa.array([own, *(x for _, x in parts)], pa.binary())], names=["chunk", "bucket", "data"])
+
+    def answer(table: pa.Table) -> pa.Table:
+        name, parts = table.column("chunk").to_pylist(), [np.frombuffer(x, "<u8") for x in table.column("data").to_pylist()]
+        v = np.concatenate(parts)
+        order = np.argsort(v, kind="stable")
+        equal = np.empty(len(v), bool)
+        equal[order] = _first_of(v[order] >> U(16))[1]
+        row = (v & U(0xFFFF)).astype("<u2")
+        equal &= row != 0xFFFF
+        at = np.cumsum([0, *map(len, parts)]).tolist()
+        return pa.table({"chunk": name, "data": pa.array([row[i:j][equal[i:j]].tobytes() for i, j in zip(at[:-1], at[1:])], pa.binary())})
+
+    def settle(table: pa.Table) -> pa.Table:
+        own, data = table.column("own").to_pylist(), table.column("data").to_pylist()
+        node, n, met = np.frombuffer(data[own.index(True)], "<i8").reshape(3, -1)
+        for x, is_own in zip(data, own):
+            if not is_own:
+                met = met + np.bincount(np.frombuffer(x, "<u2"), minlength=len(n))
+        return pa.table({"node": node[met >= least_common(n, threshold)]})
+
+    sent = materialize(sets.select("node", "n", "sketch", "tails").mapInArrow(send, "chunk string, bucket long, data binary"), "near-probes")
+    answers = sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(answer, "chunk string, data binary")
+    both = sent.where("bucket IS NULL").select("chunk", "data", F.lit(True).alias("own")).unionByName(answers.withColumn("own", F.lit(False)))
+    return both.groupBy("chunk").applyInArrow(settle, "node long").distinct()
+
+
 def tries(rows: int, threshold: float = THRESHOLD, recall: float = RECALL, reach: int = REACH) -> int:
     """How many permutations a pair at the threshold needs to share a deep enough prefix with probability ``recall``."""
     depth = max(0.0, math.log2(max(1, rows) / reach) + 0.5)
@@ -298,15 +373,16 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, kept) for every row; ``class_id``: the smallest id of its near copies, null where the id is."""
     signed = materialize(sign(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "signed")
-    same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in BITS_OF], F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in BITS_OF], F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sketch", "tails")])
     same = materialize(same, "near-sets")
-    rows = same.count()
+    live = materialize(same.drop("tails").join(partnered(same, same.count(), threshold), "node", "left_semi"), "near-live")
+    rows = live.count()
     n = tries(rows, threshold, recall)
     lead = max(0, math.ceil(math.log2(max(1, rows) / (64 * REACH))))
-    found = materialize(forest(same, n, lead, threshold=threshold), "near-found")
-    sets = same.select("node", "n", "sketch")
+    found = materialize(forest(live, n, lead, threshold=threshold), "near-found")
+    sets = live.select("node", "n", "sketch")
     pool = materialize(screened(found.where("d >= 0"), sets, threshold), "near-pool")
-    crowd = same.join(found.where("d < 0").select(F.col("a").alias("node")), "node", "left_semi").select("node", *BITS_OF, "n")
+    crowd = live.join(found.where("d < 0").select(F.col("a").alias("node")), "node", "left_semi").select("node", *BITS_OF, "n")
     crowd = materialize(crowd, "near-crowd")
     ids = pool.select(F.col("a").alias("node")).union(pool.select(F.col("b").alias("node"))).union(crowd.select("node")).distinct()
     ids = materialize(ids, "near-ids")
