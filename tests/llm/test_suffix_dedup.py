@@ -113,3 +113,30 @@ def test_one_string_in_many_surroundings(spark, make_docs):
     rows.append((60_000, rows[17][1]))
     got = {r.doc_id: r.n_removed for r in s.remove_repeats(make_docs(rows), keep_bytes=False).collect()}
     assert got[60_000] == 104 and sum(got.values()) == 104
+
+
+def test_anchors_are_found_once_for_all_uses_of_a_chunk(monkeypatch):
+    data = bytes(np.random.default_rng(3).integers(97, 99, 3000, dtype=np.uint8))
+    chunk, calls, digits = s.Chunk(np.arange(3), np.full(3, 1000), data), [], s._digits
+    monkeypatch.setattr(s, "_digits", lambda *a: calls.append(1) or digits(*a))
+    bucket, *_ = chunk.digits_by_bucket(4)
+    chunk.records(4, np.ones(len(bucket), bool))
+    assert len(calls) == 1
+
+
+def test_digits_are_equal_if_their_bytes_are():
+    data = np.random.default_rng(4).integers(97, 99, 2000, dtype=np.uint8)
+    for k in (3, 8, 13, 24):
+        strings = [data[i : i + k].tobytes() for i in range(len(data) - k + 1)]
+        found = s._digits(data, k).tolist()
+        assert len(set(found)) == len(set(strings)) == len(set(zip(strings, found)))
+
+
+def test_windows_are_told_apart_by_the_second_hash(monkeypatch):
+    rnd, n = np.random.default_rng(5), 300
+    x, doc = rnd.integers(0, 3, n).astype(np.uint64), rnd.integers(0, 50, n)
+    y = rnd.integers(0, 3, n).astype(np.uint64)
+    monkeypatch.setattr(s, "mix", lambda v: v)
+    out, zero = np.full((n, 2), s.HIGHEST), np.zeros(n, np.uint64)
+    s._least(out, np.arange(n), 1, zero, zero, y, x, zero, doc)
+    assert out[:, 1].tolist() == [doc[(x == a) & (y == b)].min() for a, b in zip(x, y)] and (out[:, 0] == s.HIGHEST).all()

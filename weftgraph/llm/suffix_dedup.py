@@ -36,29 +36,24 @@ from .textbytes import mix
 
 WIDTH, DIGIT, SENT, BUCKET_BYTES, HOT = 50, 24, 5, 8 << 20, 1 << 17
 LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
-BLOCK = 1 << 19
+BLOCK = 1 << 17  # its arrays stay in the processor's cache
 U = np.uint64
 _K = U(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
 def _digits(b: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all k-byte strings of ``b``, built by doubling."""
-    h, n, parts = mix((b.astype(U) + U(1)) * _K), 1, []
-    left, total, at = k, None, 0
-    while True:
-        if left & n:
-            parts.append((at, h))
-            at += n
-            left -= n
-        if not left:
-            break
-        h = mix(h[:-n] * _K + h[n:])
-        n *= 2
+    """Hashes of all k-byte strings of ``b``, eight bytes at a time."""
     m = len(b) - k + 1
-    for o, x in parts:
-        total = x[o : o + m] if total is None else mix(total * _K + x[o : o + m])
-    return total
+    pad = np.concatenate([b, np.zeros(8, np.uint8)])
+    word = np.ndarray(len(b), "<u8", pad, strides=(1,)).astype(U)
+    total = np.full(m, U(k))
+    for at in range(0, k, 8):
+        w = word[at : at + m]
+        total += w if k - at >= 8 else w & U((1 << 8 * (k - at)) - 1)
+        total *= _K
+        total ^= total >> U(32)
+    return mix(total)
 
 
 class Chunk:
@@ -68,6 +63,8 @@ class Chunk:
         self.ids, self.sizes, self.width, self.digit = ids, sizes, width, digit
         self.buf = np.frombuffer(data, np.uint8)
         self.end = np.cumsum(sizes)
+        self.hash = None
+        self.known: dict[int, tuple] = {}
 
     def pack(self) -> bytes:
         import zstandard
@@ -87,6 +84,12 @@ class Chunk:
         """Sets ``hash``, ``at``, ``first``, ``last`` (window starts) and ``doc`` of each anchor, in order of place."""
         w, k = self.width, self.digit
         reach = w - k + 1
+        start = self.end - self.sizes
+        inside = np.zeros(len(self.buf), bool)  # whether a window starts here
+        for a, e in zip(start.tolist(), self.end.tolist()):
+            inside[a : max(a, e - w + 1)] = True
+        begins = np.zeros(len(self.buf) + 1, bool)
+        begins[start] = True
         found = []
         for s in range(0, max(0, len(self.buf) - w + 1), BLOCK):
             b = self.buf[s : s + BLOCK + w - 1]
@@ -99,12 +102,9 @@ class Chunk:
             windows = len(b) - w + 1
             m = np.minimum(m[:windows], m[reach - n : reach - n + windows])
             at = (m & U(0xFFFFF)).astype(np.int64)
-            p = np.arange(s, s + windows)
-            doc = np.searchsorted(self.end, p, side="right")
-            doc = np.minimum(doc, len(self.end) - 1)
-            ok = p + w <= self.end[doc]
+            ok = inside[s : s + windows]
             new = np.ones(windows, bool)
-            new[1:] = (at[1:] != at[:-1]) | (doc[1:] != doc[:-1]) | ~ok[:-1]
+            new[1:] = (at[1:] != at[:-1]) | begins[s + 1 : s + windows] | ~ok[:-1]
             new &= ok
             i = np.flatnonzero(new)
             if not len(i):
@@ -114,15 +114,21 @@ class Chunk:
             stop &= ok
             j = np.flatnonzero(stop)
             # Anchors are minima, so their hashes crowd at the low end: hashed again, they spread over all buckets.
-            found.append((mix(h[at[i]] ^ _K), at[i] + s, p[i], p[j], doc[i]))
+            found.append((mix(h[at[i]] ^ _K), at[i] + s, i + s, j + s, np.searchsorted(self.end, i + s, side="right")))
         none = (np.zeros(0, U), *(np.zeros(0, np.int64) for _ in range(4)))
         self.hash, self.at, self.first, self.last, self.doc = (np.concatenate(c) for c in zip(none, *found))
 
     def digits_by_bucket(self, bits: int):
         """(bucket, sent hash values ascending, whether two documents of the chunk hold it, anchors' order and value index)."""
-        self.anchors()
+        if bits not in self.known:
+            self.known[bits] = self._digits_by_bucket(bits)
+        return self.known[bits]
+
+    def _digits_by_bucket(self, bits: int):
+        if self.hash is None:
+            self.anchors()
         value = (self.hash >> U(64 - bits - 8 * SENT)) if bits + 8 * SENT < 64 else self.hash
-        order = np.lexsort((self.doc, value))
+        order = np.argsort(value)
         v, d = value[order], self.doc[order]
         new = np.ones(len(v), bool)
         new[1:] = v[1:] != v[:-1]
@@ -142,14 +148,16 @@ class Chunk:
         a = np.sort(order[again[index]])
         side = self.width - self.digit
         n_left, n_right = self.at[a] - self.first[a], self.last[a] + self.width - self.at[a] - self.digit
-        pad = np.concatenate([np.zeros(side, np.uint8), self.buf, np.zeros(side, np.uint8)])
+        pad = np.concatenate([np.zeros(side, np.uint8), self.buf, np.zeros(side + self.digit, np.uint8)])
+        around = np.lib.stride_tricks.sliding_window_view(pad, side)
         col = np.arange(side)
-        left = pad[self.at[a][:, None] + side - 1 - col]  # outwards from the anchor
+        left = np.ascontiguousarray(around[self.at[a]][:, ::-1])  # outwards from the anchor
         left[col >= n_left[:, None]] = 0
-        right = pad[self.at[a][:, None] + side + self.digit + col]
+        right = around[self.at[a] + side + self.digit]
         right[col >= n_right[:, None]] = 0
         h, doc = self.hash[a], self.ids[self.doc[a]]
-        key = [h, n_left, n_right, *_twice(left), *_twice(right)]
+        (la, lb), (ra, rb), sizes = _twice(left), _twice(right), (n_left * 256 + n_right).astype(U)
+        key = [h, mix(la * _K + ra) + sizes, mix(lb * U(0xD6E8FEB86659FD93) + rb) + sizes]
         o = np.lexsort((doc, *key[::-1]))
         new = np.ones(len(o), bool)
         new[1:] = np.any([k[o][1:] != k[o][:-1] for k in key], axis=0)
@@ -163,8 +171,10 @@ class Chunk:
 def _twice(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of each row of bytes."""
     a, b = np.full(len(x), U(1)), np.full(len(x), U(2))
-    for c in range(x.shape[1]):
-        a, b = mix(a * _K + x[:, c]), mix(b + (x[:, c].astype(U) + U(77)) * U(0xD6E8FEB86659FD93))
+    wide = np.zeros((len(x), -(-x.shape[1] // 8) * 8), np.uint8)
+    wide[:, : x.shape[1]] = x
+    for w in wide.view("<u8").T:
+        a, b = mix(a * _K + w), mix(b + (w + U(77)) * U(0xD6E8FEB86659FD93))
     return a, b
 
 
@@ -200,28 +210,34 @@ def smallest(h, left, right, n_left, n_right, doc, side: int) -> np.ndarray:
     more = order[~alone]
     for at in _cuts(h[more], 1 << 15):
         i = more[at]
-        if len(i) > HOT:  # one digit with many surroundings: an offset at a time, so that memory is that of the records alone
+        if len(i) > HOT:  # one digit with many surroundings: no table of all prefixes, so that memory is that of the records alone
             for o in range(side + 1):
                 r = np.flatnonzero(valid[i, o])
                 (la, lb), (ra, rb) = _prefix(left[i[r]], o, 3), _prefix(right[i[r]], side - o, 5)
-                _least(out, i[r], np.full(len(r), o), h[i[r]], la, lb, ra, rb, doc[i[r]])
+                _least(out, i[r], o, h[i[r]], la, lb, ra, rb, doc[i[r]])
             continue
         la, lb = _runs(left[i], 3)
         ra, rb = _runs(right[i], 5)
-        r, o = np.nonzero(valid[i])
-        _least(out, i[r], o, h[i][r], la[r, o], lb[r, o], ra[r, side - o], rb[r, side - o], doc[i][r])
+        own_h, own_doc, fits = h[i], doc[i], np.ascontiguousarray(valid[i].T)
+        for o in range(side + 1):
+            r = np.flatnonzero(fits[o])
+            _least(out, i[r], o, own_h[r], la[o][r], lb[o][r], ra[side - o][r], rb[side - o][r], own_doc[r])
     return out
 
 
-def _least(out, record, o, h, la, lb, ra, rb, doc) -> None:
+def _least(out, record, o: int, h, la, lb, ra, rb, doc) -> None:
     """Sets ``out[record, o]`` to the smallest doc of equal windows, each given by its digit and the bytes left and right of it."""
-    x = mix(h + mix(la * _K + ra) + o.astype(U))
+    x = mix(h + mix(la * _K + ra))
     y = mix(lb * U(0xD6E8FEB86659FD93) + rb + h)
-    sort = np.lexsort((doc, y, x))
-    x, y = x[sort], y[sort]
-    new = np.ones(len(sort), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    out[record[sort], o[sort]] = doc[sort][new][np.cumsum(new) - 1]
+    if not len(x):
+        return
+    sort = np.argsort(x)
+    again, differs = x[sort][1:] == x[sort][:-1], y[sort][1:] != y[sort][:-1]
+    if (again & differs).any():  # the first hash alone does not tell the windows apart
+        sort = np.lexsort((y, x))
+        again, differs = x[sort][1:] == x[sort][:-1], y[sort][1:] != y[sort][:-1]
+    new = np.append(True, ~again | differs)
+    out[record[sort], o] = np.minimum.reduceat(doc[sort], np.flatnonzero(new))[np.cumsum(new) - 1]
 
 
 def _prefix(x: np.ndarray, k: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -244,13 +260,13 @@ def _cuts(sorted_keys: np.ndarray, size: int):
 
 
 def _runs(x: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two hashes of the first 0, 1, 2, ... bytes of each row."""
-    a = np.empty((len(x), x.shape[1] + 1), U)
+    """Two hashes of the first 0, 1, 2, ... bytes of each row: a line for each number of bytes."""
+    a = np.empty((x.shape[1] + 1, len(x)), U)
     b = np.empty_like(a)
-    a[:, 0], b[:, 0] = U(seed), U(seed + 100)
-    for c in range(x.shape[1]):
-        a[:, c + 1] = mix(a[:, c] * _K + x[:, c])
-        b[:, c + 1] = mix(b[:, c] + (x[:, c].astype(U) + U(77)) * U(0xD6E8FEB86659FD93))
+    a[0], b[0] = U(seed), U(seed + 100)
+    for c, byte in enumerate(x.T.astype(U)):
+        a[c + 1] = mix(a[c] * _K + byte)
+        b[c + 1] = mix(b[c] + (byte + U(77)) * U(0xD6E8FEB86659FD93))
     return a, b
 
 
@@ -319,7 +335,7 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, digit: int = DIGIT, i
         value[:, :SENT] = np.concatenate([np.frombuffer(x, np.uint8, SENT * k, 8).reshape(-1, SENT) for x, k in zip(data, n)])
         value = value.view("<u8").ravel()
         own = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8, offset=8 + SENT * k), count=k) for x, k in zip(data, n)]).astype(bool)
-        order = np.argsort(value, kind="stable")
+        order = np.argsort(value)
         s = value[order]
         twice = own[order]
         twice[1:] |= s[1:] == s[:-1]
@@ -371,16 +387,18 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, digit: int = DIGIT, i
         cover = np.zeros(len(chunk.buf) + 1, np.int32)
         if two:
             (own_bucket, *_), (anchor, record) = chunk.records(bits, answered(chunk, [b for b, _ in one], [x for _, x in one]))
-            least = np.full((len(own_bucket), side + 1), HIGHEST)
+            least = np.full((side + 1, len(own_bucket)), HIGHEST)
             for k, at in _by_bucket(own_bucket):
                 m = at.stop - at.start
-                least[at] = _expand(two[k], ("<i8", m * (side + 1)))[0].reshape(side + 1, m).T
+                least[:, at] = _expand(two[k], ("<i8", m * (side + 1)))[0].reshape(side + 1, m)
             doc = chunk.ids[chunk.doc[anchor]]
+            some = least.min(axis=0)[record] < doc  # a window of the others is nowhere again
+            anchor, record, doc = anchor[some], record[some], doc[some]
             for o in range(side + 1):
                 p = chunk.at[anchor] - o
-                gone = (least[record, o] < doc) & (p >= chunk.first[anchor]) & (p <= chunk.last[anchor])
-                np.add.at(cover, p[gone], 1)
-                np.add.at(cover, p[gone] + width, -1)
+                p = p[(least[o][record] < doc) & (p >= chunk.first[anchor]) & (p <= chunk.last[anchor])]
+                cover[p] += 1  # one offset: no place twice
+                cover[p + width] -= 1
         removed = np.cumsum(cover[:-1]) > 0
         out = {k: [] for k in ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")}
         for d, a, b in zip(chunk.ids.tolist(), (chunk.end - chunk.sizes).tolist(), chunk.end.tolist()):
