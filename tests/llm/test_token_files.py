@@ -65,3 +65,31 @@ def test_a_long_text_and_clashing_columns(spark, tmp_path):
     got = sorted(map(tuple, f.read_tokens(f.write_tokens(docs, f"file://{tmp_path}/tok", tokenizer=tokens.default_path())).select("doc_id", "start", "n_tokens", "ids_crc32").collect()))
     ids = [np.array(w + [2], "<u4") for w in whole(["a b", long])]
     assert got == [(1, 0, len(ids[0]), zlib.crc32(ids[0].tobytes())), (2, len(ids[0]), len(ids[1]), zlib.crc32(ids[1].tobytes()))]
+
+
+def test_a_known_word_is_looked_up_once():
+    from weftgraph.llm import tokens
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *a):
+            self.n += 1
+            return super().get(*a)
+
+        def __getitem__(self, k):
+            self.n += 1
+            return super().__getitem__(k)
+
+        def __contains__(self, k):
+            self.n += 1
+            return super().__contains__(k)
+
+    enc, texts = tokens.WordEncoder(tokens.default_path()), ["one two three one", "", "naïve 中文 one", "two　中文 two"]
+    for _ in range(2):
+        ids, n = enc.encode(texts)
+        want = [enc.full.encode(t, add_special_tokens=False).ids for t in texts]
+        assert ids.tolist() == sum(want, []) and n.tolist() == [len(w) for w in want]
+    enc.index = Counted(enc.index)
+    enc.encode(["one two three one"])
+    assert enc.index.n == 4

@@ -71,7 +71,7 @@ class WordEncoder:
             part = todo[at : at + 512]
             if plain:
                 names = part
-                ids = np.array(self.bare.encode(" ".join(part), add_special_tokens=False).ids, np.uint32)
+                ids = np.array(self.bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)  # without offsets
                 ends = np.flatnonzero(self.is_end[ids]) + 1
                 if len(ends) != len(part):
                     raise ValueError("the tokenizer split a plain word")
@@ -89,22 +89,24 @@ class WordEncoder:
             return np.array(list(itertools.chain.from_iterable(found)), np.uint32), np.array([len(x) for x in found], np.int64)
         if len(self.index) > MOST:
             self._reset()
-        pieces: list[list[str]] = []
-        words: set[str] = set()
-        others: set[str] = set()
-        for t in texts:
+        found: list[int] = []  # each word's place; -1: not known yet
+        new: dict[int, str] = {}
+        counts = np.empty(len(texts), np.int64)
+        for k, t in enumerate(texts):
             if PLAIN.fullmatch(t) and not any(s in t for s in self.specials):
                 own = WORDS.findall(t.lower())
-                words.update(own)
             else:
-                cut = [w for w in CUT.split(t) if w]
-                others.update(cut)
-                own = ["\n" + w for w in cut]
-            pieces.append(own)
-        self._learn({w for w in words if w not in self.index}, True)
-        self._learn({w for w in others if "\n" + w not in self.index}, False)
-        counts = np.array([len(p) for p in pieces], np.int64)
-        at = np.fromiter(map(self.index.__getitem__, itertools.chain.from_iterable(pieces)), np.int64, int(counts.sum()))
+                own = ["\n" + w for w in CUT.split(t) if w]
+            counts[k] = len(own)
+            places = [self.index.get(w, -1) for w in own]
+            if -1 in places:
+                new.update((len(found) + i, own[i]) for i, p in enumerate(places) if p < 0)
+            found += places
+        words = set(new.values())
+        self._learn({w for w in words if w[0] != "\n"}, True)
+        self._learn({w[1:] for w in words if w[0] == "\n"}, False)
+        at = np.array(found, np.int64)
+        at[np.fromiter(new, np.int64, len(new))] = np.fromiter(map(self.index.__getitem__, new.values()), np.int64, len(new))
         lengths = self.length[at]
         before = np.cumsum(lengths) - lengths
         total = int(lengths.sum())
