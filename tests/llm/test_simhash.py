@@ -1,6 +1,8 @@
 import math
 import random
 import string
+import time
+from pathlib import Path
 
 import numpy as np
 
@@ -148,3 +150,46 @@ def test_rows_that_a_possible_pair_needs_are_partnered(spark, make_docs, monkeyp
         found = {r.node for r in s.partnered(sets, len(all_), probes=probes).collect()}
         assert linked <= found and len(found) < len(all_)
     assert s.partnered(sets, len(all_), 0.4).count() == len(all_)  # so low a threshold rules nothing out
+
+
+def test_what_is_spent_leaves_the_disk(spark, make_docs, write_table):
+    local = [str(x) for x in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"), "weft")
+    shuffles = lambda: {f for d in local for f in Path(d).rglob("shuffle_*.data")}
+    tables = lambda: {f.name for f in shared.glob("*")}
+    docs, had, old = write_table(make_docs(corpus(6))), shuffles(), tables()
+    found = s.op3_simhash(spark, docs)
+    for _ in range(40):  # executors remove them on their own time
+        if not shuffles() - had:
+            break
+        time.sleep(0.25)
+    assert not shuffles() - had
+    large = ("signed", "near-sets", "near-probes", "near-texts", "near-live")
+    assert not [t for t in tables() - old if t.rpartition("-")[0] in large]
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) != "true"
+    assert found.count() == len(corpus(6))  # the result needs none of it
+
+
+def test_only_texts_that_a_pair_names_are_shuffled(spark, tmp_path, monkeypatch):
+    def moved():
+        stages = spark.sparkContext._jsc.sc().statusStore()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        kept = stages.store().view(spark.sparkContext._jvm.java.lang.Class.forName("org.apache.spark.status.StageDataWrapper")).iterator()
+        total = 0
+        while kept.hasNext():
+            total += kept.next().info().shuffleWriteBytes()
+        return total
+
+    rnd = random.Random(8)
+    rows = [(i, " ".join(str(rnd.random()) for _ in range(200))) for i in range(300)]
+    spark.createDataFrame([*rows, (300, rows[5][1] + " more")], "node long, text string").write.parquet(f"{tmp_path}/texts")
+    texts, pairs = spark.read.parquet(f"{tmp_path}/texts"), spark.createDataFrame([(5, 300), (6, 7)], "a long, b long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = moved()
+        assert [tuple(r) for r in s.verified(pairs, texts).collect()] == [(5, 300)]
+        assert 0 < moved() - before < 100_000  # all texts are a megabyte
+        monkeypatch.setattr(s, "SENT", 0)  # too many ids to send
+        assert [tuple(r) for r in s.verified(pairs, texts).collect()] == [(5, 300)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,21 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def spent_shuffles_removed(spark: SparkSession):
+    """Shuffle files of what runs inside go as soon as their job has ended, not whenever the driver collects its garbage.
+
+    Meant for steps that end in :func:`materialize`, since nothing reads their shuffles again.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def drop_materialized(spark: SparkSession, df: DataFrame) -> None:
     """Remove a table that :func:`materialize` wrote, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm

@@ -23,8 +23,8 @@ distance of a pair at the threshold.  Before texts are fetched, the ``SKETCH`` s
 for sets of that size or less, ``SIGMAS`` standard errors wide for larger ones; only pairs whose upper bound reaches ``THRESHOLD`` go on.
 
 Scale: a try is rows of 40 bytes, spread by (try, leading bits), sorted in the JVM and streamed; no group is ever held, whatever its size.
-Links, components and fingerprints stay distributed; only counts reach the driver.  Verification joins pairs with the texts of
-candidates alone.
+Links, components and fingerprints stay distributed; only counts reach the driver.  Verification joins pairs with the texts they
+name alone.  Shuffle files and tables of rows go from the disk as soon as nothing reads them.
 
 Cases: null texts and texts without words are alone in their class; texts of one to four words have one shingle, all their words; very long
 texts are cut into words in slices and have one sketch like any other; ties between nearest rows go to the smaller rank, so reruns agree; a
@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize, read_table
+from .common import connected_components, drop_materialized, materialize, read_table, spent_shuffles_removed
 from .textbytes import Words, mix, slices
 
 SHINGLE, THRESHOLD, RECALL, REACH, BITS, SEED = 5, 0.8, 0.95, 128, 72, 11
@@ -203,7 +203,9 @@ def partnered(sets: DataFrame, rows: int, threshold: float = THRESHOLD, probes:
     sent = materialize(sets.select("node", "n", "sketch", "tails").mapInArrow(send, "chunk string, bucket long, data binary"), "near-probes")
     answers = sent.where("bucket IS NOT NULL").groupBy("bucket").applyInArrow(answer, "chunk string, data binary")
     both = sent.where("bucket IS NULL").select("chunk", "data", F.lit(True).alias("own")).unionByName(answers.withColumn("own", F.lit(False)))
-    return both.groupBy("chunk").applyInArrow(settle, "node long").distinct()
+    found = materialize(both.groupBy("chunk").applyInArrow(settle, "node long").distinct(), "near-partnered")
+    drop_materialized(sets.sparkSession, sent)
+    return found
 
 
 def tries(rows: int, threshold: float = THRESHOLD, recall: float = RECALL, reach: int = REACH) -> int:
@@ -341,8 +343,18 @@ def screened(pairs: DataFrame, sets: DataFrame, threshold: float = THRESHOLD) ->
     return pairs.select("a", "b", "d", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(run, "a long, b long, d long")
 
 
+def asked(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts that these pairs (a, b) name, picked without a shuffle if their ids can be sent to all tasks."""
+    ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    return texts.join(F.broadcast(ids) if ids.count() <= SENT else ids, "node", "left_semi")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs (a, b) whose texts' shingle sets are at least ``threshold`` similar; ``texts``: (node, text)."""
+    """The pairs (a, b) whose texts' shingle sets are at least ``threshold`` similar; ``texts``: (node, text).
+
+    Only texts that a pair names are shuffled: later batches name few.  ``pairs`` are read twice.
+    """
+    texts = asked(texts, pairs)
     both = pairs.select("a", "b").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
 
     def run(batches):
@@ -372,10 +384,20 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """(doc_id, class_id, kept) for every row; ``class_id``: the smallest id of its near copies, null where the id is."""
+    with spent_shuffles_removed(docs.sparkSession):
+        return _near_duplicates(docs, id_col, text_col, threshold, recall)
+
+
+def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: float, recall: float) -> DataFrame:
+    spark = docs.sparkSession
     signed = materialize(sign(docs.where(F.col(id_col).isNotNull()), id_col, text_col), "signed")
     same = signed.where("n > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("node"), *[F.first(c).alias(c) for c in BITS_OF], F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("sketch", "tails")])
     same = materialize(same, "near-sets")
+    # What the result needs of these tables is kept apart, so that hashes and sketches can go.
+    named, firsts = materialize(signed.select("doc_id", "n", "f1", "f2"), "near-named"), materialize(same.select("f1", "f2", "node"), "near-firsts")
+    drop_materialized(spark, signed)
     live = materialize(same.drop("tails").join(partnered(same, same.count(), threshold), "node", "left_semi"), "near-live")
+    drop_materialized(spark, same)
     rows = live.count()
     n = tries(rows, threshold, recall)
     lead = max(0, math.ceil(math.log2(max(1, rows) / (64 * REACH))))
@@ -393,7 +415,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ranked = materialize(pool.withColumn("r", best), "near-ranked")
     links = materialize(verified(ranked.where("r = 1"), texts, threshold), "near-links")
     comps = materialize(connected_components(links), "near-comps")
-    links = links.unionByName(materialize(verified(_apart(ranked.where("r > 1"), comps), texts, threshold), "near-links"))
+    left = materialize(_apart(ranked.where("r > 1"), comps), "near-left")
+    links = links.unionByName(materialize(verified(left, texts, threshold), "near-links"))
     tested = found.where("d >= 0").select("a", "b")
     # Dense groups: further tries over rows that have neighbours, until a pass joins nothing.
     size, done = crowd.count(), n
@@ -421,9 +444,11 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 break
         if not joined:
             break
-    found = same.join(comps, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("node"))
-    found = signed.where("n > 0").join(found, ["f1", "f2"]).select("doc_id", F.col("node").alias("class_id"))
-    alone = signed.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))
+    drop_materialized(spark, texts)
+    drop_materialized(spark, live)
+    found = firsts.join(comps, "node", "left").select("f1", "f2", F.coalesce("component", "node").alias("node"))
+    found = named.where("n > 0").join(found, ["f1", "f2"]).select("doc_id", F.col("node").alias("class_id"))
+    alone = named.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"))
     found = found.unionByName(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
     unnamed = docs.where(F.col(id_col).isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
     return found.unionByName(unnamed)
