@@ -193,3 +193,45 @@ def test_only_texts_that_a_pair_names_are_shuffled(spark, tmp_path, monkeypatch)
         assert [tuple(r) for r in s.verified(pairs, texts).collect()] == [(5, 300)]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def crowd_of_variants(rows, seed=4):
+    """Variants of one text, most of which are no near copies of each other."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(6))
+    base = [word() for _ in range(200)]
+    return [(i, " ".join(word() if rnd.random() < 0.06 * (i % 7) / 6 else w for w in base)) for i in range(rows)]
+
+
+def test_a_crowd_is_compared_whole_not_pair_by_pair(spark, make_docs, write_table, monkeypatch):
+    rows, pairs = crowd_of_variants(500), []
+    verified = s.verified
+    monkeypatch.setattr(s, "verified", lambda p, *a, **k: pairs.append(p.count()) or verified(p, *a, **k))
+    got = {r.doc_id: r.class_id for r in s.op3_simhash(spark, write_table(make_docs(rows))).collect()}
+    assert got == brute(rows)
+    assert sum(pairs) < len(rows)  # 18,850 pairs before
+
+
+def test_blocks_of_a_group_meet(spark, make_docs, monkeypatch):
+    rows = [(3 * i, t) for i, t in crowd_of_variants(180)]
+    monkeypatch.setattr(s, "LEAST_HASHES", 1)
+    docs = make_docs(rows)
+    sets, texts = s.sign(docs).selectExpr("doc_id AS node", "n"), docs.selectExpr("doc_id AS node", "text")
+    path = spark.createDataFrame([(3 * i, 3 * i + 3) for i in range(89)] + [(3 * i, 3 * i + 3) for i in range(90, 179)], "a long, b long")  # two groups
+    half, want = [brute(rows[:90]), brute(rows[90:])], brute(rows)
+    for block in (1 << 21, 5000, 1500):
+        monkeypatch.setattr(s, "BLOCK", block)
+        groups = s.grouped(path, sets)
+        assert groups.where("blocks > 1").isEmpty() == (block > 1 << 20)
+        edges = s.compared(groups, texts)
+        if block < 1 << 20:  # groups of one block may share a task, which finds links between them too
+            found = {r.node: r.component for r in s.connected_components(edges).collect()}
+            assert {i: found.get(i, i) for i, _ in rows} == half[0] | half[1]
+        assert all(want[r.a] == want[r.b] for r in edges.collect())
+
+
+def test_groups_too_large_to_compare_whole_are_verified_by_pairs(spark, make_docs, write_table, monkeypatch):
+    monkeypatch.setattr(s, "MOST_BLOCKS", 0)
+    rows = crowd_of_variants(120)
+    got = {r.doc_id: r.class_id for r in s.op3_simhash(spark, write_table(make_docs(rows))).collect()}
+    assert got == brute(rows)

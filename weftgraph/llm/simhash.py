@@ -11,9 +11,11 @@ estimates.  Classes are the connected components of that relation.
    before it, which are those with the longest common prefixes: the depth adapts to the density, and shorter prefixes are reached
    where the tree is thin.  The number of tries follows from the number of rows: enough that a pair at the threshold shares, with
    probability ``RECALL``, a prefix deep enough in one of them.
-3. Each row offers its nearest row and the earlier one of lowest rank, among those within ``BITS`` bits.  Offers are verified on the
-   texts, the best of each row first, then those that still join two components.
-4. Climb: rows that met more than they offered in a try stand in a crowd that may hide more.  For them passes of further tries offer every row of another
+3. Each row offers its nearest row and the earlier one of lowest rank, among those within ``BITS`` bits.  The connected groups of offers are compared
+   whole, on the shingle sets of all their rows: a crowd of variants of one text has far more pairs than a join of pairs with texts can carry, but few
+   shingles that many rows hold, so that products of matrices count what its rows share.  Of groups of more than ``MOST_BLOCKS`` blocks only the offers are
+   verified, on the texts, the best of each row first, then those that still join two components.
+4. Climb: rows that met more than they offered in a try stand in a crowd that may hide more, outside of a group that was compared whole.  For them passes of further tries offer every row of another
    component within ``BITS`` bits, not only the nearest, and each pass looks back twice as far as the last: up to prefixes a bit
    shorter.  What was tested is left out, and all the rest is tested, nearest first, in batches of bounded size.  The climb ends with a pass in
    which all that was offered is tested and no link is found.
@@ -23,8 +25,8 @@ distance of a pair at the threshold.  Before texts are fetched, the ``SKETCH`` s
 for sets of that size or less, ``SIGMAS`` standard errors wide for larger ones; only pairs whose upper bound reaches ``THRESHOLD`` go on.
 
 Scale: a try is rows of 40 bytes, spread by (try, leading bits), sorted in the JVM and streamed; no group is ever held, whatever its size.
-Links, components and fingerprints stay distributed; only counts reach the driver.  Verification joins pairs with the texts they
-name alone.  Shuffle files and tables of rows go from the disk as soon as nothing reads them.
+Links, components and fingerprints stay distributed; only counts reach the driver.  A group travels as shingle hashes, in blocks of ``BLOCK`` hashes that meet
+pair by pair, so memory does not depend on its size.  Verification of single pairs joins them with the texts they name alone.  Shuffle files and tables of rows go from the disk as soon as nothing reads them.
 
 Cases: null texts and texts without words are alone in their class; texts of one to four words have one shingle, all their words; very long
 texts are cut into words in slices and have one sketch like any other; ties between nearest rows go to the smaller rank, so reruns agree; a
@@ -53,6 +55,8 @@ SKETCH, SIGMAS, WIDE = 64, 5.0, 256
 #: So many ids are sent to all tasks to pick their texts; of more, texts are joined by a shuffle.
 SENT = 1 << 20
 DENSE_REACH, BATCH, LEAST_BATCH = 256, 8, 1 << 16
+#: Hashes in a block of a group that is compared whole, as how many a row counts at least, the most blocks of such a group, and from how many rows a hash is counted by matrices.
+BLOCK, LEAST_HASHES, MOST_BLOCKS, COMMON = 1 << 21, 1 << 10, 32, 8
 #: Hashes that one bucket compares, and rows of a chunk, which are named by 16 bits.
 PROBES, CHUNK_ROWS = 1 << 21, 1 << 15
 _MARKS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -224,12 +228,12 @@ def _permutations(n: int) -> list[np.ndarray]:
 def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reach: int = REACH, every: bool = False, bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, d): candidate pairs, ``b`` of higher rank, and their distance in bits.
 
-    ``reps``: (node, s1 to s4, n, and maybe comp).  In every try each row offers its nearest row on either side and the earlier one of lowest
-    rank, among those within ``reach`` places and ``bits`` bits, of another component and of a size that allows ``threshold``; with
-    ``every``, all of these.  Rows (a, a, -1) name those that met more than they offered.
+    ``reps``: (node, s1 to s4, n, and maybe comp and whole).  In every try each row offers its nearest row on either side and the earlier one of lowest
+    rank, among those within ``reach`` places and ``bits`` bits, of another component (comp), of another group that was compared whole, and of a size
+    that allows ``threshold``; with ``every``, all of these.  Rows (a, a, -1) name those that met more than they offered.
     """
 
-    names = [*BITS_OF, "node", "n", *(["comp"] if "comp" in reps.columns else [])]  # without ``comp`` each row is its own
+    names = [*BITS_OF, "node", "n", *(c for c in ("comp", "whole") if c in reps.columns)]  # without them each row is its own
 
     def plant(batches):
         perms = _permutations(first_try + n_tries)[first_try:]
@@ -257,7 +261,7 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
             if not batch.num_rows:
                 continue
             now = [np.asarray(c) for c in (batch.column(0), *batch.columns[2:])]
-            cell, *s, node, size, comp = both = now if held is None else [np.concatenate(x) for x in zip(held, now)]
+            cell, *s, node, size, comp, whole = both = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             old, n = 0 if held is None else len(held[0]), len(node)
             rank, s = mix(node.view(U)), [x.view(U) for x in s]  # bits are counted unsigned
             near, near_at = np.full(n, 1 << 10, np.int64), np.full(n, -1)
@@ -271,7 +275,7 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
                 i = i[d <= bits]
                 j = i - k
                 d = apart(s, i, j)
-                ok = (d <= bits) & (cell[i] == cell[j]) & (comp[i] != comp[j])
+                ok = (d <= bits) & (cell[i] == cell[j]) & (comp[i] != comp[j]) & (whole[i] != whole[j])
                 ok &= np.minimum(size[i], size[j]) >= threshold**2 * np.maximum(size[i], size[j]) - 1e-9
                 if not ok.any():
                     continue
@@ -303,7 +307,7 @@ def forest(reps: DataFrame, n_tries: int, lead: int, *, first_try: int = 0, reac
 
     planted = reps.select(*names).mapInArrow(plant, "cell long, key long, " + ", ".join(f"{c} long" for c in names))
     spread = planted.repartition("cell").sortWithinPartitions("cell", "key", "node")
-    spread = spread if "comp" in names else spread.withColumn("comp", F.col("node"))
+    spread = spread.select("cell", "key", *BITS_OF, "node", "n", *(c if c in names else F.col("node").alias(c) for c in ("comp", "whole")))
     return spread.mapInArrow(look, "a long, b long, d long").distinct()
 
 
@@ -375,6 +379,112 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
+def grouped(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, size, whole, block, blocks): the connected groups of these pairs (a, b), named by their smallest node, and the block of each of their rows."""
+    size = F.greatest("n", F.lit(LEAST_HASHES))
+    rows = connected_components(pairs).join(sets.select("node", size.alias("size")), "node")
+    own = W.partitionBy("component")
+    block = ((F.sum("size").over(own.orderBy("node")) - F.col("size")) / BLOCK).cast("long")
+    rows = rows.select("node", "size", F.col("component").alias("whole"), block.alias("block"))
+    return rows.withColumn("blocks", F.max("block").over(W.partitionBy("whole")) + 1)
+
+
+def _linked(one: list[np.ndarray], two: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Whether the shingle sets of each of one and of each of two are at least ``threshold`` similar."""
+    n1, n2 = (np.array([len(x) for x in sets], np.int64) for sets in (one, two))
+    h = np.concatenate([*one, *two])
+    row = np.repeat(np.arange(len(n1) + len(n2)), np.concatenate([n1, n2]))
+    order = np.argsort(h, kind="stable")  # the rows of each hash in order, those of one before those of two
+    h, row = h[order], row[order]
+    new = np.flatnonzero(_first_of(h)[0])
+    second = row >= len(n1)
+    c2 = np.add.reduceat(second.astype(np.int64), new)
+    held = np.diff(np.append(new, len(h)))
+    c1 = held - c2
+    common = np.zeros((len(n1), len(n2)), np.float32)
+    much = (held >= COMMON) & (c1 > 0) & (c2 > 0)
+    name = np.full(len(new), -1)
+    name[much] = np.arange(much.sum())
+    name = np.repeat(name, held)
+    step = 1 << 11
+    for at in range(0, int(much.sum()), step):
+        here = (name >= at) & (name < at + step)
+        m = np.zeros((len(n1) + len(n2), step), np.float32)
+        m[row[here], name[here] - at] = 1
+        common += m[: len(n1)] @ m[len(n1) :].T
+    few = np.flatnonzero(~much & (c1 > 0) & (c2 > 0))  # at most COMMON rows each
+    for x in range(COMMON):
+        for y in range(COMMON - x):
+            k = few[(c1[few] > x) & (c2[few] > y)]
+            np.add.at(common, (row[new[k] + x], row[new[k] + c1[k] + y] - len(n1)), 1)
+    return (common > 0) & (common >= threshold * np.sqrt(n1[:, None].astype(float) * n2) - 1e-9)
+
+
+def _joined(link: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[list, list]:
+    """Edges (a, b) that join what these links between nodes of one and of two join, one a node."""
+    a, b = [], []
+    waiting, open_two = link.any(axis=1), np.ones(len(two), bool)
+    for first in np.flatnonzero(waiting):
+        if not waiting[first]:
+            continue
+        waiting[first] = False
+        new = np.array([first])
+        while len(new):
+            a += one[new].tolist()
+            b += [one[first]] * len(new)
+            met = np.flatnonzero(open_two & link[new].any(axis=0))
+            open_two[met] = False
+            a += two[met].tolist()
+            b += [one[first]] * len(met)
+            new = np.flatnonzero(waiting & link[:, met].any(axis=1))
+            waiting[new] = False
+    return a, b
+
+
+def compared(groups: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """(a, b): edges that join all rows of each group whose shingle sets are linked by pairs that are at least ``threshold`` similar.
+
+    ``groups``: as of :func:`grouped`, ``texts``: (node, text) of all their rows.  Groups of one block share tasks; the blocks of a larger one meet pair by pair.
+    """
+    lone = groups.where("blocks = 1").agg(F.sum("size")).first()[0] or 0
+    tasks = 2 * lone // BLOCK + 1
+
+    def hashes(batches):
+        for batch in batches:
+            text = batch.column(0).to_pylist()
+            for i, j in slices(text):
+                s, n = shingle_sets(text[i:j])
+                sets = [x.tobytes() for x in np.split(s, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([*(c[i:j] for c in batch.columns[1:]), pa.array(sets, pa.binary())], names=["node", "task", "block", "blocks", "data"])
+
+    def meet(table: pa.Table) -> pa.Table:
+        node, block = (np.asarray(table.column(c)) for c in ("node", "block"))
+        sets = [np.frombuffer(x, U) for x in table.column("data").to_pylist()]
+        first = np.flatnonzero(block == block.min())
+        second = first if block.min() == block.max() else np.flatnonzero(block == block.max())
+        a, b = [], []
+        for i in range(0, len(first), 1 << 11):
+            x = first[i : i + (1 << 11)]
+            for j in range(0, len(second), 1 << 11):
+                y = second[j : j + (1 << 11)]
+                if first is second and j < i:
+                    continue
+                link = _linked([sets[k] for k in x], [sets[k] for k in y], threshold)
+                if first is second and i == j:
+                    np.fill_diagonal(link, False)
+                for ends, more in zip((a, b), _joined(link, node[x], node[y])):
+                    ends += more
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    task = F.when(F.col("blocks") == 1, -1 - F.pmod(F.xxhash64("whole"), F.lit(tasks))).otherwise(F.col("whole"))
+    placed = groups.select("node", task.alias("task"), "block", "blocks")
+    rows = texts.join(F.broadcast(placed) if placed.count() <= SENT else placed, "node").select("text", "node", "task", "block", "blocks")
+    rows = rows.mapInArrow(hashes, "node long, task long, block long, blocks long, data binary")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("task", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "data")
+    return rows.groupBy("task", "i", "j").applyInArrow(meet, "a long, b long").where("a <> b").distinct()
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     c = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -411,12 +521,17 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: flo
     own = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     texts = materialize(own.join(F.broadcast(ids) if ids.count() <= SENT else ids, "node"), "near-texts")
 
+    groups = materialize(grouped(pool, sets), "near-groups")
+    whole = groups.where(F.col("blocks") <= MOST_BLOCKS)
+    links = materialize(compared(whole, texts, threshold), "near-links")
+    whole = whole.select("node", "whole")
     best = F.row_number().over(W.partitionBy("b").orderBy("d", "a"))
-    ranked = materialize(pool.withColumn("r", best), "near-ranked")
-    links = materialize(verified(ranked.where("r = 1"), texts, threshold), "near-links")
-    comps = materialize(connected_components(links), "near-comps")
-    left = materialize(_apart(ranked.where("r > 1"), comps), "near-left")
-    links = links.unionByName(materialize(verified(left, texts, threshold), "near-links"))
+    ranked = materialize(pool.join(whole.select(F.col("node").alias("a")), "a", "left_anti").withColumn("r", best), "near-ranked")
+    if ranked.count():
+        links = links.unionByName(materialize(verified(ranked.where("r = 1"), texts, threshold), "near-links"))
+        comps = materialize(connected_components(links), "near-comps")
+        left = materialize(_apart(ranked.where("r > 1"), comps), "near-left")
+        links = links.unionByName(materialize(verified(left, texts, threshold), "near-links"))
     tested = found.where("d >= 0").select("a", "b")
     # Dense groups: further tries over rows that have neighbours, until a pass joins nothing.
     size, done = crowd.count(), n
@@ -424,7 +539,7 @@ def _near_duplicates(docs: DataFrame, id_col: str, text_col: str, threshold: flo
     n, reach = tries(size, threshold, recall, DENSE_REACH), DENSE_REACH
     comps = materialize(connected_components(links), "near-comps")
     while size:
-        now = crowd.join(comps, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+        now = crowd.join(comps, "node", "left").join(whole, "node", "left").withColumn("comp", F.coalesce("component", "node")).withColumn("whole", F.coalesce("whole", "node"))
         lead = max(0, math.ceil(math.log2(max(1, size) / (64 * reach))))
         offers = forest(now, n, lead, first_try=done, reach=reach, every=True, threshold=threshold)
         offers = materialize(offers.join(tested, ["a", "b"], "left_anti"), "near-offers")
