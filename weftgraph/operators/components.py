@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weftgraph.functions.paths import base_name, dir_name, is_test_path
-from weftgraph.operators.graph import cut, degrees, first_by, neighborhood
+from weftgraph.operators.graph import cut, degrees, first_by
 
 WEIGHTS = {"contains": 10.0, "imports": 2.0}
 SAME_DIR = 1.5
@@ -82,14 +82,17 @@ def names(hubs: DataFrame, dirs: DataFrame, mode: str = "hybrid") -> DataFrame:
 
 def attach_tests(tests: DataFrame, edges: DataFrame, member: DataFrame) -> DataFrame:
     """(id, comp): each test node goes where most of its neighbours are, ties to the lowest component; null without any."""
-    near = neighborhood(edges).join(tests.select(F.col("id").alias("node")), "node", "left_semi")
+    node = tests.select(F.col("id").alias("node"))
+    near = [edges.select(F.col(a).alias("node"), F.col(b).alias("neighbour")).join(node, "node", "left_semi") for a, b in (("src", "dst"), ("dst", "src"))]
+    near = near[0].union(near[1]).distinct()
     votes = near.join(member.toDF("neighbour", "comp"), "neighbour").groupBy("node", "comp").agg(F.count("*").alias("n"))
     best = first_by(votes, ["node"], F.desc("n"), "comp").select(F.col("node").alias("id"), "comp")
     return tests.select("id").join(best, "id", "left")
 
 
 def modularity(weighted: DataFrame, member: DataFrame) -> DataFrame:
-    """One row: weighted modularity of a partition."""
+    """One row: weighted modularity of a partition; the edges are computed once."""
+    weighted = cut(weighted)
     a, b = member.toDF("a", "ca"), member.toDF("b", "cb")
     e = weighted.join(a, "a").join(b, "b")
     total = F.sum("weight")

@@ -223,9 +223,10 @@ def _walks(out: dict[str, list[str]], max_len: int | None, min_len: int, sep: st
 def simple_cycles(edges: DataFrame, max_len: int | None = None, min_len: int = 1, sep: str = " > ", walked: int = WALKED) -> DataFrame:
     """(path, length): each simple cycle (of at most ``max_len`` nodes, if given) once, starting at its smallest node.
 
-    Edges between strongly connected components are pruned first; the frontier holds open paths whose first node is the smallest.
+    The edges are computed once.  Those between strongly connected components are pruned first; the frontier holds open paths whose first node is the smallest.
     Without a bound the loop ends when no open path is left; cycles can be exponential in their length.
     """
+    edges = cut(edges.select("src", "dst"))
     loops = edges.where("src = dst").select(F.col("src").alias("path"), F.lit(1).alias("length")).distinct() if min_len <= 1 else None
     comp = cut(scc(edges))
     e = edges.where("src <> dst").select("src", "dst").distinct()

@@ -40,11 +40,25 @@ def listed(*parts) -> Column:
     return F.array_join(F.array_sort(F.collect_list(F.concat_ws("|", *[F.coalesce(p, F.lit(NULL)) for p in parts]))), ";")
 
 
+def ends_by_node(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key or id, relation, other) of the edges from each node and of those to it; ``other`` is an id where ``nodes`` has keys, too."""
+    if "key" not in nodes.columns:
+        return edges.select(F.col("src").alias("id"), "relation", F.col("dst").alias("other")), edges.select(F.col("dst").alias("id"), "relation", F.col("src").alias("other"))
+    names = nodes.where("key IS NOT NULL").groupBy("key").agg(F.first("id").alias("other"))
+    one, two = (edges.join(names.withColumnRenamed("key", far), far, "left").select(F.col(near).alias("key"), "relation", "other") for near, far in (("src", "dst"), ("dst", "src")))
+    return one, two
+
+
 def node_signatures(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, signature): a digest of all that a node's page shows: its attributes, its edges in order, and its component."""
-    out = edges.groupBy(F.col("src").alias("id")).agg(listed("relation", "dst").alias("o"))
-    into = edges.groupBy(F.col("dst").alias("id")).agg(listed("relation", "src").alias("i"))
-    rows = nodes.join(out, "id", "left").join(into, "id", "left")
+    """(id, signature): a digest of all that a node's page shows: its attributes, its edges in order, and its component.
+
+    If ``nodes`` has a ``key``, a number that stands for the id, the ends of ``edges`` are keys.
+    """
+    out, into = ends_by_node(nodes, edges)
+    key = "key" if "key" in nodes.columns else "id"
+    out = out.groupBy(key).agg(listed("relation", "other").alias("o"))
+    into = into.groupBy(key).agg(listed("relation", "other").alias("i"))
+    rows = nodes.join(out, key, "left").join(into, key, "left")
     known = [c for c in ("id", "label", "type", "source_file", "line_start", "line_end", "signature", "docstring", "name", "comp") if c in nodes.columns]
     text = F.concat_ws("#", *[F.coalesce(F.col(c).cast("string"), F.lit(NULL)) for c in known], F.coalesce("o", F.lit("")), F.coalesce("i", F.lit("")))
     return rows.select("id", F.md5(text).alias("signature"))

@@ -12,7 +12,7 @@ from weftgraph.operators import render as V
 from weftgraph.operators import resolve as R
 from weftgraph.plans.projections import TRADE, table, trade
 from weftgraph.plans.query import registry
-from weftgraph.plans.trade import DEGREE, FORCED, _near, edges_of, members
+from weftgraph.plans.trade import DEGREE, FORCED, _near, edges_of, members_by_key
 
 QUERIES, ORACLES, query = registry()
 
@@ -188,20 +188,20 @@ sig AS (SELECT n.id, md5(concat_ws('#', n.id, label, type, source_file, comp::VA
 @query(NODE_SIG + "SELECT * FROM sig", TRADE)
 def node_signature(spark, sf):
     g = trade(spark, sf)
-    return I.node_signatures(g.nodes, edges_of(g))
+    return I.node_signatures(g.nodes, g.edges())
 
 
 @query(INTER.rstrip() + ", m AS (SELECT comp, string_agg(id, ';' ORDER BY id) AS m FROM nodes GROUP BY comp), dd AS (SELECT src_comp AS comp, string_agg(dst_comp::VARCHAR || '|' || n::VARCHAR, ';' ORDER BY dst_comp::VARCHAR || '|' || n::VARCHAR) AS d FROM inter GROUP BY 1) SELECT comp, md5(concat_ws('#', comp::VARCHAR, m, coalesce(d, ''))) AS signature FROM m LEFT JOIN dd USING (comp)", TRADE)
 def component_signature(spark, sf):
     g = trade(spark, sf)
-    return I.component_signatures(g.nodes, G.inter_component(edges_of(g), members(g)))
+    return I.component_signatures(g.nodes, G.inter_component(g.edges(), members_by_key(g)))
 
 
 @query(NODE_SIG.rstrip() + FORCED + "SELECT sig.id, CASE WHEN seq % 3 <> 0 AND seq % 5 <> 0 AND source_file NOT IN (SELECT file FROM near) THEN 'reuse' ELSE 'render' END AS action FROM sig JOIN nodes USING (id)", TRADE)
 def render_plan(spark, sf):
     """Before, a third of the nodes had other signatures; a fifth of the pages are not on disk."""
     g = trade(spark, sf)
-    new = I.node_signatures(g.nodes, edges_of(g))
+    new = G.cut(I.node_signatures(g.nodes, g.edges()))  # read twice
     seq = g.nodes.select("id", "seq")
     old = new.join(seq, "id").select("id", F.when(F.col("seq") % 3 == 0, "other").otherwise(F.col("signature")).alias("signature"))
     near = _near(g)
@@ -223,7 +223,7 @@ SELECT id, section, count(*) AS n, md5(string_agg(line, chr(10) ORDER BY line))
 def node_sections(spark, sf):
     """The lists and the call diagram of every node's page."""
     g = trade(spark, sf)
-    return V.node_sections(g.nodes, edges_of(g)).select("id", "section", "n", F.md5("lines").alias("lines_md5"))
+    return g.named(V.node_sections(g.nodes, g.edges()).select("id", "section", "n", F.md5("lines").alias("lines_md5")), "id")
 
 
 CLEAN = "regexp_replace({}, '[\\\\/.: *?#^\\[\\]\"<>|{}]+', '_', 'g') || '.md'"
@@ -233,7 +233,7 @@ LINES = "SELECT {0} AS id, string_agg('- ' || relation || ' [[' || {1} || ']]',
 @query(", o AS (" + LINES.format("src", "dst") + "), i AS (" + LINES.format("dst", "src") + ") SELECT n.id, " + CLEAN.format("n.id", "") + " AS path, md5('---' || chr(10) || 'id: ' || n.id || chr(10) || 'type: ' || type || chr(10) || 'source: ' || source_file || chr(10) || '---' || chr(10) || '# ' || label || coalesce(chr(10) || '## Uses' || chr(10) || o.x, '') || coalesce(chr(10) || '## Used by' || chr(10) || i.x, '')) AS content_md5 FROM nodes n LEFT JOIN o ON o.id = n.id LEFT JOIN i ON i.id = n.id", TRADE)
 def node_page(spark, sf):
     g = trade(spark, sf)
-    return V.node_pages(g.nodes, edges_of(g)).select("id", "path", F.md5("content").alias("content_md5"))
+    return V.node_pages(g.nodes, g.edges()).select("id", "path", F.md5("content").alias("content_md5"))
 
 
 @query(INTER.rstrip() + """, m AS (SELECT comp, string_agg('- ' || label || ' (' || type || ')', chr(10) ORDER BY '- ' || label || ' (' || type || ')') AS m FROM nodes GROUP BY comp), dd AS (SELECT src_comp AS comp, string_agg('- ' || dst_comp || ': ' || n, chr(10) ORDER BY n DESC, dst_comp) AS d FROM inter GROUP BY 1)
@@ -241,7 +241,7 @@ SELECT comp, 'part_' || comp || '.md' AS path, md5('# part ' || comp || chr(10)
 def component_page(spark, sf):
     g = trade(spark, sf)
     names = g.nodes.select("comp").distinct().withColumn("name", F.concat(F.lit("part "), F.col("comp").cast("string")))
-    return V.component_pages(g.nodes, names, G.inter_component(edges_of(g), members(g))).select("comp", "path", F.md5("content").alias("content_md5"))
+    return V.component_pages(g.nodes, names, G.inter_component(g.edges(), members_by_key(g))).select("comp", "path", F.md5("content").alias("content_md5"))
 
 
 SAFE = "regexp_replace({}, '[^a-zA-Z0-9_]', '_', 'g')"
@@ -249,19 +249,20 @@ SAFE = "regexp_replace({}, '[^a-zA-Z0-9_]', '_', 'g')"
 
 @query(f", l AS (SELECT src, dst, {SAFE.format('src')} || ' --> ' || {SAFE.format('dst')} AS x FROM edges), u AS (SELECT src AS id, x FROM l UNION SELECT dst, x FROM l) SELECT id, md5(string_agg(x, chr(10) ORDER BY x)) AS diagram_md5, count(*) AS lines FROM u GROUP BY id", TRADE)
 def node_mermaid(spark, sf):
-    return V.node_mermaid(edges_of(trade(spark, sf)))
+    g = trade(spark, sf)
+    return V.node_mermaid(g.names(), g.edges())
 
 
 @query(INTER + "SELECT 'part_' || src_comp || ' -->|' || n || '| part_' || dst_comp AS line FROM inter UNION ALL SELECT DISTINCT 'part_' || comp FROM nodes WHERE comp NOT IN (SELECT src_comp FROM inter UNION SELECT dst_comp FROM inter)", TRADE)
 def component_mermaid(spark, sf):
     g = trade(spark, sf)
     names = g.nodes.select("comp").distinct().withColumn("name", F.concat(F.lit("part "), F.col("comp").cast("string")))
-    return V.component_mermaid(names, G.inter_component(edges_of(g), members(g)))
+    return V.component_mermaid(names, G.inter_component(g.edges(), members_by_key(g)))
 
 
 @query(", r AS (SELECT relation, count(*) AS n FROM edges GROUP BY relation) SELECT string_agg(relation || ': ' || n || ' (' || printf('%.1f%%', n * 100.0::DOUBLE / (SELECT sum(n) FROM r)) || ')', ', ' ORDER BY relation) AS relation_mix FROM r", TRADE)
 def readme_stats(spark, sf):
-    return V.readme_stats(edges_of(trade(spark, sf)))
+    return V.readme_stats(trade(spark, sf).edges())
 
 
 @query(DEGREE + "SELECT id, type, 10.0 + least(degree * 1.5, 30.0)::DOUBLE AS size FROM nodes JOIN deg USING (id)", TRADE)
@@ -284,4 +285,4 @@ def export_edges(spark, sf):
 def export_stats(spark, sf):
     g = trade(spark, sf)
     n = g.nodes.agg(F.count("*").alias("total_nodes"), F.count_distinct("comp").alias("components"), F.count_if(F.col("type") == "file").alias("files"))
-    return n.crossJoin(edges_of(g).agg(F.count("*").alias("total_edges"))).select("total_nodes", "total_edges", "components", "files")
+    return n.crossJoin(g.edges().agg(F.count("*").alias("total_edges"))).select("total_nodes", "total_edges", "components", "files")

@@ -26,13 +26,18 @@ def query(sql: str | None = None, prefix: str = TRADE, name: str | None = None):
 
 
 def edges_of(g):
-    return G.dedup_edges(g.raw)
+    """(src, dst, relation) by id; what only counts or groups edges uses ``g.edges()``, by key."""
+    return g.named(g.edges())
 
 
 def members(g):
     return g.nodes.select("id", "comp")
 
 
+def members_by_key(g):
+    return g.by_key().select("id", "comp")
+
+
 DEGREE = """, ends AS (SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges), deg AS (
   SELECT n.id, coalesce(sum(i), 0)::BIGINT AS in_degree, coalesce(sum(o), 0)::BIGINT AS out_degree, coalesce(sum(i) + sum(o), 0)::BIGINT AS degree
   FROM nodes n LEFT JOIN ends e ON n.id = e.id GROUP BY n.id)
@@ -48,18 +53,18 @@ def god_nodes(spark, sf):
 @query(DEGREE + "SELECT * FROM deg")
 def node_degree(spark, sf):
     g = trade(spark, sf)
-    return G.degrees(g.nodes, edges_of(g))
+    return g.named(G.degrees(g.by_key(), g.edges()), "id")
 
 
 @query("SELECT relation, count(*) AS n FROM edges GROUP BY relation")
 def relation_counts(spark, sf):
-    return G.relation_counts(edges_of(trade(spark, sf)))
+    return G.relation_counts(trade(spark, sf).edges())
 
 
 @query(f"SELECT count(*) AS nodes, count(*) FILTER (WHERE type = 'file') AS files, count(*) FILTER (WHERE type <> 'file') AS symbols, count(*) FILTER (WHERE type = 'file' AND {TEST}) AS test_files, (SELECT count(*) FROM edges) AS edges FROM nodes")
 def graph_metrics(spark, sf):
     g = trade(spark, sf)
-    return G.graph_metrics(g.nodes, edges_of(g))
+    return G.graph_metrics(g.nodes, g.edges())
 
 
 @query("SELECT type, count(*) AS n FROM nodes GROUP BY type")
@@ -75,25 +80,25 @@ def edge_dedup(spark, sf):
 @query("SELECT src, dst, relation FROM edges WHERE src IN (SELECT id FROM nodes WHERE comp <> 2) AND dst IN (SELECT id FROM nodes WHERE comp <> 2)")
 def valid_edges(spark, sf):
     g = trade(spark, sf)
-    return G.valid_edges(edges_of(g), g.nodes.where("comp <> 2"))
+    return g.named(G.valid_edges(g.edges(), g.by_key().where("comp <> 2")))
 
 
 @query("SELECT src, dst FROM edges WHERE relation = 'imports' AND src IN (SELECT id FROM nodes WHERE type = 'file') AND dst IN (SELECT id FROM nodes WHERE type = 'file')")
 def import_edges(spark, sf):
     g = trade(spark, sf)
-    return G.between(edges_of(g), g.nodes, "imports", True)
+    return G.between(g.imports(), g.nodes, "imports", True)
 
 
 @query("SELECT src, dst FROM edges WHERE relation = 'calls' AND src <> dst AND src IN (SELECT id FROM nodes WHERE type <> 'file') AND dst IN (SELECT id FROM nodes WHERE type <> 'file')")
 def call_edges(spark, sf):
     g = trade(spark, sf)
-    return G.between(edges_of(g), g.nodes, "calls", False)
+    return g.named(G.between(g.edges(), g.by_key(), "calls", False))
 
 
 @query("SELECT a.comp AS src_comp, b.comp AS dst_comp, count(*) AS n FROM edges JOIN nodes a ON src = a.id JOIN nodes b ON dst = b.id WHERE a.comp <> b.comp GROUP BY ALL")
 def inter_component(spark, sf):
     g = trade(spark, sf)
-    return G.inter_component(edges_of(g), members(g))
+    return G.inter_component(g.edges(), members_by_key(g))
 
 
 @query("SELECT src AS node, dst AS neighbour FROM edges UNION SELECT dst, src FROM edges")
@@ -108,7 +113,7 @@ FORCED = f""", {DIRTY}, near AS (SELECT file FROM dirty UNION SELECT src FROM ed
 
 def _near(g):
     dirty = g.nodes.where("type = 'file' AND seq % 7 = 0").select(F.col("id").alias("file"))
-    return G.dependents(edges_of(g).where("relation = 'imports'"), dirty)
+    return G.dependents(g.imports(), dirty)
 
 
 @query(FORCED + "SELECT * FROM near")
@@ -127,7 +132,7 @@ def force_render(spark, sf):
 FROM nodes a JOIN (SELECT comp, count(*) AS size FROM nodes GROUP BY comp) s ON s.comp = a.comp LEFT JOIN (SELECT src, dst, n.comp FROM edges JOIN nodes n ON n.id = dst) e ON e.src = a.id AND e.comp = a.comp GROUP BY a.comp""")
 def component_cohesion(spark, sf):
     g = trade(spark, sf)
-    return C.cohesion(members(g), edges_of(g), 6)
+    return C.cohesion(members_by_key(g), g.edges(), 6)
 
 
 WEIGHTED = f""", kept AS (SELECT id, regexp_extract(source_file, '^(.*)/[^/]*$', 1) AS dir FROM nodes WHERE NOT {TEST}), wt AS (
@@ -139,14 +144,15 @@ WEIGHTED = f""", kept AS (SELECT id, regexp_extract(source_file, '^(.*)/[^/]*$',
 @query(WEIGHTED + "SELECT * FROM wt")
 def weighted_edges(spark, sf):
     g = trade(spark, sf)
-    return C.weighted_edges(g.nodes, edges_of(g))
+    named = g.named(C.weighted_edges(g.by_key(), g.edges()), "a", "b")
+    return named.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight")
 
 
 @query(WEIGHTED + """, st AS (SELECT comp, sum(weight) AS k FROM (SELECT a AS id, weight FROM wt UNION ALL SELECT b, weight FROM wt) JOIN nodes USING (id) GROUP BY comp)
 SELECT round(sum(weight) FILTER (WHERE x.comp = y.comp) / sum(weight) - (SELECT sum(k * k) FROM st) / (4 * sum(weight) * sum(weight)), 6) AS modularity FROM wt JOIN nodes x ON a = x.id JOIN nodes y ON b = y.id""")
 def modularity(spark, sf):
     g = trade(spark, sf)
-    return C.modularity(C.weighted_edges(g.nodes, edges_of(g)), members(g))
+    return C.modularity(C.weighted_edges(g.by_key(), g.edges()), members_by_key(g))
 
 
 HUBS = DEGREE.rstrip() + f""", hubs AS (SELECT comp, id, label FROM (SELECT *, row_number() OVER (PARTITION BY comp ORDER BY CASE WHEN {TEST} THEN 1 ELSE 0 END, CASE WHEN type = 'file' THEN 1 ELSE 0 END, degree DESC, id) AS rn FROM nodes JOIN deg USING (id)) WHERE rn = 1)
@@ -186,7 +192,8 @@ SELECT id, v.comp FROM nodes LEFT JOIN (SELECT node, comp FROM (SELECT *, row_nu
 def attach_tests(spark, sf):
     g = trade(spark, sf)
     test = P.is_test_path(F.col("source_file"))
-    return C.attach_tests(g.nodes.where(test), edges_of(g), g.nodes.where(~test).select("id", "comp"))
+    nodes = g.by_key()
+    return g.named(C.attach_tests(nodes.where(test), g.edges(), nodes.where(~test).select("id", "comp")), "id")
 
 
 @query()
@@ -210,7 +217,7 @@ SELECT array_to_string(p, ' > ') AS path, len(p)::INT AS length FROM walk JOIN e
 @query(PATHS)
 def import_cycles(spark, sf):
     g = trade(spark, sf)
-    return G.simple_cycles(G.between(edges_of(g), g.nodes, "imports", True))
+    return G.simple_cycles(G.between(g.imports(), g.nodes, "imports", True))
 
 
 EVENTS = """WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE src <> dst)
