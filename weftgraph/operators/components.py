@@ -102,52 +102,62 @@ def modularity(weighted: DataFrame, member: DataFrame) -> DataFrame:
     return m.crossJoin(k).select(F.round(F.col("w") / F.col("m") - F.col("k2") / (4 * F.col("m") * F.col("m")), 6).alias("modularity"))
 
 
-def louvain(weighted: DataFrame, ids: DataFrame, *, threshold: float = 1e-4, levels: int = 10, sweeps: int = 12) -> DataFrame:
+def louvain(weighted: DataFrame, ids: DataFrame, *, marks: DataFrame | None = None, threshold: float = 1e-4, levels: int = 10, sweeps: int = 12) -> DataFrame:
     """(id, comp): communities by synchronous local moves and contraction.
 
     In each sweep every node compares the gain of its neighbours' communities and moves to the best; nodes of one parity of a hash
     move at a time, so that neighbours do not swap places for ever.  A level ends when a sweep gains less than ``threshold`` in
     modularity; communities then become nodes.  Community totals come from aggregates; nothing but the gain reaches the driver.
+    Edges are gone through once a sweep, for both the modularity that it reached and the moves of the next.
+
+    ``marks``: (id, tie, half) of all ids, if they stand for others whose hashes decide ties and turns.
     """
     member = cut(ids.select("id", F.col("id").alias("comp")))
     graph = cut(weighted.select("a", "b", "weight"))
     total = graph.agg(F.sum("weight")).first()[0] or 0.0
     if not total:
         return member
+    if marks is None:
+        marks = member.select("id").distinct().select("id", F.hash("id").alias("tie"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("half"))
+    marks = cut(marks)
     for _ in range(levels):
-        arcs = cut(graph.where("a <> b").select(F.col("a").alias("id"), F.col("b").alias("o"), "weight").unionAll(graph.where("a <> b").select(F.col("b").alias("id"), F.col("a").alias("o"), "weight")))
-        loops = graph.where("a = b").select(F.col("a").alias("id"), (F.col("weight") * 2).alias("k"))
-        k = cut(arcs.select("id", F.col("weight").alias("k")).unionAll(loops).groupBy("id").agg(F.sum("k").alias("k")))
-        own = cut(k.select("id", F.col("id").alias("c"), "k"))
-
-        def quality(own):
-            inner = graph.join(own.select(F.col("id").alias("a"), F.col("c").alias("ca")), "a").join(own.select(F.col("id").alias("b"), F.col("c").alias("cb")), "b").where("ca = cb").agg(F.sum("weight")).first()[0] or 0.0  # noqa: B023
-            k2 = own.groupBy("c").agg(F.sum("k").alias("k")).agg(F.sum(F.col("k") * F.col("k"))).first()[0]
-            return inner / total - k2 / (4 * total * total)
-
-        q, moved = quality(own), False
+        apart = graph.where("a <> b")
+        arcs = apart.select(F.col("a").alias("id"), F.col("b").alias("o"), "weight").unionAll(apart.select(F.col("b").alias("id"), F.col("a").alias("o"), "weight"))
+        own = graph.where("a = b")
+        loops = own.agg(F.sum("weight")).first()[0] or 0.0
+        k = arcs.select("id", F.col("weight").alias("k")).unionAll(own.select(F.col("a").alias("id"), (F.col("weight") * 2).alias("k"))).groupBy("id").agg(F.sum("k").alias("k"))
+
+        def look(own):
+            """(id, c, k, half, best community, weight towards its own) of every node, and the modularity."""
+            own = cut(own)
+            sums = cut(own.groupBy("c").agg(F.sum("k").alias("kc")).join(marks.select(F.col("id").alias("c"), "tie"), "c"))  # noqa: B023
+            at = own.select(F.col("id").alias("o"), "c")
+            near = arcs.join(at, "o").select("id", "c", "weight").repartition("id").groupBy("id", "c").agg(F.sum("weight").alias("w"))  # noqa: B023
+            mine = own.join(sums, "c").select("id", F.col("c").alias("mine"), "k", "half", F.col("kc").alias("kc_mine"), F.col("tie").alias("tie_mine"))
+            gain = F.round(F.col("w") - F.col("k") * (F.col("kc") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / (2 * total), 9)
+            there = near.join(own.select("id", F.col("c").alias("mine"), "k"), "id").join(sums, "c")
+            there = there.select("id", F.struct(gain.alias("g"), (F.col("c") == F.col("mine")).cast("int").alias("is"), "tie", "c").alias("to"), F.when(F.col("c") == F.col("mine"), F.col("w")).otherwise(0.0).alias("w"))
+            best = there.groupBy("id").agg(F.max("to").alias("to"), F.sum("w").alias("inner"))
+            stay = F.struct(F.round(-F.col("k") * (F.col("kc_mine") - F.col("k")) / (2 * total), 9).alias("g"), F.lit(1).alias("is"), F.col("tie_mine").alias("tie"), F.col("mine").alias("c"))
+            state = cut(mine.join(best, "id", "left").select("id", F.col("mine").alias("c"), "k", "half", F.greatest("to", stay)["c"].alias("best"), F.coalesce("inner", F.lit(0.0)).alias("inner")))
+            inner = (state.agg(F.sum("inner")).first()[0] or 0.0) / 2 + loops  # noqa: B023
+            k2 = sums.agg(F.sum(F.col("kc") * F.col("kc"))).first()[0]
+            return state, inner / total - k2 / (4 * total * total)
+
+        (state, q), moved = look(k.join(marks, "id").select("id", F.col("id").alias("c"), "k", "half")), False
         for sweep in range(sweeps):
-            sums = own.groupBy("c").agg(F.sum("k").alias("kc"))
-            near = arcs.join(own.select(F.col("id").alias("o"), "c"), "o").groupBy("id", "c").agg(F.sum("weight").alias("w"))
-            stay = own.select("id", F.col("c"), F.lit(0.0).alias("w"))
-            gain = near.unionByName(stay).groupBy("id", "c").agg(F.sum("w").alias("w")).join(own.select("id", F.col("c").alias("mine"), "k"), "id").join(sums, "c")
-            rest = F.col("kc") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)
-            gain = gain.withColumn("g", F.round(F.col("w") - F.col("k") * rest / (2 * total), 9))
-            best = gain.groupBy("id").agg(F.max_by("c", F.struct("g", (F.col("c") == F.col("mine")).cast("int"), F.hash("c"))).alias("best"))
-            turn = F.pmod(F.xxhash64("id"), F.lit(2)) == sweep % 2
-            after = cut(own.join(best, "id").select("id", F.when(turn, F.col("best")).otherwise(F.col("c")).alias("c"), "k"))
-            q2 = quality(after)
+            after, q2 = look(state.select("id", F.when(F.col("half") == sweep % 2, F.col("best")).otherwise(F.col("c")).alias("c"), "k", "half"))
             if q2 <= q + (threshold if sweep % 2 else 0.0):
                 if q2 > q:
-                    own, q, moved = after, q2, True
+                    state, q, moved = after, q2, True
                 if sweep % 2:
                     break
                 continue
-            own, q, moved = after, q2, True
+            state, q, moved = after, q2, True
         if not moved:
             break
-        member = cut(member.join(own.select(F.col("id").alias("comp"), "c"), "comp", "left").select("id", F.coalesce("c", "comp").alias("comp")))
-        m = own.select("id", "c")
+        m = state.select("id", "c")
+        member = cut(member.join(m.withColumnRenamed("id", "comp"), "comp", "left").select("id", F.coalesce("c", "comp").alias("comp")))
         graph = cut(graph.join(m.toDF("a", "ca"), "a").join(m.toDF("b", "cb"), "b").groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("weight").alias("weight")))
     return member
 

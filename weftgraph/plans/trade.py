@@ -199,8 +199,9 @@ def attach_tests(spark, sf):
 @query()
 def louvain(spark, sf):
     g = trade(spark, sf)
-    kept = g.nodes.where(~P.is_test_path(F.col("source_file")))
-    return C.louvain(C.weighted_edges(g.nodes, edges_of(g)), kept)
+    kept = g.by_key().where(~P.is_test_path(F.col("source_file")))
+    marks = g.names().select(F.col("key").alias("id"), F.hash("id").alias("tie"), F.pmod(F.xxhash64("id"), F.lit(2)).alias("half"))
+    return g.named(C.louvain(C.weighted_edges(g.by_key(), g.edges()), kept, marks=marks), "id", "comp")
 
 
 @query("SELECT dir, n, CASE WHEN n > 3 THEN sample || ', etc.' ELSE sample END AS sample FROM (SELECT split_part(id, '/', 1) AS dir, count(*) AS n, array_to_string(list_sort(list(split_part(id, '/', -1)))[1:3], ', ') AS sample FROM nodes WHERE type = 'file' GROUP BY 1)")
