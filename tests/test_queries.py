@@ -80,3 +80,23 @@ def test_equal_ids_are_one_node_of_the_trade_graph(spark, tmp_path):
         cols = sorted(df.columns)
         got = sorted(map(str, (tuple(r) for r in df.select(*cols).collect())))
         assert got == sorted(map(str, con.execute(f"SELECT {', '.join(cols)} FROM ({catalog.ORACLES[name]})").fetchall())), name
+
+
+def test_communities_of_numbers_are_those_of_the_ids_they_stand_for(spark, monkeypatch):
+    import random
+
+    from weftgraph.operators import components as C
+
+    rnd = random.Random(6)
+    name = lambda i: f"n{(i * 37) % 61}"
+    pairs = {(a, b) for a, b in ((rnd.randrange(60), rnd.randrange(60)) for _ in range(400)) if a <= b and (a % 4 == b % 4 or rnd.random() < 0.1)}
+    rows = [(a, b, float(1 + (a * b) % 3)) for a, b in sorted(pairs)]
+    ids = spark.createDataFrame([(i,) for i in range(60)], "id long")
+    marks = spark.createDataFrame([(i, name(i)) for i in range(60)], "id long, name string").select("id", F.hash("name").alias("tie"), F.pmod(F.xxhash64("name"), F.lit(2)).alias("half"))
+    found = []
+    for sent in (1 << 16, 0):
+        monkeypatch.setattr(C, "SENT", sent)
+        got = C.louvain(spark.createDataFrame(rows, "a long, b long, weight double"), ids, marks=marks).collect()
+        found.append({name(r.id): name(r.comp) for r in got})
+    named = C.louvain(spark.createDataFrame([(name(a), name(b), w) for a, b, w in rows], "a string, b string, weight double"), spark.createDataFrame([(name(i),) for i in range(60)], "id string"))
+    assert found[0] == found[1] == {r.id: r.comp for r in named.collect()} and 1 < len(set(found[0].values())) < 60

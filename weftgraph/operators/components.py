@@ -11,6 +11,8 @@ from weftgraph.operators.graph import cut, degrees, first_by
 
 WEIGHTS = {"contains": 10.0, "imports": 2.0}
 SAME_DIR = 1.5
+#: The totals of so many communities are sent to all tasks.
+SENT = 1 << 16
 
 
 def weighted_edges(nodes: DataFrame, edges: DataFrame, exclude_tests: bool = True) -> DataFrame:
@@ -131,12 +133,15 @@ def louvain(weighted: DataFrame, ids: DataFrame, *, marks: DataFrame | None = No
             """(id, c, k, half, best community, weight towards its own) of every node, and the modularity."""
             own = cut(own)
             sums = cut(own.groupBy("c").agg(F.sum("k").alias("kc")).join(marks.select(F.col("id").alias("c"), "tie"), "c"))  # noqa: B023
-            at = own.select(F.col("id").alias("o"), "c")
-            near = arcs.join(at, "o").select("id", "c", "weight").repartition("id").groupBy("id", "c").agg(F.sum("weight").alias("w"))  # noqa: B023
+            # Totals of few communities are sent to all tasks; those of many travel with the edges, which would else be shuffled by community too.
+            few, at = sums.count() <= SENT, own.select(F.col("id").alias("o"), "c")
+            at, carried = (at, []) if few else (at.join(sums, "c"), ["kc", "tie"])
+            near = arcs.join(at, "o").select("id", "c", "weight", *carried).repartition("id")  # noqa: B023
+            near = near.groupBy("id", "c").agg(F.sum("weight").alias("w"), *[F.first(c).alias(c) for c in carried])
             mine = own.join(sums, "c").select("id", F.col("c").alias("mine"), "k", "half", F.col("kc").alias("kc_mine"), F.col("tie").alias("tie_mine"))
             gain = F.round(F.col("w") - F.col("k") * (F.col("kc") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / (2 * total), 9)
-            there = near.join(own.select("id", F.col("c").alias("mine"), "k"), "id").join(sums, "c")
-            there = there.select("id", F.struct(gain.alias("g"), (F.col("c") == F.col("mine")).cast("int").alias("is"), "tie", "c").alias("to"), F.when(F.col("c") == F.col("mine"), F.col("w")).otherwise(0.0).alias("w"))
+            there = near.join(own.select("id", F.col("c").alias("mine"), "k"), "id")
+            there = (there.join(F.broadcast(sums), "c") if few else there).select("id", F.struct(gain.alias("g"), (F.col("c") == F.col("mine")).cast("int").alias("is"), "tie", "c").alias("to"), F.when(F.col("c") == F.col("mine"), F.col("w")).otherwise(0.0).alias("w"))
             best = there.groupBy("id").agg(F.max("to").alias("to"), F.sum("w").alias("inner"))
             stay = F.struct(F.round(-F.col("k") * (F.col("kc_mine") - F.col("k")) / (2 * total), 9).alias("g"), F.lit(1).alias("is"), F.col("tie_mine").alias("tie"), F.col("mine").alias("c"))
             state = cut(mine.join(best, "id", "left").select("id", F.col("mine").alias("c"), "k", "half", F.greatest("to", stay)["c"].alias("best"), F.coalesce("inner", F.lit(0.0)).alias("inner")))
